@@ -1,2 +1,128 @@
-QUERIES = {}
-ORACLE = {}
+"""Splitting oversized items at natural boundaries, with overlap.
+
+Structure-tree packing: a text is read as a tree (sections under headings or
+list blocks, paragraphs, lines, sentences, clauses, characters). A node that
+fits is kept whole; only a node over the limit is descended into; the resulting
+run of siblings is merged bottom-up, as far as the limit allows. Every piece
+after the first repeats the last `overlap` characters of the one before, so it
+holds at most `limit - overlap` new characters.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wayspring.runtime import small_batches, table
+
+LIMIT, OVERLAP = 800, 80
+
+#: Boundaries from the root down; each cut comes after the match.
+LEVELS = [
+    re.compile(r"\n\s*\n\s*(?=#{1,6}\s|第.{1,4}[章节])"),
+    re.compile(r"\n[^\S\n]*\n\s*"),
+    re.compile(r"\n\s*(?=[-*•·]\s|\d{1,3}[.)、]\s?)"),
+    re.compile(r"[\r\n]+\s*"),
+    re.compile(r"[。！？!?…।]+[”’」』）)\]\"'»]*\s*|(?<=[^\W\d_]{2})\.[”’\"')»]*\s+(?=[^\W\d_a-z]|[A-ZÀ-Þ“\"«¿¡])"),
+    re.compile(r"[；;：，、,]\s*|\s+"),
+]
+
+
+def _nodes(text: str, lo: int, hi: int, size: int, level: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, level) of the leaves of text[lo:hi]: nodes of at most size."""
+    if hi - lo <= size:
+        yield lo, hi, level
+        return
+    if level == len(LEVELS):
+        for i in range(lo, hi, size):
+            yield i, min(i + size, hi), level
+        return
+    at, found = lo, False
+    for m in LEVELS[level].finditer(text, lo, hi):
+        if lo < m.end() < hi:
+            found = True
+            yield from _nodes(text, at, m.end(), size, level + 1)
+            at = m.end()
+    if found:
+        yield from _nodes(text, at, hi, size, level + 1)
+    else:
+        yield from _nodes(text, lo, hi, size, level + 1)
+
+
+def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+    """Consecutive [start, end) of the pieces' new text; they cover text wholly.
+
+    The first piece may hold `limit` characters, the others `limit - overlap`."""
+    if not 0 <= overlap < limit:
+        raise ValueError("overlap must be at least 0 and below limit")
+    if not text:
+        return []
+    if len(text) <= limit:
+        return [(0, len(text))]
+    room = limit - overlap
+    leaves = list(_nodes(text, 0, len(text), room, 0))
+    out: list[tuple[int, int]] = []
+    lo, k = 0, 0
+    while k < len(leaves):
+        most = limit if not out else room
+        j = k
+        while j < len(leaves) and leaves[j][1] - lo <= most:
+            j += 1
+        if j < len(leaves):  # cut at the highest boundary that leaves the piece at least half full
+            best = j
+            for i in range(j, k, -1):
+                if leaves[i - 1][1] - lo < most // 2:
+                    break
+                if leaves[i][2] < leaves[best][2]:
+                    best = i
+            j = best
+        out.append((lo, leaves[j - 1][1]))
+        lo, k = leaves[j - 1][1], j
+    return out
+
+
+def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[str]:
+    """The pieces of text, each at most limit characters; piece k+1 begins with
+    the last `overlap` characters of piece k (all of it, were it shorter)."""
+    out: list[str] = []
+    for lo, hi in spans(text, limit, overlap):
+        out.append((out[-1][-overlap:] if out and overlap else "") + text[lo:hi])
+    return out
+
+
+def chunk(df: DataFrame, key: str = "rid", text: str = "content", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(key, chunk_id, n_chunks, piece): the pieces of every row's text without
+    outer white space, numbered from 1. Texts within the limit are one piece,
+    null and blank texts have none. Rows repeated under one key count once (the
+    text that sorts first, should they differ); other columns are ignored."""
+    small_batches(df.sparkSession)
+
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([pieces(t.strip(), limit, overlap) if isinstance(t, str) else [] for t in s], dtype=object)
+
+    cut.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    once = df.select(F.col(key), F.col(text).alias("text")).groupBy(key).agg(F.min("text").alias("text"))
+    cut_up = once.select(key, F.pandas_udf(cut, "array<string>")("text").alias("pieces"))
+    return cut_up.select(key, F.size("pieces").alias("n_chunks"), F.posexplode("pieces").alias("pos", "piece")).select(
+        key, (F.col("pos") + 1).cast("int").alias("chunk_id"), "n_chunks", "piece"
+    )
+
+
+def p5_found(spark, sf_dir: str) -> DataFrame:
+    return chunk(table(spark, sf_dir, "knowledge_entries")).where("n_chunks > 1 and chunk_id = 1").select("rid")
+
+
+def p5_pieces(spark, sf_dir: str) -> DataFrame:
+    """All pieces of the oversized entries."""
+    return chunk(table(spark, sf_dir, "knowledge_entries")).where("n_chunks > 1").select("rid", "chunk_id", "piece")
+
+
+QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces}
+ORACLE = {
+    "p5_found": r"select distinct rid from knowledge_entries where length(regexp_replace(content, '^[\s\p{Z}\x85]+|[\s\p{Z}\x85]+$', '', 'g')) > 800",
+}

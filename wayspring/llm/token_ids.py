@@ -1,2 +1,207 @@
-QUERIES = {}
-ORACLE = {}
+"""Encoding of a corpus with a public byte-level BPE tokenizer.
+
+Per Arrow batch, texts are cut into the tokenizer's words; each distinct word
+not seen before by the worker is cut again, exactly, at byte pairs that occur
+in no vocabulary entry (no merge can ever span them). The distinct pieces go
+into a DuckDB recursive query: rows (piece, position, token) join the merge
+table, each piece's minimum-rank pair is contracted, leftmost first, until no
+pair is left, and an ordered aggregation gives the piece's ids. Words and
+pieces repeat heavily, so the recursion sees each only once per worker; the
+caches are emptied when full, which costs time but never changes a result.
+
+Contracting every non-overlapping occurrence of the minimum-rank pair in one
+step is the same as one leftmost occurrence at a time: a merge using the new
+token always ranks later than the one that made it.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wayspring.runtime import small_batches, table
+
+TOKENIZERS = "/opt/tokenizers"
+NAME = "byte_bpe_50k"
+
+# Fixed value: the public pre-tokenisation pattern of the byte-level BPE family.
+# The last classes spell out Unicode White_Space, as \s differs between libraries.
+_WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
+
+WORDS_KEPT, PIECES_KEPT, PIECES_AT_ONCE, BYTES_AT_ONCE = 400_000, 200_000, 4_000, 60_000
+
+_CONTRACT = """
+with recursive step(piece, pos, tok, turn) as (
+  select piece, pos, tok, 0 from start
+  union all
+  select piece, pos, tok, turn from (
+    with here as (
+      select s.piece, s.pos, s.tok, s.turn, m.made,
+        row_number() over (partition by s.piece order by s.pos) as nth
+      from (select *, lead(tok) over (partition by piece order by pos) as next from step) s
+      left join merges m on m.a = s.tok and m.b = s.next),
+    least as (
+      select *, min(made) over (partition by piece) as best from here),
+    runs as (
+      select *, case when made = best then nth - row_number() over (partition by piece, made = best order by nth) end as island
+      from least where best is not null),
+    taken as (
+      select *, case when made = best then row_number() over (partition by piece, island order by nth) % 2 = 1 else false end as take from runs),
+    flow as (
+      select *, coalesce(lag(take) over (partition by piece order by nth), false) as gone from taken)
+    select piece, pos, case when take then made else tok end as tok, turn + 1 as turn from flow where not gone)
+)
+select piece, list(tok order by pos) as ids
+from (select *, max(turn) over (partition by piece) as last from step) where turn = last group by piece
+"""
+
+
+class Encoder:
+    """A tokenizer of one worker process."""
+
+    def __init__(self, folder: str, name: str):
+        import duckdb
+        import regex
+
+        with open(f"{folder}/{name}.json", encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab = model["vocab"]
+        shown = self._shown_bytes()
+        self.byte_id = np.array([vocab[shown[b]] for b in range(256)], dtype=np.int32)
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        merges = pd.DataFrame({"a": [vocab[a] for a, _ in pairs], "b": [vocab[b] for _, b in pairs], "made": [vocab[a + b] for a, b in pairs]}, dtype="int32")
+        unshown = {c: b for b, c in enumerate(shown)}
+        self.joins = np.zeros((256, 256), dtype=bool)  # byte pairs that some vocabulary entry contains
+        for a, b in pairs:
+            raw = np.array([unshown[c] for c in a + b], dtype=np.int16)
+            self.joins[raw[:-1], raw[1:]] = True
+        self.words: dict[str, np.ndarray] = {}
+        self.pieces: dict[bytes, np.ndarray] = {}
+        self.split = regex.compile(PATTERN).findall
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        self.db.register("merges_in", merges)
+        self.db.execute("create table merges as select * from merges_in")
+        self.db.unregister("merges_in")
+
+    @staticmethod
+    def _shown_bytes() -> list[str]:
+        """The printable stand-in of each byte in byte-level vocabularies."""
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        spare = iter(range(256, 512))
+        return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+    def _cut(self, raw: bytes) -> list[bytes]:
+        b = np.frombuffer(raw, dtype=np.uint8)
+        at = np.flatnonzero(~self.joins[b[:-1], b[1:]]) + 1
+        if not len(at):
+            return [raw]
+        edges = [0, *at.tolist(), len(raw)]
+        return [raw[i:j] for i, j in zip(edges, edges[1:])]
+
+    def _contract(self, pieces: list[bytes]) -> None:
+        """Encode distinct pieces of two bytes or more."""
+        lengths = np.array([len(p) for p in pieces])
+        start = pd.DataFrame({
+            "piece": np.repeat(np.arange(len(pieces), dtype=np.int32), lengths),
+            "pos": np.concatenate([np.arange(n, dtype=np.int32) for n in lengths]),
+            "tok": self.byte_id[np.frombuffer(b"".join(pieces), dtype=np.uint8)],
+        })
+        self.db.register("start", start)
+        got = self.db.execute(_CONTRACT).fetchnumpy()
+        self.db.unregister("start")
+        for k, ids in zip(got["piece"].tolist(), got["ids"]):
+            self.pieces[pieces[k]] = np.asarray(ids, dtype=np.int32)
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.words) + len(words) > WORDS_KEPT:
+            self.words.clear()
+        if len(self.pieces) > PIECES_KEPT:
+            self.pieces.clear()
+        cuts = [self._cut(w.encode("utf-8", "surrogatepass")) for w in words]
+        new = sorted({p for c in cuts for p in c if len(p) > 1 and p not in self.pieces}, key=len)
+        lot: list[bytes] = []
+        size = 0
+        for p in new:
+            if lot and (len(lot) >= PIECES_AT_ONCE or size + len(p) > BYTES_AT_ONCE):
+                self._contract(lot)
+                lot, size = [], 0
+            lot.append(p)
+            size += len(p)
+        if lot:
+            self._contract(lot)
+        one = self.byte_id
+        for w, c in zip(words, cuts):
+            parts = [self.pieces[p] if len(p) > 1 else one[p[0] : p[0] + 1] for p in c]
+            self.words[w] = parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        split = [self.split(t) for t in texts]
+        new = [w for w in {w for s in split for w in s} if w not in self.words]
+        if new:
+            self._learn(new)
+            if any(w not in self.words for s in split for w in s):  # the cache was emptied meanwhile
+                self._learn(list({w for s in split for w in s if w not in self.words}))
+        get = self.words.__getitem__
+        empty = np.empty(0, dtype=np.int32)
+        return [np.concatenate([get(w) for w in s]) if s else empty for s in split]
+
+
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(folder: str = TOKENIZERS, name: str = NAME) -> Encoder:
+    """The worker's tokenizer, loaded once per process."""
+    if (folder, name) not in _ENCODERS:
+        _ENCODERS[folder, name] = Encoder(folder, name)
+    return _ENCODERS[folder, name]
+
+
+def encode_column(text, folder: str = TOKENIZERS, name: str = NAME, counts_only: bool = False):
+    """array<int> of a text column, or with counts_only its length as int.
+    Null and empty texts give the empty list (0)."""
+
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        enc = encoder(folder, name)
+        for s in batches:
+            texts = [t if isinstance(t, str) else "" for t in s]
+            out: list = []
+            lo = 0
+            while lo < len(texts):  # bounded by characters too: texts may be very long
+                hi, n = lo + 1, len(texts[lo])
+                while hi < len(texts) and n + len(texts[hi]) <= 2_000_000:
+                    n += len(texts[hi])
+                    hi += 1
+                got = enc.encode(texts[lo:hi])
+                out += [len(x) for x in got] if counts_only else got
+                lo = hi
+            yield pd.Series(out, dtype="int32" if counts_only else object)
+
+    ids.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(ids, "int" if counts_only else "array<int>")(text)
+
+
+def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = NAME) -> DataFrame:
+    """(key, ids): one row per row of df, in any order; null or empty text gives
+    the empty list. Repeated rows stay repeated; other columns are ignored."""
+    small_batches(df.sparkSession)
+    return df.select(F.col(key), encode_column(F.col(text), folder, name).alias("ids"))
+
+
+def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = NAME) -> DataFrame:
+    """(key, n_tokens): as token_ids, without carrying the ids."""
+    small_batches(df.sparkSession)
+    return df.select(F.col(key), encode_column(F.col(text), folder, name, counts_only=True).alias("n_tokens"))
+
+
+def p8_ids(spark, sf_dir: str) -> DataFrame:
+    return token_ids(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p8_ids": p8_ids}
+ORACLE: dict[str, str] = {}
