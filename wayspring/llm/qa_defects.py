@@ -1,2 +1,160 @@
-QUERIES = {}
-ORACLE = {}
+"""Broken prompt and response pairs.
+
+Shortened responses: distinct responses are range-partitioned and sorted by
+text, so a response that is cut short stands right before a longer version of
+itself, if there is one; comparing neighbours' common prefixes finds it.
+Length limits: a length at which unclosed responses pile up far beyond the
+lengths around it is a limit that cuts responses off. Then the rules for what
+ends a response, for copies of the question, refusals and languages apply.
+All of it is JVM-side column expressions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from wayspring.functions import strip
+from wayspring.llm.han import TRADITIONAL_FROM, TRADITIONAL_TO, WIDE_FROM, WIDE_TO
+from wayspring.runtime import materialize, table
+
+# Words that stand for no answer, letters and digits only.
+PLACEHOLDERS = ("none", "null", "na", "nan", "nil", "undefined", "empty", "tbd", "todo", "noanswer", "无", "暂无", "空", "待补充", "略", "无内容", "暂无回答", "なし", "keine", "aucun", "ninguno")
+# What may stand around a question that is only given back.
+ECHOES = ("您的问题是", "你的问题是", "您问的是", "你问的是", "问题是", "问题", "您问", "yourquestion", "yourquestionis", "yourquestionwas", "youasked", "question", "ihrefrage", "ihrefragelautet", "frage", "votrequestion", "supregunta", "ご質問", "ご質問は", "質問")
+
+# Ways to decline, per language.
+_REFUSAL = "|".join((
+    "(?:无法|不能|不便|没法|没办法|無法|不會|不会|不被允许|不允许|恕难)[^，。！？]{0,12}(?:回答|作答|解答|提供|说|說|协助|帮|处理|答复|讨论|建议|透露|告诉|评论|给出)",
+    "暂不支持|不予(?:讨论|回答|提供|置评)|只能拒绝|拒绝回答|帮不上|没有权限|超出[^，。！？]{0,6}(?:能力|范围)|不在服务范围|没有可以告诉|无从(?:作答|回答)|此类请求",
+    "(?:can(?:no|')t|can not|unable to|not able to|not allowed to|not permitted to|won't be able to|will not be able to|refuse to|decline to)[^.!?]{0,20}(?:help|answer|assist|share|discuss|provide|say|tell|respond|comment|do)",
+    "must decline|pass on this|outside (?:of )?(?:what i|my)|beyond what i can|not something i (?:may|can)|against my (?:policy|guidelines)",
+    "(?:kann|darf|möchte)[^.!?]{0,25}nicht[^.!?]{0,20}(?:helfen|beantworten|antworten|auskunft|sagen)|nicht[^.!?]{0,12}(?:helfen|beantworten)",
+    "(?:ne (?:peux|puis|pouvons)(?: pas)?|impossible de|pas autorisée? à)[^.!?]{0,16}(?:répondre|aider|fournir|dire|discuter)",
+    "(?:no puedo|no podemos|no estoy autorizad[oa] a|imposible)[^.!?]{0,12}(?:ayudar|responder|contestar|proporcionar|decir|hablar)",
+    "(?:お答え|対応|回答|ご案内|お手伝い|提供)[^。！？]{0,6}(?:できません|しかねます|いたしかねます|できかねます|ません)",
+))
+_POLITE = "如有|欢迎|祝您|祝你|谢谢|感谢|抱歉|对不起|不好意思|很遗憾|您好|换个|咨询|客服|anything else|have a nice|thank|sorry|hello|apolog|unfortunately|human agent|bon voyage|gute reise|buen viaje|merci|danke|gracias|désol|leid|lo siento|ありがとう|申し訳"
+_BUT = "但|不过|资料显示|[0-9０-９]|however|aber|mais|pero"
+
+# Frequent words of four languages written in Latin letters.
+_WORDS = {
+    "en": "the is a of in to how do i get from where can eat for and what does near worth when reply please at on by was were it has so but or this that we only an be not my you your are with as until which while sorry",
+    "fr": "le la les des du est une un pour où quelle comment aller ouvre dans je il ne pas que sur qui se trouve jusqu près depuis et entre avec devant car on si au votre répondre",
+    "de": "der die das ist und ein eine nach von wie komme ich zu wo man im es nicht wann hat den dem mit am vor bei so wegen war dauert kann diese sehr noch öffnet",
+    "es": "el los las de es y una para cómo llego qué hora abre dónde con por del no al hay desde dura posada muy pero había lleve sin se lo esta",
+}
+# Requests for an answer in a named language.
+_ASKED = {
+    "en": "(?:in|into) english|用英[文语]|英語で|auf englisch|en inglés|en anglais",
+    "zh": "(?:in|into) chinese|用中文|用汉语|中国語で|auf chinesisch|en chino|en chinois",
+    "ja": "(?:in|into) japanese|用日[文语]|日本語で|auf japanisch|en japonés|en japonais",
+    "fr": "(?:in|into) french|用法[文语]|フランス語で|auf französisch|en francés|en français",
+    "de": "(?:in|into) german|用德[文语]|ドイツ語で|auf deutsch|en alemán|en allemand",
+    "es": "(?:in|into) spanish|用西班牙[文语]|スペイン語で|auf spanisch|en español|en espagnol",
+}
+_TAIL = r"(?:\s*(?:\[\d+\]|（来源[^（）]*）|\((?:source|来源|quelle|fuente)[^()]*\)|</?[a-zA-Z][^<>]*>|[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}]|[\s\p{Z}\p{Cf}]))+$"
+_CLOSED = r"[。！？.!?～~।][”’」』）)\]\"'»“]*$"
+_ABBREVIATED = r"(?i)(?:^|[\s(（“\"„«¿])(?:e\.g|i\.e|mt|st|dr|mr|mrs|ms|no|nr|núm|approx|aprox|ca|env|etc|vs|co|fig|c\.-à-d|d\. ?h|z\. ?B|z|d|bzw|EE|EE\. UU|sra?|prof|p|a|m|\d{1,4}(?:[.:]\d{1,2})?)\.$"
+
+
+def _letters(c: Column) -> Column:
+    """Letters and digits of a text: half-width, lower case, simplified."""
+    c = F.translate(F.coalesce(c, F.lit("")), WIDE_FROM + TRADITIONAL_FROM, WIDE_TO + TRADITIONAL_TO)
+    return F.lower(F.regexp_replace(F.regexp_replace(c, r"<[^<>]{0,40}>|&nbsp;", ""), r"[^\p{L}\p{N}]", ""))
+
+
+def _count(c: Column, pattern: str) -> Column:
+    return F.length(c) - F.length(F.regexp_replace(c, pattern, ""))
+
+
+def language(text: Column) -> Column:
+    """zh, ja, ko, en, fr, de, es by script and frequent words; null if unsure."""
+    t = F.coalesce(text, F.lit(""))
+    kana, hangul, han, latin = (_count(t, p) for p in (r"[\x{3040}-\x{30ff}]", r"[\x{ac00}-\x{d7a3}]", r"[\x{4e00}-\x{9fff}]", r"[A-Za-zÀ-ÿ]"))
+    words = F.array_distinct(F.split(F.regexp_replace(F.lower(t), r"[^\p{L}\p{M}]+", " "), " "))
+    hits = {k: F.size(F.array_intersect(words, F.array(*map(F.lit, v.split())))) for k, v in _WORDS.items()}
+    top = F.greatest(*hits.values())
+    known = F.lit(None).cast("string")
+    for k in reversed(list(hits)):
+        known = F.when(hits[k] == top, k).otherwise(known)
+    return (
+        F.when((kana >= 2) & (kana * 8 >= han), "ja")
+        .when(hangul * 3 > latin, "ko")
+        .when((han > 0) & (han * 6 >= latin), "zh")
+        .when(top > 0, known)
+    )
+
+
+def asked_language(question: Column) -> Column:
+    q, out = F.lower(F.coalesce(question, F.lit(""))), F.lit(None).cast("string")
+    for k, p in _ASKED.items():
+        out = F.when(q.rlike(p), k).otherwise(out)
+    return out
+
+
+def shortened(texts: DataFrame) -> DataFrame:
+    """Distinct texts (column body) that a longer one continues within a
+    sentence: (body). The longer version of a text is its neighbour in order."""
+    spark = texts.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    placed = texts.select("body").distinct().repartitionByRange(n, "body").withColumn("part", F.spark_partition_id())
+    placed = materialize(placed, "bodies")
+    first = placed.groupBy("part").agg(F.min("body").alias("head"))  # one row per range
+    after = first.select("part", F.lead("head").over(Window.orderBy("part")).alias("next_head"))
+    near = placed.withColumn("next", F.lead("body").over(Window.partitionBy("part").orderBy("body")))
+    near = near.join(F.broadcast(after), "part").select("body", F.coalesce("next", "next_head").alias("next"))
+    rest = F.expr("substring(next, length(body) + 1)")
+    goes_on = rest.rlike(r"^\s*[\p{Ll}，、；：,;:”’」』）)]") | ~F.col("body").rlike(_CLOSED) & ~rest.rlike(r"^[\n\r]")
+    return near.where(F.col("next").startswith(F.col("body")) & (F.length("next") > F.length("body")) & goes_on).select("body")
+
+
+def length_limits(texts: DataFrame, factor: int = 5, least: int = 30) -> DataFrame:
+    """(n_chars): lengths at which unclosed bodies are `factor` times as many as
+    on average at the ten lengths around, and at least `least`."""
+    per = texts.where(~F.col("body").rlike(_CLOSED)).groupBy(F.length("body").alias("n_chars")).agg(F.count("*").alias("n"))
+    around = Window.orderBy("n_chars").rangeBetween(-5, 5)  # one row per length
+    near = per.withColumn("others", (F.sum("n").over(around) - F.col("n")) / 10)
+    return near.where((F.col("n") >= least) & (F.col("n") > factor * F.col("others"))).select("n_chars")
+
+
+def defects(history: DataFrame, key: str = "id", question: str = "question", answer: str = "answer") -> DataFrame:
+    """(key, defect) of the defective pairs: empty, copy, refusal, language or
+    truncated, the first that applies in this order.
+
+    Rows repeated under one key count once; a null or blank answer is empty; a
+    null question is no language and no copy. Other columns are ignored."""
+    h = history.select(F.col(key), F.col(question).alias("q"), F.col(answer).alias("a")).dropDuplicates([key])
+    h = h.withColumn("bare", _letters(F.col("a")))
+    h = h.withColumn("body", F.regexp_replace(strip(F.regexp_replace(F.coalesce("a", F.lit("")), r"<[^<>]{0,40}>", " ")), _TAIL, ""))
+    ask, said = _letters(F.col("q")), _letters(F.col("body"))
+    empty = (F.length("bare") == 0) | F.col("bare").isin(*PLACEHOLDERS)
+    echo = F.replace(said, ask, F.lit(""))
+    copy = (F.length(ask) > 0) & said.contains(ask) & ((F.length(echo) == 0) | echo.isin(*ECHOES))
+    sentence = F.filter(F.split(F.lower(F.regexp_replace(F.translate(F.col("body"), "’", "'"), r"([。！？!?]|\.(?=\s|$))", "$1\n")), "\n"), lambda s: s.rlike(r"[\p{L}\p{N}]"))
+    declines = lambda s: s.rlike(_REFUSAL) & ~s.rlike(_BUT) & (F.length(s) <= 110)
+    polite = lambda s: s.rlike(_POLITE) & ~s.rlike(_BUT) & (F.length(s) <= 60)
+    refusal = F.exists(sentence, declines) & F.forall(sentence, lambda s: declines(s) | polite(s))
+    mine, theirs, wish = language(F.col("q")), language(F.col("body")), asked_language(F.col("q"))
+    other = mine.isNotNull() & theirs.isNotNull() & (mine != theirs) & ~F.coalesce(wish == theirs, F.lit(False))
+    b = F.col("body")
+    odd = lambda p: _count(b, p) % 2 == 1
+    more = lambda o, c: _count(b, o) > _count(b, c)
+    unclosed = ~b.rlike(_CLOSED) | b.rlike(r"(?:^|[^…])…$|(?:^|[^.])\.\.\.$|[，、；：,;:“‘「『（(«„]$") | b.rlike(_ABBREVIATED)
+    unclosed = unclosed | odd("[“”„]") | odd('"') | more("«", "»") | more("（", "）") | more(r"\(", r"\)") | more("「", "」") | more("『", "』")
+    bodies = h.where(F.length("body") > 0).select("body")
+    cut = shortened(bodies).withColumn("cut", F.lit(True))
+    limits = length_limits(bodies).withColumn("at_limit", F.lit(True))
+    h = h.join(cut, "body", "left")
+    h = h.withColumn("n_chars", F.length("body")).join(F.broadcast(limits), "n_chars", "left")
+    truncated = unclosed | F.coalesce("cut", F.lit(False)) | F.coalesce(F.col("at_limit") & ~b.rlike(_CLOSED), F.lit(False))
+    kind = F.when(empty, "empty").when(copy, "copy").when(refusal, "refusal").when(other, "language").when(truncated, "truncated")
+    return h.select(key, kind.alias("defect")).where("defect is not null")
+
+
+def p2_found(spark, sf_dir: str) -> DataFrame:
+    return defects(table(spark, sf_dir, "user_history")).select(F.col("id").alias("history_id"), "defect")
+
+
+QUERIES = {"p2_found": p2_found}
+ORACLE: dict[str, str] = {}
