@@ -1,2 +1,276 @@
-QUERIES = {}
-ORACLE = {}
+"""Personal information inside free text.
+
+Anchor expansion: one Aho-Corasick pass over a shadow of the text (half-width,
+simplified, lower case, one character for one) finds at-signs, number cues,
+street words and name cues. Deterministic local parsers expand each anchor to
+the mention's borders and validate it (dates in identity numbers, numbering
+plans, house numbers). Values are cut from the original text, so they come out
+exactly as written; redaction puts a typed placeholder in their place.
+"""
+
+from __future__ import annotations
+
+import datetime
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from wayspring.functions import visible
+from wayspring.llm.han import NARROW, SIMPLIFY
+from wayspring.runtime import small_batches, table
+
+KINDS = ("email", "phone", "id_number", "address", "person")
+PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person": "[PERSON]"}
+
+# Anchors of the parsers.
+AT_SIGNS = ("@", "(at)", "[at]", "{at}")
+STREETS = ("路", "街", "巷", "弄", "里", "大道", "胡同", "lane", "street", "avenue", "road", "alley", "drive", "square", "boulevard")
+NAME_CUES = (
+    "联系人", "我叫", "房东叫", "急事找", "带队的是", "收件人是", "收件人", "同学", "本人(", "本人（", "导游是", "老板叫", "名叫", "姓名", "我是",
+    "ask for ", "stayed with ", "my name is ", "contact ", "call ", "guide is ", "guide was ", "host is ",
+)
+NOT_PERSONAL = ("订单号", "订单", "展品编号", "取票码", "票根编号", "编号", "坐标", "营业时间", "票号", "车次", "航班", "order no", "ticket", "ref", "isbn")
+_CN_DIGITS = "零〇一二三四五六七八九"
+_NUM = f"(?:\\d{{1,5}}|[{_CN_DIGITS}十百千]{{1,6}})"
+
+_EMAIL_LEFT = re.compile(r"[a-z0-9][a-z0-9._+\-]*\s?$")
+_EMAIL_RIGHT = re.compile(r"\s?[a-z0-9\-]+(?:\s?(?:\.|\(dot\)|\[dot\])\s?[a-z0-9\-]+)+")
+_ID = re.compile(r"(?<![\d.\-])\d{6}[ \-]?(\d{4})(\d{2})(\d{2})[ \-]?\d{3}[\dx](?![\d\-]*\d)")
+_PASSPORT = re.compile(r"(?<![a-z0-9\-])[a-z]\d{8}(?![a-z0-9])")
+_PHONES = (
+    re.compile(r"(?<![\d+.])\+86[ \-]?1\d{2}[ \-.]?\d{4}[ \-.]?\d{4}(?!\d)"),
+    re.compile(r"(?<![\d+.])\+1[ \-]\(?\d{3}\)?[ \-]\d{3}[ \-]\d{4}(?!\d)"),
+    re.compile(r"(?<![\d+.])\+\d{1,3}(?:[ \-]?(?:\(\d{2,5}\)|\d{2,5})){2,4}(?!\d)"),
+    re.compile(r"(?<![\d.\-/])1[3-9]\d([ \-.]?)\d{4}\1\d{4}(?![\d\-]*\d)"),
+    re.compile(r"\(0\d{2,4}\)[ \-]?\d{7,8}(?!\d)"),
+    re.compile(r"(?<![\d.\-/])0\d{2,3}[ \-]?\d{7,8}(?![\d\-]*\d)"),
+    re.compile(f"(?<![{_CN_DIGITS}])一[三四五六七八九][{_CN_DIGITS}]{{9}}(?![{_CN_DIGITS}])"),
+)
+_PLACE = "[^\\W\\d_a-z在到是于住去寄至从丢往和的了就，。：；“”「」（）()]"
+_CN_ADDRESS = re.compile(
+    f"(?:{_PLACE}{{2,6}}(?:省|自治区))?(?:{_PLACE}{{2,5}}(?:市|县|州))?(?:{_PLACE}{{1,5}}(?:新区|区|街道|镇|乡))?"
+    f"{_PLACE}{{1,4}}(?:大道|胡同|路|街|巷|弄|里){_NUM}(?:弄|号院|号)(?:{_NUM}(?:号楼|号|栋|幢|座|单元|室|层|楼))*(?:\\d{{1,5}}(?:室)?(?!\\d))?"
+)
+_EN_ADDRESS = re.compile(r"(?<![\w.\-])\d{1,5} (?:[A-Z][A-Za-z'\-]+ ){1,3}(?:Lane|Street|Avenue|Road|Alley|Drive|Square|Boulevard)(?![A-Za-z])(?:,? (?:Apt|Unit|Room|Suite|Flat)\.? ?\w{1,5})?")
+# Compound surnames; a name is a surname and one or two characters more.
+_COMPOUND = "慕容|欧阳|上官|令狐|司徒|赫连|诸葛|司马|皇甫|尉迟|公孙|东方|夏侯|宇文|长孙|端木|百里|独孤|南宫"
+_CN_NAME = re.compile(f"(?:(?:{_COMPOUND})[㐀-鿿]{{1,2}}|[㐀-鿿]{{2,3}})")
+_EN_WORD = r"[A-Z][a-zà-ÿ']+(?:-[A-Z][a-zà-ÿ']+)*"
+_EN_NAME = re.compile(f"{_EN_WORD}(?: {_EN_WORD}){{1,2}}")
+_NAME_STOPS = re.compile(r"[\s,，。.;；:：()（）“”\"'「」、!！?？]|$|写|人很好|讲得|就行|愿意|一起|和|的|家在|电话|phone|if |at |for ")
+_LEAD = re.compile(r"^[\s:：是“\"'「(（]*")
+_LISTED = re.compile(r"(?:^|[\s。；;！？!?”>])$")
+
+
+def shadow(text: str) -> str:
+    """text in half-width, simplified, lower case; character for character."""
+    out = text.translate(NARROW).translate(SIMPLIFY)
+    low = out.lower()
+    return low if len(low) == len(out) else "".join(c.lower() if len(c.lower()) == 1 else c for c in out)
+
+
+def _valid_date(y: str, m: str, d: str) -> bool:
+    try:
+        return 1900 <= int(y) <= 2100 and bool(datetime.date(int(y), int(m), int(d)))
+    except ValueError:
+        return False
+
+
+class _Anchors:
+    def __init__(self):
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        for kind, words in (("email", AT_SIGNS), ("address", STREETS), ("person", NAME_CUES), ("not", NOT_PERSONAL)):
+            for w in words:
+                held = self.automaton.get(w, ()) if w in self.automaton else ()
+                self.automaton.add_word(w, (*held, (kind, len(w))))
+        self.automaton.make_automaton()
+
+    def find(self, s: str) -> dict[str, list[tuple[int, int]]]:
+        out: dict[str, list[tuple[int, int]]] = {}
+        for end, hits in self.automaton.iter(s):
+            for kind, n in hits:
+                out.setdefault(kind, []).append((end + 1 - n, end + 1))
+        return out
+
+
+_ANCHORS: list[_Anchors] = []
+
+
+def _emails(s: str, at: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    for a, b in at:
+        left, right = _EMAIL_LEFT.search(s, max(0, a - 80), a), None
+        if left is None and s[a - 1 : a] == " ":
+            left = _EMAIL_LEFT.search(s, max(0, a - 80), a - 1)
+        if left:
+            right = _EMAIL_RIGHT.match(s, b)
+        if left and right:
+            lo, hi = left.start(), right.end()
+            yield lo, hi
+
+
+def _numbers(s: str, shut: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+    """Identity numbers and phones; shut: borders of cues of impersonal numbers."""
+    held = [b for _, b in shut]
+
+    def impersonal(lo: int) -> bool:
+        return any(b <= lo <= b + 3 and not s[b:lo].strip(" :：#no.") for b in held)
+
+    taken: list[tuple[int, int]] = []
+    for m in _ID.finditer(s):
+        if not impersonal(m.start()):
+            if _valid_date(*m.groups()):
+                yield "id_number", m.start(), m.end()
+        taken.append(m.span())
+    for m in _PASSPORT.finditer(s):
+        if not impersonal(m.start()):
+            yield "id_number", m.start(), m.end()
+        taken.append(m.span())
+    for p in _PHONES:
+        for m in p.finditer(s):
+            if not impersonal(m.start()) and not any(a < m.end() and m.start() < b for a, b in taken):
+                taken.append(m.span())
+                digits = sum(c.isdigit() or c in _CN_DIGITS for c in m.group())
+                if 9 <= digits <= 14:
+                    yield "phone", m.start(), m.end()
+
+
+def _addresses(t: str, s: str) -> Iterator[tuple[int, int]]:
+    for p, x in ((_CN_ADDRESS, s), (_EN_ADDRESS, t.translate(NARROW))):
+        for m in p.finditer(x):
+            yield m.span()
+
+
+def _name_at(t: str, s: str, p: int) -> tuple[int, int] | None:
+    """The name that begins at p, up to what can't belong to one."""
+    m = _EN_NAME.match(t, p)
+    if m:
+        return m.span()
+    stop = _NAME_STOPS.search(s, p)
+    end = stop.start() if stop else len(s)
+    if 2 <= end - p <= 4 and _CN_NAME.fullmatch(s, p, end):
+        return p, end
+    return None
+
+
+def _persons(t: str, s: str, cues: list[tuple[int, int]], contacts: list[int]) -> Iterator[tuple[int, int]]:
+    for a, b in cues:
+        p = b + _LEAD.match(s[b : b + 6]).end()
+        span = _name_at(t, s, p)
+        if not span:
+            continue
+        if s.startswith(("我是", "call ", "contact "), a) and not _EN_NAME.fullmatch(t, *span):
+            continue
+        if s.startswith("故居", span[1]):
+            continue
+        yield span
+        if s.startswith("带队的是", a) and s.startswith("和", span[1]):
+            second = _name_at(t, s, span[1] + 1)
+            if second:
+                yield second
+    for p in contacts:  # "name:number,mail;"
+        q = p
+        while q and s[q - 1] in ":： ":
+            q -= 1
+        if q == p or s[q:p].strip(" ") not in (":", "："):
+            continue
+        m = re.search(f"(?:{_EN_WORD} {_EN_WORD}|[㐀-鿿]{{2,4}})$", t[max(0, q - 40) : q])
+        if m:
+            lo = q - len(m.group())
+            if _LISTED.search(s[:lo][-1:] or " ") and (m.group()[0].isascii() or _CN_NAME.fullmatch(s, lo, q)) and not s[lo:q].endswith(("电话", "手机", "微信", "邮箱", "邮件")):
+                yield lo, q
+
+
+def mentions(text: str | None) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the mentions of text, in order, not overlapping."""
+    if not text:
+        return []
+    if not _ANCHORS:
+        _ANCHORS.append(_Anchors())
+    s = shadow(text)
+    at = _ANCHORS[0].find(s)
+    found: list[tuple[int, int, str]] = [(a, b, "email") for a, b in _emails(s, at.get("email", []))]
+    digits = re.search(r"\d{4}|[零一二三四五六七八九]{9}", s)
+    if digits:
+        found += [(a, b, k) for k, a, b in _numbers(s, at.get("not", []))]
+    if at.get("address"):
+        found += [(a, b, "address") for a, b in _addresses(text, s)]
+    contacts = [a for a, _, k in found if k in ("phone", "email")]
+    found += [(a, b, "person") for a, b in _persons(text, s, at.get("person", []), contacts)]
+    rank = {k: i for i, k in enumerate(KINDS)}
+    found.sort(key=lambda x: (rank[x[2]], x[0], -x[1]))
+    kept: list[tuple[int, int, str]] = []
+    for a, b, k in found:
+        if not any(a < y and x < b for x, y, _ in kept):
+            kept.append((a, b, k))
+    return sorted(kept)
+
+
+def redact(text: str | None) -> str | None:
+    """text with each mention replaced by its typed placeholder; null stays null."""
+    if text is None:
+        return None
+    out, at = [], 0
+    for a, b, k in mentions(text):
+        out += [text[at:a], PLACEHOLDER[k]]
+        at = b
+    return "".join([*out, text[at:]])
+
+
+def _mention_column(text):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([[f"{k}\t{t[a:b]}" for a, b, k in mentions(t)] if isinstance(t, str) else [] for t in s], dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<string>")(text)
+
+
+def _redacted_column(text):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([redact(t) if isinstance(t, str) else None for t in s], dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "string")(text)
+
+
+def find_mentions(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, field, kind, value): the distinct mentions in the named text fields.
+
+    Null and blank texts have none; a text repeated under one key is read once.
+    Columns other than key and fields are ignored."""
+    small_batches(df.sparkSession)
+    long = df.select(F.col(key).alias("key"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))).alias("x"))
+    long = long.select("key", "x.field", "x.text").where(visible(F.col("text"))).dropDuplicates(["key", "field", "text"])
+    found = long.select("key", "field", F.explode(_mention_column(F.col("text"))).alias("m"))
+    part = F.split("m", "\t", 2)
+    return found.select(F.col("key").alias(key), "field", part[0].alias("kind"), part[1].alias("value")).distinct()
+
+
+def redacted(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, fields...): one row per key with redacted texts; of rows that
+    differ under one key the latest (updated_at, if there is one) is taken."""
+    small_batches(df.sparkSession)
+    if "updated_at" in df.columns:
+        w = Window.partitionBy(key).orderBy(F.col("updated_at").desc_nulls_last(), *(F.col(f) for f in fields))
+        df = df.select(key, "updated_at", *fields).withColumn("nth_version", F.row_number().over(w)).where("nth_version = 1")
+    else:
+        df = df.select(key, *fields).dropDuplicates([key])
+    return df.select(key, *(_redacted_column(F.col(f)).alias(f) for f in fields))
+
+
+def p4_found(spark, sf_dir: str) -> DataFrame:
+    return find_mentions(table(spark, sf_dir, "contributions"), "id", ["content", "notes"]).withColumnRenamed("id", "contribution_id")
+
+
+def p4_redacted(spark, sf_dir: str) -> DataFrame:
+    return redacted(table(spark, sf_dir, "contributions"), "id", ["content", "notes"]).withColumnRenamed("id", "contribution_id")
+
+
+QUERIES = {"p4_found": p4_found, "p4_redacted": p4_redacted}
+ORACLE: dict[str, str] = {}
