@@ -1,2 +1,139 @@
-QUERIES = {}
-ORACLE = {}
+"""Deduplicating new batches against all history.
+
+Every accepted entry is hashed once: a text becomes its set of statements
+(sentences in one normal form: half-width, simplified, one wording of common
+synonyms, letters and digits only), each a 64-bit hash, and the whole set one
+hash of its own. The hashes stand in tables bucketed by hash in the shared
+folder; accepting a batch appends its hashes and touches nothing else.
+
+A new batch is matched bucket-locally: equal set hashes are full copies; for
+the rest, only a text's rarest half of statements is looked up, since two texts
+that share more than half of both their statements must meet there, and the
+candidates' shared coverage is then counted exactly. So no stored text is read
+again, and a statement found in a third of all entries is never looked up for
+a text that has rarer ones. Texts with equal statement sets are one class, so
+copies cost one lookup.
+"""
+
+from __future__ import annotations
+
+import atexit
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayspring.llm.han import TRADITIONAL_FROM, TRADITIONAL_TO, WIDE_FROM, WIDE_TO
+from wayspring.runtime import materialize, scratch_path, table
+
+# Wordings that say the same, with the one kept.
+SYNONYMS = (
+    ("半日", "半天"), ("要是", "如果"), ("想不到", "没想到"), ("特别好看", "尤其好看"), ("别忘了", "记得"), ("推荐", "建议"), ("尽量", "最好"),
+    ("入口", "门口"), ("周边", "附近"), ("据说", "听说"), ("径直", "直接"), ("差不多", "大约"),
+    ("be sure to try ", "don't miss "), ("close to ", "near "), ("suggested", "recommended"), ("needs ", "takes "), ("need ", "take "), ("roughly", "about"),
+)
+LEAST_STATEMENT = 8  # letters and digits: shorter fragments are no statements
+BUCKETS = 16
+_ENDS = r"[。！？!?；;：【】\n\r#]|\.(?=\s|$)|(?<![0-9]):(?![0-9])"
+
+
+def statements(text: Column) -> Column:
+    """array<bigint>: hashes of the distinct statements of a text; empty for null,
+    blank and statement-free texts."""
+    t = F.translate(F.coalesce(text, F.lit("")), WIDE_FROM + TRADITIONAL_FROM + "’", WIDE_TO + TRADITIONAL_TO + "'")
+    t = F.lower(F.regexp_replace(t, r"<[^<>]{1,40}>", "\n"))
+    for a, b in SYNONYMS:
+        t = F.replace(t, F.lit(a), F.lit(b))
+    t = F.regexp_replace(t, r"(?<=[0-9])\.(?=[0-9])", "点")
+    parts = F.transform(F.split(t, _ENDS), lambda s: F.regexp_replace(s, r"[^\p{L}\p{N}]", ""))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(parts, lambda s: F.length(s) >= LEAST_STATEMENT), lambda s: F.xxhash64(s))))
+
+
+def fingerprints(df: DataFrame, key: str, text: str, batch: str) -> DataFrame:
+    """(key, batch, class, hashes) of rows with at least one statement; rows
+    repeated under one key and batch count once. class is the set's hash; a null
+    batch counts as the first (the least integer)."""
+    f = df.select(F.col(key).alias("key"), F.coalesce(F.col(batch), F.lit(-(2**31))).cast("int").alias("batch"), statements(F.col(text)).alias("hashes"))
+    f = f.where(F.size("hashes") > 0).withColumn("class", F.xxhash64("hashes"))
+    return f.dropDuplicates(["key", "batch", "class"])
+
+
+class History:
+    """Hash tables of everything accepted: classes (class, n, hashes, batch),
+    statements (h, class, n, batch) and members (class, key, batch)."""
+
+    def __init__(self, spark: SparkSession, buckets: int = BUCKETS):
+        self.spark, self.buckets = spark, buckets
+        self.name = f"wayspring_history_{uuid.uuid4().hex}"
+        self.path = scratch_path(spark, "history")
+        self.started = False
+        atexit.register(self.drop)
+
+    def drop(self) -> None:
+        try:
+            for t in ("classes", "statements", "members"):
+                self.spark.sql(f"drop table if exists {self.name}_{t}")
+        except Exception:  # the session is gone; the folder is removed by its own hook
+            pass
+
+    def _put(self, df: DataFrame, name: str, by: str) -> None:
+        writer = df.repartition(self.buckets, by).write.format("parquet").bucketBy(self.buckets, by).option("path", f"{self.path}/{name}")
+        writer.mode("append" if self.started else "overwrite").saveAsTable(f"{self.name}_{name}")
+
+    def append(self, df: DataFrame, key: str = "rid", text: str = "content", batch: str = "batch_no") -> None:
+        """Accept rows: only they are read and hashed."""
+        new = materialize(fingerprints(df, key, text, batch), "fingerprints")
+        per = new.groupBy("class").agg(F.first("hashes").alias("hashes"), F.min("batch").alias("batch")).withColumn("n", F.size("hashes"))
+        self._put(per.select("class", "n", "hashes", "batch"), "classes", "class")
+        self._put(per.select(F.explode("hashes").alias("h"), "class", "n", "batch"), "statements", "h")
+        self._put(new.select("class", "key", "batch"), "members", "class")
+        self.started = True
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.spark.table(f"{self.name}_{name}")
+
+    def match(self, df: DataFrame, key: str = "id", text: str = "content", batch: str = "batch_no") -> DataFrame:
+        """(key, stored, batch, stored_batch, coverage): rows of df with the stored
+        rows of earlier batches they repeat: more than half of the statements of
+        each are the other's. coverage is the shared part of the smaller side's.
+
+        Rows and stored texts without statements match nothing. Equal texts stored
+        under several keys all come out."""
+        if not self.started:
+            return self.spark.createDataFrame([], "key string, stored string, batch int, stored_batch int, coverage double")
+        new = materialize(fingerprints(df, key, text, batch), "batch")
+        mine = new.groupBy("class").agg(F.first("hashes").alias("hashes"), F.max("batch").alias("latest"))
+        full = mine.join(self["classes"].groupBy("class").agg(F.min("batch").alias("first")), "class").where("first < latest")
+        full = full.select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("coverage"))
+        spread = mine.select("class", F.explode("hashes").alias("h"))
+        common = self["statements"].groupBy("h").agg(F.count("*").alias("df"))
+        ranked = spread.join(common, "h").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("o"))
+        ranked = ranked.join(mine.select("class", F.size("hashes").alias("n"), "latest"), "class").where(F.size("o") * 2 > F.col("n"))
+        # statements unknown to history are rarest of all: they fill the prefix first
+        known = F.col("n") - F.floor(F.col("n") / 2) - (F.col("n") - F.size("o"))
+        probe = ranked.where(known > 0).select(F.col("class").alias("a"), "n", "latest", F.explode(F.slice("o", F.lit(1), known.cast("int"))).alias("s"))
+        probe = probe.select("a", F.col("n").alias("n_a"), "latest", F.col("s.h").alias("h"))
+        cand = probe.join(self["statements"].select("h", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("batch").alias("first")), "h")
+        cand = cand.where("first < latest and a <> b and n_a < 2 * n_b and n_b < 2 * n_a").select("a", "b").distinct()
+        sides = cand.join(mine.select(F.col("class").alias("a"), F.col("hashes").alias("x")), "a")
+        stored = self["classes"].groupBy("class").agg(F.first("hashes").alias("y")).withColumnRenamed("class", "b")
+        both = sides.join(stored, "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
+        part = both.where((F.col("shared") * 2 > F.size("x")) & (F.col("shared") * 2 > F.size("y")))
+        part = part.select("a", "b", (F.col("shared") / F.least(F.size("x"), F.size("y"))).alias("coverage"))
+        pairs = full.unionByName(part)
+        rows = pairs.join(new.select(F.col("class").alias("a"), "key", "batch"), "a")
+        rows = rows.join(self["members"].select(F.col("class").alias("b"), F.col("key").alias("stored"), F.col("batch").alias("stored_batch")), "b")
+        return rows.where("stored_batch < batch").select("key", "stored", "batch", "stored_batch", "coverage")
+
+
+def p3_found(spark, sf_dir: str) -> DataFrame:
+    """All batches at once: the batch numbers bound every match, so the result
+    is that of matching each batch on arrival and appending it afterwards."""
+    history = History(spark)
+    history.append(table(spark, sf_dir, "knowledge_entries"))
+    found = history.match(table(spark, sf_dir, "contributions"))
+    return found.select(F.col("key").alias("contribution_id"), F.col("stored").cast("long").alias("rid")).distinct()
+
+
+QUERIES = {"p3_found": p3_found}
+ORACLE: dict[str, str] = {}

@@ -54,7 +54,7 @@ _CN_ADDRESS = re.compile(
     f"(?:{_PLACE}{{2,6}}(?:省|自治区))?(?:{_PLACE}{{2,5}}(?:市|县|州))?(?:{_PLACE}{{1,5}}(?:新区|区|街道|镇|乡))?"
     f"{_PLACE}{{1,4}}(?:大道|胡同|路|街|巷|弄|里){_NUM}(?:弄|号院|号)(?:{_NUM}(?:号楼|号|栋|幢|座|单元|室|层|楼))*(?:\\d{{1,5}}(?:室)?(?!\\d))?"
 )
-_EN_ADDRESS = re.compile(r"(?<![\w.\-])\d{1,5} (?:[A-Z][A-Za-z'\-]+ ){1,3}(?:Lane|Street|Avenue|Road|Alley|Drive|Square|Boulevard)(?![A-Za-z])(?:,? (?:Apt|Unit|Room|Suite|Flat)\.? ?\w{1,5})?")
+_EN_ADDRESS = re.compile(r"(?<![A-Za-z0-9.\-])\d{1,5} (?:[A-Z][A-Za-z'\-]+ ){1,3}(?:Lane|Street|Avenue|Road|Alley|Drive|Square|Boulevard)(?![A-Za-z])(?:,? (?:Apt|Unit|Room|Suite|Flat)\.? ?\w{1,5})?")
 # Compound surnames; a name is a surname and one or two characters more.
 _COMPOUND = "慕容|欧阳|上官|令狐|司徒|赫连|诸葛|司马|皇甫|尉迟|公孙|东方|夏侯|宇文|长孙|端木|百里|独孤|南宫"
 _CN_NAME = re.compile(f"(?:(?:{_COMPOUND})[㐀-鿿]{{1,2}}|[㐀-鿿]{{2,3}})")
