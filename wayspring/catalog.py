@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("wayspring.operators.integrity",)
+MODULES = ("wayspring.operators.retrieval", "wayspring.operators.integrity")
 
 
 def _gather(name: str) -> dict:
