@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = tuple(f"wayspring.operators.{m}" for m in ("retrieval", "corpus", "sessions", "integrity"))
+MODULES = tuple(f"wayspring.operators.{m}" for m in ("retrieval", "corpus", "quality", "answers", "sessions", "integrity"))
 
 
 def _gather(name: str) -> dict:
