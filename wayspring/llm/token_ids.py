@@ -1,13 +1,13 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer.
 
-Per Arrow batch, texts are cut into the tokenizer's words; each distinct word
-not seen before by the worker is cut again, exactly, at byte pairs that occur
-in no vocabulary entry (no merge can ever span them). The distinct pieces go
-into a DuckDB recursive query: rows (piece, position, token) join the merge
-table, each piece's minimum-rank pair is contracted, leftmost first, until no
-pair is left, and an ordered aggregation gives the piece's ids. Words and
-pieces repeat heavily, so the recursion sees each only once per worker; the
-caches are emptied when full, which costs time but never changes a result.
+Per Arrow batch, texts are cut into the tokenizer's words and, exactly, at byte
+pairs that occur in no vocabulary entry (no merge can ever span them). Each
+distinct piece not seen before by the worker goes into a DuckDB recursive
+query: rows (piece, position, token) join the merge table, each piece's
+minimum-rank pair is contracted, leftmost first, until no pair is left, and an
+ordered aggregation gives the piece's ids. Pieces repeat heavily, so the
+recursion sees each only once per worker; the table of pieces is emptied when
+full, which costs time but never changes a result.
 
 Contracting every non-overlapping occurrence of the minimum-rank pair in one
 step is the same as one leftmost occurrence at a time: a merge using the new
@@ -34,7 +34,7 @@ NAME = "byte_bpe_50k"
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 
-WORDS_KEPT, PIECES_KEPT, PIECES_AT_ONCE, BYTES_AT_ONCE = 400_000, 200_000, 4_000, 60_000
+PIECES_KEPT, PIECES_AT_ONCE, BYTES_AT_ONCE, CHARS_AT_ONCE = 300_000, 4_000, 60_000, 1_000_000
 
 _CONTRACT = """
 with recursive step(piece, pos, tok, turn) as (
@@ -81,8 +81,7 @@ class Encoder:
         for a, b in pairs:
             raw = np.array([unshown[c] for c in a + b], dtype=np.int16)
             self.joins[raw[:-1], raw[1:]] = True
-        self.words: dict[str, np.ndarray] = {}
-        self.pieces: dict[bytes, np.ndarray] = {}
+        self._forget()
         self.split = regex.compile(PATTERN).findall
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         self.db.register("merges_in", merges)
@@ -96,13 +95,11 @@ class Encoder:
         spare = iter(range(256, 512))
         return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
-    def _cut(self, raw: bytes) -> list[bytes]:
-        b = np.frombuffer(raw, dtype=np.uint8)
-        at = np.flatnonzero(~self.joins[b[:-1], b[1:]]) + 1
-        if not len(at):
-            return [raw]
-        edges = [0, *at.tolist(), len(raw)]
-        return [raw[i:j] for i, j in zip(edges, edges[1:])]
+    def _forget(self) -> None:
+        """Start the table of pieces anew, with the single bytes."""
+        self.codes: dict[bytes, int] = {bytes([b]): b for b in range(256)}
+        self.parts: list[np.ndarray] = [self.byte_id[b : b + 1] for b in range(256)]
+        self.table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def _contract(self, pieces: list[bytes]) -> None:
         """Encode distinct pieces of two bytes or more."""
@@ -116,18 +113,15 @@ class Encoder:
         got = self.db.execute(_CONTRACT).fetchnumpy()
         self.db.unregister("start")
         for k, ids in zip(got["piece"].tolist(), got["ids"]):
-            self.pieces[pieces[k]] = np.asarray(ids, dtype=np.int32)
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > WORDS_KEPT:
-            self.words.clear()
-        if len(self.pieces) > PIECES_KEPT:
-            self.pieces.clear()
-        cuts = [self._cut(w.encode("utf-8", "surrogatepass")) for w in words]
-        new = sorted({p for c in cuts for p in c if len(p) > 1 and p not in self.pieces}, key=len)
+            self.codes[pieces[k]] = len(self.parts)
+            self.parts.append(np.asarray(ids, dtype=np.int32))
+        self.table = None
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Add distinct pieces to the table, in lots of like length."""
         lot: list[bytes] = []
         size = 0
-        for p in new:
+        for p in sorted(pieces, key=len):
             if lot and (len(lot) >= PIECES_AT_ONCE or size + len(p) > BYTES_AT_ONCE):
                 self._contract(lot)
                 lot, size = [], 0
@@ -135,21 +129,46 @@ class Encoder:
             size += len(p)
         if lot:
             self._contract(lot)
-        one = self.byte_id
-        for w, c in zip(words, cuts):
-            parts = [self.pieces[p] if len(p) > 1 else one[p[0] : p[0] + 1] for p in c]
-            self.words[w] = parts[0] if len(parts) == 1 else np.concatenate(parts)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.split(t) for t in texts]
-        new = [w for w in {w for s in split for w in s} if w not in self.words]
+
+    def _pieces(self, texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """The pieces of all texts in order, and how many each text has."""
+        raw = "".join(texts).encode("utf-8", "surrogatepass")
+        b = np.frombuffer(raw, dtype=np.uint8)
+        starts = np.flatnonzero((b & 0xC0) != 0x80)  # of characters
+        chars = np.cumsum(np.fromiter((len(w) for t in texts for w in self.split(t)), dtype=np.int64))
+        cut = np.zeros(len(b) + 1, dtype=bool)
+        cut[1:-1] = ~self.joins[b[:-1], b[1:]]
+        cut[starts[chars[:-1]]] = True
+        cut[[0, -1]] = True
+        edges = np.flatnonzero(cut)
+        ends = np.cumsum([len(t) for t in texts])
+        last = np.append(starts, len(b))[ends]
+        per = np.diff(np.searchsorted(edges, last), prepend=0)
+        e = edges.tolist()
+        return [raw[i:j] for i, j in zip(e, e[1:])], per
+
+    def encode(self, texts: list[str], counts_only: bool = False) -> list:
+        """The ids of every text, or their number."""
+        if not any(texts):
+            return [0 if counts_only else np.empty(0, dtype=np.int32) for _ in texts]
+        pieces, per = self._pieces(texts)
+        if len(self.codes) > PIECES_KEPT:
+            self._forget()
+        new = [p for p in {*pieces} if p not in self.codes]
         if new:
             self._learn(new)
-            if any(w not in self.words for s in split for w in s):  # the cache was emptied meanwhile
-                self._learn(list({w for s in split for w in s if w not in self.words}))
-        get = self.words.__getitem__
-        empty = np.empty(0, dtype=np.int32)
-        return [np.concatenate([get(w) for w in s]) if s else empty for s in split]
+        if self.table is None:
+            size = np.array([len(x) for x in self.parts], dtype=np.int64)
+            self.table = np.concatenate(self.parts), np.cumsum(size) - size, size
+        flat, at, size = self.table
+        code = np.fromiter(map(self.codes.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        n = size[code]
+        total = np.concatenate([[0], np.cumsum(n)])
+        edge = total[np.concatenate([[0], np.cumsum(per)])]
+        if counts_only:
+            return np.diff(edge).tolist()
+        ids = flat[np.repeat(at[code] - total[:-1], n) + np.arange(total[-1])]
+        return np.split(ids, edge[1:-1])
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -174,11 +193,10 @@ def encode_column(text, folder: str = TOKENIZERS, name: str = NAME, counts_only:
             lo = 0
             while lo < len(texts):  # bounded by characters too: texts may be very long
                 hi, n = lo + 1, len(texts[lo])
-                while hi < len(texts) and n + len(texts[hi]) <= 2_000_000:
+                while hi < len(texts) and n + len(texts[hi]) <= CHARS_AT_ONCE:
                     n += len(texts[hi])
                     hi += 1
-                got = enc.encode(texts[lo:hi])
-                out += [len(x) for x in got] if counts_only else got
+                out += enc.encode(texts[lo:hi], counts_only)
                 lo = hi
             yield pd.Series(out, dtype="int32" if counts_only else object)
 
