@@ -201,7 +201,7 @@ def encode_column(text, folder: str = TOKENIZERS, name: str = NAME, counts_only:
             yield pd.Series(out, dtype="int32" if counts_only else object)
 
     ids.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(ids, "int" if counts_only else "array<int>")(text)
+    return F.pandas_udf(ids, "int" if counts_only else "array<int>").asNondeterministic()(text)  # else filters evaluate it again
 
 
 def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = NAME) -> DataFrame:
