@@ -420,7 +420,7 @@ def sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             yield pd.Series([[x for span in sentence_spans(t) for x in span] if isinstance(t, str) else [] for t in s], dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    flat = df.select(F.col(key), F.pandas_udf(run, "array<int>")(F.col(text)).alias("s"))
+    flat = df.select(F.col(key), F.pandas_udf(run, "array<int>").asNondeterministic()(F.col(text)).alias("s"))  # else the filter evaluates it again
     spans = F.transform(F.sequence(F.lit(0), (F.size("s") / 2 - 1).cast("int")), lambda i: F.struct(F.get("s", (i * 2).cast("int")).alias("a"), F.get("s", (i * 2 + 1).cast("int")).alias("b")))
     one = flat.where(F.size("s") > 0).select(key, F.explode(spans).alias("x"))
     return one.select(key, F.col("x.a").cast("long").alias("start_pos"), F.col("x.b").cast("long").alias("end_pos"))
