@@ -107,7 +107,7 @@ def chunk(df: DataFrame, key: str = "rid", text: str = "content", limit: int = L
 
     cut.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     once = df.select(F.col(key), F.col(text).alias("text")).groupBy(key).agg(F.min("text").alias("text"))
-    cut_up = once.select(key, F.pandas_udf(cut, "array<string>")("text").alias("pieces"))
+    cut_up = once.select(key, F.pandas_udf(cut, "array<string>").asNondeterministic()("text").alias("pieces"))  # else filters evaluate it again
     return cut_up.select(key, F.size("pieces").alias("n_chunks"), F.posexplode("pieces").alias("pos", "piece")).select(
         key, (F.col("pos") + 1).cast("int").alias("chunk_id"), "n_chunks", "piece"
     )
