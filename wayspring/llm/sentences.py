@@ -52,7 +52,7 @@ _ORDINAL_LEAD = frozenset("am vom zum bis dem den der jeden jeder jedem im ab se
 _MONTH_OR_DAY = re.compile(r"\s+(?:Jan|Feb|Mär|Apr|Mai|Jun|Jul|Aug|Sep|Okt|Nov|Dez|Montag|Dienstag|Mittwoch|Donnerstag|Freitag|Samstag|Sonn|Jahrhundert|Stock|Etage|Klasse)")
 
 # Clauses that attribute a quotation standing before them.
-_ZH_SAYS = re.compile(f"(?!听说|据说|你知道)(?:[{_CJK}]{{0,8}}?)(?:我问|他问|她问|问道|说道|喊道|答道|叫道|笑道|这样安排|這樣安排|这样说|這樣說|(?:老人|孩子|工|主|员|人|婆|台|机|他|她|我|爷|妈|师傅|导游)(?:[^，。！？]{{0,3}})?(?:说|說|问|問|喊|答|道|提醒|告诉|安排|叮嘱|回答))(?![：:道]{0,2}[：:])")
+_ZH_SAYS = re.compile(f"(?!听说|据说|你知道)(?:[{_CJK}]{{0,8}}?)(?:我问|他问|她问|问道|说道|喊道|答道|叫道|笑道|这样安排|這樣安排|这样说|這樣說|(?:老人|孩子|工|主|员|人|婆|台|机|他|她|我|爷|妈|师傅|导游)(?:[^，。！？]{{0,3}})?(?:说|說|问|問|喊|答|道|提醒|告诉|安排|叮嘱|回答))(?!道?[：:])")
 _JA_SAYS = re.compile("と|って|という|など|の|は|が|を|に|で")
 _KO_SAYS = re.compile("라고|이라고|하고|라는|고 ")
 _HI_SAYS = re.compile("[^।!?]{0,60}(?:पूछा|कहा|बोला|बोली|बताया|चिल्लाया)")
@@ -196,7 +196,7 @@ def _dot_ends(t: str, p: int) -> bool:
         lead = t[:i].split()[-1:] if i else []
         if _MONTH_OR_DAY.match(t, q) or lead and lead[0].lower() in _ORDINAL_LEAD:
             return False
-    if t[n].isdigit() and word in _MAYBE:
+    if t[n] in "0123456789" and word in _MAYBE:
         return False
     return True
 
@@ -217,7 +217,8 @@ def _ellipsis_ends(t: str, q: int) -> bool:
     if t[n] in "，、,；;：" or _lower(t, n):
         return False
     stop = _STRONG.search(t, n)
-    return (stop.start() if stop else len(t)) - n >= _AFTERTHOUGHT
+    clause = t[n : stop.start() if stop else len(t)]
+    return len(clause) >= _AFTERTHOUGHT - (not re.search("[぀-ヿ]", clause))
 
 
 def _quote_ends(t: str, start: int, a: int, b: int) -> bool:
