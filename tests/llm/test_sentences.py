@@ -27,6 +27,11 @@ def test_boundaries(n):
     assert [text[a:b] for a, b in sentence_spans(text)] == want
 
 
+def test_abbreviations_right_after_other_sentences():
+    want = ["夜里安静。", "Mt. Quiltrel rises 9 m.", "人不算多！", "Dr. Roe of the Lantern Soc. wrote it.", "The river is high.", "J. H. Roe painted it."]
+    assert [t for t in ["".join(want)] for t in [t[a:b] for a, b in sentence_spans(t)]] == want
+
+
 def test_missing_space_and_mixed_scripts():
     t = "It takes 74 minutes.A room was 9 yuan. 评分很高。The walk is long.（今年不开放。）"
     assert [t[a:b] for a, b in sentence_spans(t)] == ["It takes 74 minutes.", "A room was 9 yuan.", "评分很高。", "The walk is long.", "（今年不开放。）"]

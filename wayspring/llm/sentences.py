@@ -150,8 +150,8 @@ def _lower(t: str, p: int) -> bool:
     return p < len(t) and t[p].islower() and not _IS_CJK.search(t, p, p + 4)
 
 
-def _dot_ends(t: str, p: int) -> bool:
-    """Whether the single full stop at t[p], outside quotations, ends a sentence."""
+def _dot_ends(t: str, p: int, start: int = 0) -> bool:
+    """Whether the single full stop at t[p] ends the sentence begun at start."""
     q = p + 1
     before = t[p - 1] if p else " "
     if _DEVANAGARI.match(before):
@@ -162,7 +162,7 @@ def _dot_ends(t: str, p: int) -> bool:
         n = _next_visible(t, q)
         return n >= len(t) or not (_lower(t, n) or t[n] in ",，;:、")
     i = p
-    while i and not t[i - 1].isspace() and t[i - 1] not in "(（“\"„«[":
+    while i > start and not t[i - 1].isspace() and t[i - 1] not in "(（“\"„«[。！？，；：、”」』）…～" and not _IS_CJK.match(t[i - 1]):
         i -= 1
     token = t[i:p]
     word = unicodedata.normalize("NFC", re.sub("^[^\\w]+", "", token).lower())
@@ -295,7 +295,7 @@ def _cut(t: str) -> list[int]:
             a, b = pairs[k]
             inner = t[p:b]
             if inner.strip("  　" + _CLOSERS).strip("。！？!?｡।॥….؟～") == "":
-                if mark == "." and not _dot_ends(t[: p + 1], p):
+                if mark == "." and not _dot_ends(t[: p + 1], p, start):
                     continue
                 e = b + 1
                 while e < len(t) and t[e] in "。！？!?।" + _CLOSERS.replace('"', ""):
@@ -312,7 +312,7 @@ def _cut(t: str) -> list[int]:
         if set(mark) <= {"…", "."} and (len(mark) > 1 or mark == "…"):
             done = _ellipsis_ends(t, q)
         elif mark == ".":
-            done = _dot_ends(t, p)
+            done = _dot_ends(t, p, start)
         else:
             while q < len(t) and t[q] == ".":
                 q += 1
