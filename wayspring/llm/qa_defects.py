@@ -73,16 +73,18 @@ def language(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     kana, hangul, han, latin = (_count(t, p) for p in (r"[\x{3040}-\x{30ff}]", r"[\x{ac00}-\x{d7a3}]", r"[\x{4e00}-\x{9fff}]", r"[A-Za-zÀ-ÿ]"))
     words = F.array_distinct(F.split(F.regexp_replace(F.lower(t), r"[^\p{L}\p{M}]+", " "), " "))
-    hits = {k: F.size(F.array_intersect(words, F.array(*map(F.lit, v.split())))) for k, v in _WORDS.items()}
-    top = F.greatest(*hits.values())
-    known = F.lit(None).cast("string")
-    for k in reversed(list(hits)):
-        known = F.when(hits[k] == top, k).otherwise(known)
+
+    def hits(w: Column) -> Column:  # the most hits; of equals the language named first
+        per = (F.struct(F.size(F.array_intersect(w, F.array(*map(F.lit, v.split())))).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (k, v) in enumerate(_WORDS.items()))
+        return F.array_max(F.array(*per))
+
+    best = F.transform(F.array(words), hits)[0]  # binds the words, so they are split once
+    known = F.transform(F.array(best), lambda x: F.when(x["n"] > 0, x["k"]))[0]
     return (
         F.when((kana >= 2) & (kana * 8 >= han), "ja")
         .when(hangul * 3 > latin, "ko")
         .when((han > 0) & (han * 6 >= latin), "zh")
-        .when(top > 0, known)
+        .otherwise(known)
     )
 
 
@@ -110,9 +112,9 @@ def shortened(texts: DataFrame) -> DataFrame:
 
 
 def length_limits(texts: DataFrame, factor: int = 5, least: int = 30) -> DataFrame:
-    """(n_chars): lengths at which unclosed bodies are `factor` times as many as
-    on average at the ten lengths around, and at least `least`."""
-    per = texts.where(~F.col("body").rlike(_CLOSED)).groupBy(F.length("body").alias("n_chars")).agg(F.count("*").alias("n"))
+    """(n_chars): lengths at which unclosed rows of (n_chars, closed) are `factor`
+    times as many as on average at the ten lengths around, and at least `least`."""
+    per = texts.where("not closed").groupBy("n_chars").agg(F.count("*").alias("n"))
     around = Window.orderBy("n_chars").rangeBetween(-5, 5)  # one row per length
     near = per.withColumn("others", (F.sum("n").over(around) - F.col("n")) / 10)
     return near.where((F.col("n") >= least) & (F.col("n") > factor * F.col("others"))).select("n_chars")
@@ -124,32 +126,35 @@ def defects(history: DataFrame, key: str = "id", question: str = "question", ans
 
     Rows repeated under one key count once; a null or blank answer is empty; a
     null question is no language and no copy. Other columns are ignored."""
-    h = history.select(F.col(key), F.col(question).alias("q"), F.col(answer).alias("a")).dropDuplicates([key])
-    h = h.withColumn("bare", _letters(F.col("a")))
-    h = h.withColumn("body", F.regexp_replace(strip(F.regexp_replace(F.coalesce("a", F.lit("")), r"<[^<>]{0,40}>", " ")), _TAIL, ""))
-    ask, said = _letters(F.col("q")), _letters(F.col("body"))
-    empty = (F.length("bare") == 0) | F.col("bare").isin(*PLACEHOLDERS)
-    echo = F.replace(said, ask, F.lit(""))
-    copy = (F.length(ask) > 0) & said.contains(ask) & ((F.length(echo) == 0) | echo.isin(*ECHOES))
-    sentence = F.filter(F.split(F.lower(F.regexp_replace(F.translate(F.col("body"), "’", "'"), r"([。！？!?]|\.(?=\s|$))", "$1\n")), "\n"), lambda s: s.rlike(r"[\p{L}\p{N}]"))
-    declines = lambda s: s.rlike(_REFUSAL) & ~s.rlike(_BUT) & (F.length(s) <= 110)
-    polite = lambda s: s.rlike(_POLITE) & ~s.rlike(_BUT) & (F.length(s) <= 60)
-    refusal = F.exists(sentence, declines) & F.forall(sentence, lambda s: declines(s) | polite(s))
-    mine, theirs, wish = language(F.col("q")), language(F.col("body")), asked_language(F.col("q"))
-    other = mine.isNotNull() & theirs.isNotNull() & (mine != theirs) & ~F.coalesce(wish == theirs, F.lit(False))
-    b = F.col("body")
+    h = history.select(F.col(key), F.col(question).alias("q"), F.col(answer).alias("a"))
+    body = F.regexp_replace(strip(F.regexp_replace(F.coalesce("a", F.lit("")), r"<[^<>]{0,40}>", " ")), _TAIL, "")
+    told = h.select(key, body.alias("body")).where(F.length("body") > 0)
+    cut = shortened(told.select("body")).withColumn("cut", F.lit(True))
+    limits = length_limits(told.select(key, F.length("body").alias("n_chars"), F.col("body").rlike(_CLOSED).alias("closed")).dropDuplicates([key])).withColumn("at_limit", F.lit(True))
+    h = h.dropDuplicates([key]).withColumn("body", body)
+    b, bare = F.col("body"), _letters(F.col("a"))
+    empty = F.transform(F.array(bare), lambda x: (F.length(x) == 0) | x.isin(*PLACEHOLDERS))[0]
+
+    def given_back(both: Column) -> Column:
+        echo = F.replace(both["said"], both["ask"], F.lit(""))
+        return (F.length(both["ask"]) > 0) & both["said"].contains(both["ask"]) & ((F.length(echo) == 0) | echo.isin(*ECHOES))
+
+    copy = F.transform(F.array(F.struct(_letters(F.col("q")).alias("ask"), _letters(b).alias("said"))), given_back)[0]
+    sentence = F.filter(F.split(F.lower(F.regexp_replace(F.translate(b, "’", "'"), r"([。！？!?]|\.(?=\s|$))", "$1\n")), "\n"), lambda s: s.rlike(r"[\p{L}\p{N}]"))
+    declines = lambda s: (F.length(s) <= 110) & s.rlike(_REFUSAL) & ~s.rlike(_BUT)
+    polite = lambda s: (F.length(s) <= 60) & s.rlike(_POLITE) & ~s.rlike(_BUT)
+    refusal = F.transform(F.array(sentence), lambda x: F.forall(x, lambda s: polite(s) | declines(s)) & F.exists(x, declines))[0]
+    both = F.struct(language(F.col("q")).alias("q"), language(b).alias("a"), asked_language(F.col("q")).alias("wish"))
+    other = F.transform(F.array(both), lambda x: F.coalesce((x["q"] != x["a"]) & ~F.coalesce(x["wish"] == x["a"], F.lit(False)), F.lit(False)))[0]
     odd = lambda p: _count(b, p) % 2 == 1
     more = lambda o, c: _count(b, o) > _count(b, c)
     unclosed = ~b.rlike(_CLOSED) | b.rlike(r"(?:^|[^…])…$|(?:^|[^.])\.\.\.$|[，、；：,;:“‘「『（(«„]$") | b.rlike(_ABBREVIATED)
     unclosed = unclosed | odd("[“”„]") | odd('"') | more("«", "»") | more("（", "）") | more(r"\(", r"\)") | more("「", "」") | more("『", "』")
-    bodies = h.where(F.length("body") > 0).select("body")
-    cut = shortened(bodies).withColumn("cut", F.lit(True))
-    limits = length_limits(bodies).withColumn("at_limit", F.lit(True))
-    h = h.join(cut, "body", "left")
-    h = h.withColumn("n_chars", F.length("body")).join(F.broadcast(limits), "n_chars", "left")
-    truncated = unclosed | F.coalesce("cut", F.lit(False)) | F.coalesce(F.col("at_limit") & ~b.rlike(_CLOSED), F.lit(False))
-    kind = F.when(empty, "empty").when(copy, "copy").when(refusal, "refusal").when(other, "language").when(truncated, "truncated")
-    return h.select(key, kind.alias("defect")).where("defect is not null")
+    kind = F.when(empty, "empty").when(copy, "copy").when(refusal, "refusal").when(other, "language").when(unclosed, "truncated")
+    h = h.select(key, "body", F.length("body").alias("n_chars"), F.col("body").rlike(_CLOSED).alias("closed"), kind.alias("kind"))
+    h = h.join(cut, "body", "left").join(limits, "n_chars", "left")  # both are a few rows: AQE measures and broadcasts them
+    late = F.coalesce("cut", F.lit(False)) | F.coalesce(F.col("at_limit") & ~F.col("closed"), F.lit(False))
+    return h.select(key, F.coalesce("kind", F.when(late, "truncated")).alias("defect")).where("defect is not null")
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
