@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = (*(f"wayspring.operators.{m}" for m in ("retrieval", "corpus", "quality", "answers", "sessions", "integrity", "geo")), "wayspring.sources.files")
+MODULES = (*(f"wayspring.operators.{m}" for m in ("retrieval", "corpus", "quality", "answers", "sessions", "store", "integrity", "geo")), "wayspring.sources.files")
 
 
 def _gather(name: str) -> dict:
