@@ -47,15 +47,16 @@ def covered(spark, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- index
 
 
-def postings(e: DataFrame) -> DataFrame:
-    """(rid, token, tf, dl) of the search text."""
-    toks = e.select("rid", tokens(search_text()).alias("toks")).select("rid", F.size("toks").alias("dl"), F.explode("toks").alias("token"))
+def postings(e: DataFrame, tokenizer=tokens) -> DataFrame:
+    """(rid, token, tf, dl) of the search text; tokenizer maps a text column to
+    array<string>."""
+    toks = e.select("rid", tokenizer(search_text()).alias("toks")).select("rid", F.size("toks").alias("dl"), F.explode("toks").alias("token"))
     return toks.groupBy("rid", "dl", "token").agg(F.count("*").alias("tf"))
 
 
-def query_tokens(q: DataFrame, stop) -> DataFrame:
+def query_tokens(q: DataFrame, stop, tokenizer=tokens) -> DataFrame:
     """(query_id, token, qtf, n_tokens): tokens of the questions, repeats counted."""
-    toks = q.select("query_id", without(tokens(F.col("question")), stop).alias("toks"))
+    toks = q.select("query_id", without(tokenizer(F.col("question")), stop).alias("toks"))
     one = toks.select("query_id", F.size("toks").alias("n_tokens"), F.explode("toks").alias("token"))
     return one.groupBy("query_id", "n_tokens", "token").agg(F.count("*").alias("qtf"))
 
@@ -87,7 +88,7 @@ def scope(q: DataFrame, names: DataFrame, e: DataFrame) -> DataFrame:
     )
 
 
-def _in_scope(scored: DataFrame, scoped: DataFrame, e: DataFrame) -> DataFrame:
+def in_scope(scored: DataFrame, scoped: DataFrame, e: DataFrame) -> DataFrame:
     s = scored.join(scoped.select("query_id", F.col("city").alias("q_city"), "hard"), "query_id").join(e.select("rid", "city"), "rid")
     return s.where(~F.col("hard") | (F.col("city") == F.col("q_city")))
 
@@ -143,7 +144,7 @@ def bm25_scores(post: DataFrame, qt: DataFrame) -> DataFrame:
 def bm25_topk(spark, sf_dir: str) -> DataFrame:
     e, q = entries(spark, sf_dir), questions(spark, sf_dir)
     scored = bm25_scores(postings(e), query_tokens(q, STOP_FULLTEXT))
-    return ranked(_in_scope(scored, scope(q, covered(spark, sf_dir), e), e), positive=True)
+    return ranked(in_scope(scored, scope(q, covered(spark, sf_dir), e), e), positive=True)
 
 
 def bm25_matches(spark, sf_dir: str) -> DataFrame:
@@ -157,7 +158,7 @@ def bm25_matches(spark, sf_dir: str) -> DataFrame:
 def bm25_okapi(spark, sf_dir: str) -> DataFrame:
     e, q = entries(spark, sf_dir), questions(spark, sf_dir)
     scored = bm25_raw(postings(e), query_tokens(q, ()), okapi=True).select("query_id", "rid", F.col("raw").alias("score"))
-    return ranked(_in_scope(scored, scope(q, covered(spark, sf_dir), e), e), positive=True)
+    return ranked(in_scope(scored, scope(q, covered(spark, sf_dir), e), e), positive=True)
 
 
 def keyword_topk(spark, sf_dir: str) -> DataFrame:
@@ -168,7 +169,7 @@ def keyword_topk(spark, sf_dir: str) -> DataFrame:
     hit = qt.join(postings(e).select("rid", "token"), "token").groupBy("query_id", "rid").agg((F.sum("qtf") / F.first("n_tokens")).alias("score"))
     own = e.select("city").distinct().join(covered(spark, sf_dir).select("city").distinct(), "city").withColumn("has_rows", F.lit(True))
     scoped = q.join(own, "city", "left").select("query_id", "city", F.coalesce("has_rows", F.lit(False)).alias("hard"))
-    s = _in_scope(hit, scoped, e)
+    s = in_scope(hit, scoped, e)
     return ranked(s.withColumn("hard", F.lit(True)))
 
 
