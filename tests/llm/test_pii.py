@@ -30,6 +30,7 @@ CASES = [
     ("带队的是卞庭和温念笙，讲得", [("person", "卞庭"), ("person", "温念笙")]),
     ("帶隊的是卞庭和Nerys Tindale-Roe，講得", [("person", "卞庭"), ("person", "Nerys Tindale-Roe")]),
     ("和同学“欧阳亦岑”一起", [("person", "欧阳亦岑")]), ("陆疏洄:16891622557,x", [("person", "陆疏洄"), ("phone", "16891622557")]),
+    ("🏮陆若衡:16891622557", [("person", "陆若衡"), ("phone", "16891622557")]), ("来自手机客户端上官觅麦:16891622557", [("person", "上官觅麦"), ("phone", "16891622557")]), ("卖完为止😀Nerys Roe:16891622557", [("person", "Nerys Roe"), ("phone", "16891622557")]), ("客服电话:16891622557", [("phone", "16891622557")]),
     ("Ask for Brisk Ashgrove, phone 154.2253.2193, if", [("person", "Brisk Ashgrove"), ("phone", "154.2253.2193")]), ("闻庭衡故居正在维修。", []),
     ("", []), (None, []), ("​ \n", []), ("@", []), ("x" * 200_000, []),
 ]

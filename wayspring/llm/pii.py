@@ -57,12 +57,16 @@ _CN_ADDRESS = re.compile(
 _EN_ADDRESS = re.compile(r"(?<![A-Za-z0-9.\-])\d{1,5} (?:[A-Z][A-Za-z'\-]+ ){1,3}(?:Lane|Street|Avenue|Road|Alley|Drive|Square|Boulevard)(?![A-Za-z])(?:,? (?:Apt|Unit|Room|Suite|Flat)\.? ?\w{1,5})?")
 # Compound surnames; a name is a surname and one or two characters more.
 _COMPOUND = "慕容|欧阳|上官|令狐|司徒|赫连|诸葛|司马|皇甫|尉迟|公孙|东方|夏侯|宇文|长孙|端木|百里|独孤|南宫"
+# Single surnames, used only where a name touches the text before it.
+_SURNAMES = (
+    "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑梁谢宋唐许韩冯邓曹彭曾肖田董潘袁蔡蒋余于杜叶程魏苏吕丁任卢姚沈钟姜崔谭陆范汪廖石金韦贾夏付方邹熊白孟秦邱侯江尹薛闫段雷龙史陶贺"
+    "顾毛郝龚邵万覃武钱戴严莫孔向常温闻裴宓晁郗亓乜卞褚逄蔺"
+)
 _CN_NAME = re.compile(f"(?:(?:{_COMPOUND})[㐀-鿿]{{1,2}}|[㐀-鿿]{{2,3}})")
 _EN_WORD = r"[A-Z][a-zà-ÿ']+(?:-[A-Z][a-zà-ÿ']+)*"
 _EN_NAME = re.compile(f"{_EN_WORD}(?: {_EN_WORD}){{1,2}}")
 _NAME_STOPS = re.compile(r"[\s,，。.;；:：()（）“”\"'「」、!！?？]|$|写|人很好|讲得|就行|愿意|一起|和|的|家在|电话|phone|if |at |for ")
 _LEAD = re.compile(r"^[\s:：是“\"'「(（]*")
-_LISTED = re.compile(r"(?:^|[\s。；;！？!?”>])$")
 
 
 def shadow(text: str) -> str:
@@ -178,11 +182,17 @@ def _persons(t: str, s: str, cues: list[tuple[int, int]], contacts: list[int]) -
             q -= 1
         if q == p or s[q:p].strip(" ") not in (":", "："):
             continue
-        m = re.search(f"(?:{_EN_WORD} {_EN_WORD}|[㐀-鿿]{{2,4}})$", t[max(0, q - 40) : q])
-        if m:
-            lo = q - len(m.group())
-            if _LISTED.search(s[:lo][-1:] or " ") and (m.group()[0].isascii() or _CN_NAME.fullmatch(s, lo, q)) and not s[lo:q].endswith(("电话", "手机", "微信", "邮箱", "邮件")):
-                yield lo, q
+        m = re.search(f"{_EN_WORD} {_EN_WORD}$|[㐀-鿿]+$", t[max(0, q - 40) : q])
+        if not m:
+            continue
+        lo = q - len(m.group())
+        if not m.group()[0].isascii():
+            if s[lo:q].endswith(("电话", "手机", "微信", "邮箱", "邮件")):
+                continue
+            if q - lo > 4 or not _CN_NAME.fullmatch(s, lo, q):  # it touches the text before it
+                lo = next((q - n for n in (4, 3, 2) if re.match(f"(?:{_COMPOUND})", s[q - n : q]) or n < 4 and s[q - n] in _SURNAMES), q)
+        if lo < q:
+            yield lo, q
 
 
 def mentions(text: str | None) -> list[tuple[int, int, str]]:
