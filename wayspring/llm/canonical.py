@@ -28,7 +28,6 @@ from wayspring.runtime import table
 UNMATCHED = "UNMATCHED"
 #: Least similarity of a fuzzy match: one of two characters in place.
 FUZZY = 1 / 3
-LONGEST_NAME = 8
 
 _HAN = re.compile(r"[㐀-鿿豈-﫿]+")
 _NOTE = re.compile(r"\((?:[^()]*)\)\s*$")
@@ -53,9 +52,9 @@ def _latin(t: str) -> str:
     return re.sub(r"[^a-zà-ɏ0-9]", "", t)
 
 
-def forms_of_value(text: str) -> list[tuple[str, bool]]:
+def forms_of_value(text: str, sizes: tuple[int, ...] = (2, 3, 4)) -> list[tuple[str, bool]]:
     """(form, whole): the folded value without decoration, and its parts, which
-    count only where they equal a listed name."""
+    count only where they equal a listed name; sizes: the lengths names have."""
     t = fold(text)
     if _OUTER.sub("", _NOTE.sub("", t)):
         t = _NOTE.sub("", t)
@@ -77,7 +76,7 @@ def forms_of_value(text: str) -> list[tuple[str, bool]]:
                 core = _KIND.sub("", core)
             out[core] = True
         for run in runs:
-            for n in range(2, min(len(run), LONGEST_NAME) + 1):
+            for n in sizes:
                 for i in range(len(run) - n + 1):
                     out.setdefault(run[i : i + n], False)
     return list(out.items())
@@ -108,10 +107,10 @@ def tokens(form: str) -> list[str]:
     return out
 
 
-def _value_forms(values: DataFrame, syllables: dict[str, str]) -> DataFrame:
+def _value_forms(values: DataFrame, syllables: dict[str, str], sizes: tuple[int, ...]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(v, f, w, tokens(f), romanised(f, syllables)) for v in b["value"] for f, w in forms_of_value(v)]
+            rows = [(v, f, w, tokens(f), romanised(f, syllables)) for v in b["value"] for f, w in forms_of_value(v, sizes)]
             yield pd.DataFrame(rows, columns=["value", "form", "whole", "toks", "roman"])
 
     return values.mapInPandas(run, "value string, form string, whole boolean, toks array<string>, roman string")
@@ -169,7 +168,8 @@ def map_to_canonical(values: DataFrame, reference: DataFrame, syllables: dict[st
     vals = values.select(F.col("value").cast("string").alias("value")).where(visible(F.col("value"))).distinct()
     names = reference.select("canonical", F.explode(F.array_union(F.array("canonical"), F.coalesce("names", F.array().cast("array<string>")))).alias("name"))
     names = _name_forms(names.where(visible(F.col("name")) & visible(F.col("canonical"))).distinct(), syllables)
-    vf = _value_forms(vals, syllables)
+    sizes = names.where(~F.col("name").rlike("^[a-z0-9]") & (F.length("name") > 1)).select(F.length("name")).distinct().collect()  # lengths of listed names
+    vf = _value_forms(vals, syllables, tuple(sorted(r[0] for r in sizes)))
     left = vf.groupBy("form").agg(F.max("whole").alias("whole"), F.first("toks").alias("toks"))
     right = names.groupBy("name").agg(F.first("toks").alias("toks"))
     hits = similar_forms(left, right, fuzzy)
