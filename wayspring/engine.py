@@ -78,7 +78,7 @@ class Engine:
         unknown method means bm25, a dense one without embedder too."""
         if method == "keyword":
             qt = R.query_tokens(q, STOP_KEYWORD, self.tokenizer)
-            hit = qt.join(self.postings.select("rid", "token"), "token").groupBy("query_id", "rid").agg((F.sum("qtf") / F.first("n_tokens")).alias("score"))
+            hit = self.postings.select("rid", "token").join(qt.hint("shuffle_hash"), "token").groupBy("query_id", "rid").agg((F.sum("qtf") / F.first("n_tokens")).alias("score"))
             scoped = self._scope(q).withColumn("hard", F.col("has_rows"))
             return R.ranked(R.in_scope(hit, scoped, self.entries).withColumn("hard", F.lit(True)), k)
         if method in ("vector", "hybrid") and self.embedder is not None:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayspring.functions.text import COMPARISON, SEARCH_TEXT_SQL, STOP_FULLTEXT, STOP_KEYWORD, contains_any, search_text, sql_list, tokens, tokens_sql, without
-from wayspring.runtime import table
+from wayspring.runtime import materialize, table
 
 TOP_K, BOOST, DAMP, RRF_K, RECALL = 5, 1.5, 0.5, 60, 50
 QUERY_STRIDE = 50  # questions are the rows whose id is divisible by this
@@ -54,6 +54,11 @@ def postings(e: DataFrame, tokenizer=tokens) -> DataFrame:
     return toks.groupBy("rid", "dl", "token").agg(F.count("*").alias("tf"))
 
 
+def index(spark, sf_dir: str) -> DataFrame:
+    """The postings of the corpus as a written table: read several times, tokenised once."""
+    return materialize(postings(entries(spark, sf_dir)), "postings")
+
+
 def query_tokens(q: DataFrame, stop, tokenizer=tokens) -> DataFrame:
     """(query_id, token, qtf, n_tokens): tokens of the questions, repeats counted."""
     toks = q.select("query_id", without(tokenizer(F.col("question")), stop).alias("toks"))
@@ -64,15 +69,15 @@ def query_tokens(q: DataFrame, stop, tokenizer=tokens) -> DataFrame:
 # ---------------------------------------------------------------- scope
 
 
-def detect_cities(q: DataFrame, names: DataFrame, longest: int = 12) -> DataFrame:
-    """(query_id, city, name, pos): covered names found in the questions. The
-    windows of a question join the names by equality, no pair is compared."""
-    n = F.length("question")
-    at = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    grams = q.where(n > 0).select("query_id", "question", F.explode(at).alias("pos"))
-    grams = grams.select("query_id", "pos", "question", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("len"))
-    grams = grams.where(F.col("pos") + F.col("len") - 1 <= F.length("question")).select("query_id", "pos", F.substr("question", F.col("pos"), F.col("len")).alias("name"))
-    return grams.join(names, "name").select("query_id", "city", "name", "pos")
+def detect_cities(q: DataFrame, names: DataFrame) -> DataFrame:
+    """(query_id, city, name, pos): covered names found in the questions. Only
+    windows as long as some name are cut; they join the names by equality, so no
+    question is compared with a name it does not contain."""
+    sizes = names.agg(F.collect_set(F.length("name")).alias("sizes"))  # one row
+    at = q.select("query_id", "question").crossJoin(F.broadcast(sizes)).select("query_id", "question", F.explode("sizes").alias("len"))
+    at = at.where(F.length("question") >= F.col("len"))
+    grams = at.select("query_id", "question", "len", F.explode(F.sequence(F.lit(1), F.length("question") - F.col("len") + 1)).alias("pos"))
+    return grams.select("query_id", "pos", F.substr("question", F.col("pos"), F.col("len")).alias("name")).join(names, "name").select("query_id", "city", "name", "pos")
 
 
 def scope(q: DataFrame, names: DataFrame, e: DataFrame) -> DataFrame:
@@ -113,8 +118,11 @@ def bm25_raw(post: DataFrame, qt: DataFrame, okapi: bool = False) -> DataFrame:
 
     The full-text form: idf clamped to 1e-6, k1 = 1.2. Okapi: k1 = 1.5, negative
     idf replaced by a quarter of the mean idf. b = 0.75 in both."""
-    docs = post.select("rid", "dl").distinct().agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = post.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(docs))  # one row of statistics
+    # a document's tf/dl add up to one, so both statistics come from the per-token rows
+    per = post.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.sum(F.col("tf") / F.col("dl")).alias("docs"))
+    n_docs = F.round(F.sum("docs")).cast("long")
+    stats = per.agg(n_docs.alias("n_docs"), (F.sum("cf") / n_docs).alias("avgdl"))
+    df = per.select("token", "df").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     if okapi:
         mean = df.agg(F.avg(idf).alias("mean_idf"))
@@ -124,7 +132,7 @@ def bm25_raw(post: DataFrame, qt: DataFrame, okapi: bool = False) -> DataFrame:
         df = df.withColumn("idf", F.when(idf <= 0, F.lit(1e-6)).otherwise(idf))
         k1 = 1.2
     terms = qt.join(df.select("token", "idf", "avgdl"), "token")
-    hit = terms.join(post, "token")
+    hit = post.join(terms.hint("shuffle_hash"), "token")  # the index is never sorted or broadcast
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - 0.75 + 0.75 * F.col("dl") / F.col("avgdl")))
     size = qt.groupBy("query_id").agg(F.count("*").alias("n_distinct"))
     return hit.groupBy("query_id", "rid").agg(F.sum(part).alias("raw"), F.count("*").alias("matched")).join(size, "query_id")
@@ -143,13 +151,13 @@ def bm25_scores(post: DataFrame, qt: DataFrame) -> DataFrame:
 
 def bm25_topk(spark, sf_dir: str) -> DataFrame:
     e, q = entries(spark, sf_dir), questions(spark, sf_dir)
-    scored = bm25_scores(postings(e), query_tokens(q, STOP_FULLTEXT))
+    scored = bm25_scores(index(spark, sf_dir), query_tokens(q, STOP_FULLTEXT))
     return ranked(in_scope(scored, scope(q, covered(spark, sf_dir), e), e), positive=True)
 
 
 def bm25_matches(spark, sf_dir: str) -> DataFrame:
     """Per question: matches and whether all tokens were required."""
-    raw = bm25_raw(postings(entries(spark, sf_dir)), query_tokens(questions(spark, sf_dir), STOP_FULLTEXT))
+    raw = bm25_raw(index(spark, sf_dir), query_tokens(questions(spark, sf_dir), STOP_FULLTEXT))
     full = F.col("matched") == F.col("n_distinct")
     per = raw.groupBy("query_id").agg(F.count("*").alias("n_any"), F.count(F.when(full, 1)).alias("n_all"))
     return per.select("query_id", "n_any", "n_all", F.when(F.col("n_all") > 0, "AND").otherwise("OR").alias("mode"))
@@ -157,7 +165,7 @@ def bm25_matches(spark, sf_dir: str) -> DataFrame:
 
 def bm25_okapi(spark, sf_dir: str) -> DataFrame:
     e, q = entries(spark, sf_dir), questions(spark, sf_dir)
-    scored = bm25_raw(postings(e), query_tokens(q, ()), okapi=True).select("query_id", "rid", F.col("raw").alias("score"))
+    scored = bm25_raw(index(spark, sf_dir), query_tokens(q, ()), okapi=True).select("query_id", "rid", F.col("raw").alias("score"))
     return ranked(in_scope(scored, scope(q, covered(spark, sf_dir), e), e), positive=True)
 
 
@@ -166,7 +174,7 @@ def keyword_topk(spark, sf_dir: str) -> DataFrame:
     city filter applies, no boost; entries without a shared token don't appear."""
     e, q = entries(spark, sf_dir), questions(spark, sf_dir)
     qt = query_tokens(q, STOP_KEYWORD)
-    hit = qt.join(postings(e).select("rid", "token"), "token").groupBy("query_id", "rid").agg((F.sum("qtf") / F.first("n_tokens")).alias("score"))
+    hit = postings(e).select("rid", "token").join(qt.hint("shuffle_hash"), "token").groupBy("query_id", "rid").agg((F.sum("qtf") / F.first("n_tokens")).alias("score"))
     own = e.select("city").distinct().join(covered(spark, sf_dir).select("city").distinct(), "city").withColumn("has_rows", F.lit(True))
     scoped = q.join(own, "city", "left").select("query_id", "city", F.coalesce("has_rows", F.lit(False)).alias("hard"))
     s = in_scope(hit, scoped, e)
@@ -257,7 +265,7 @@ def hybrid_topk(spark, sf_dir: str) -> DataFrame:
     e, q = entries(spark, sf_dir), questions(spark, sf_dir)
     s = scope(q, covered(spark, sf_dir), e).where("hard")
     pairs = s.select("query_id", "city").join(e.select("rid", "city"), "city").select("query_id", "rid")
-    post = postings(e)
+    post = index(spark, sf_dir)
     lex = bm25_scores(post, query_tokens(q, STOP_FULLTEXT))
     dv = hashed_vector(post.select("rid", "token", F.col("tf").alias("n")), "rid")
     qv = hashed_vector(query_tokens(s, ()).select("query_id", "token", F.col("qtf").alias("n")), "query_id")
