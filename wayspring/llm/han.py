@@ -10,7 +10,7 @@ TRADITIONAL = (
     "廟庙 據据 運运 戶户 讚赞 親亲 測测 帶带 電电 話话 聯联 繫系 見见 訂订 單单 證证 編编 歲岁 買买 長长 無无 萬万 與与 國国 區区 華华 場场 場场 "
     "樹树 橋桥 灘滩 嶺岭 島岛 鎮镇 鄉乡 縣县 業业 產产 歷历 個个 後后 過过 進进 遠远 輕轻 鬆松 寫写 應应 該该 訪访 請请 謝谢 讓让 麗丽 "
     "塢坞 澤泽 煬炀 濱滨 樺桦 蘆芦 棲栖 闕阙 鐸铎 嶠峤 櫓橹 硯砚 霽霁 驪骊 楓枫 驛驿 綾绫 駿骏 灣湾 鷺鹭 蒼苍 漣涟 灤滦 嶸嵘 螢萤 靄霭 鳶鸢 瀾澜 "
-    "鈞钧 蘄蕲 緗缃 絳绛 爍烁 獻献"
+    "鈞钧 蘄蕲 緗缃 絳绛 爍烁 獻献 別别 徑径 議议 薦荐 盡尽 週周"
 )
 
 # Syllables of characters used in the city names.

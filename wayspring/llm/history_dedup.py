@@ -26,12 +26,17 @@ from pyspark.sql import functions as F
 from wayspring.llm.han import TRADITIONAL_FROM, TRADITIONAL_TO, WIDE_FROM, WIDE_TO
 from wayspring.runtime import materialize, scratch_path, table
 
-# Wordings that say the same, with the one kept.
-SYNONYMS = (
-    ("半日", "半天"), ("要是", "如果"), ("想不到", "没想到"), ("特别好看", "尤其好看"), ("别忘了", "记得"), ("推荐", "建议"), ("尽量", "最好"),
-    ("入口", "门口"), ("周边", "附近"), ("据说", "听说"), ("径直", "直接"), ("差不多", "大约"),
+# Wordings that say the same, the second kept. Those of equal length
+# whose characters stand for nothing else in statements are replaced character by
+# character, along with width and script; the rest as phrases.
+ALIKE = (("半日", "半天"), ("要是", "如果"), ("特别", "尤其"), ("推荐", "建议"), ("尽量", "最好"), ("入口", "门口"), ("周边", "附近"), ("据说", "听说"))
+PHRASES = (("想不到", "没想到"), ("别忘了", "记得"), ("径直", "直接"), ("差不多", "大约"))
+LATIN_PHRASES = (
     ("be sure to try ", "don't miss "), ("close to ", "near "), ("suggested", "recommended"), ("needs ", "takes "), ("need ", "take "), ("roughly", "about"),
 )
+_ALIKE = sorted({(x, y) for a, b in ALIKE for x, y in zip(a, b) if x != y})
+_FROM = "".join(x for x, _ in _ALIKE)
+_TO = "".join(y for _, y in _ALIKE)
 LEAST_STATEMENT = 8  # letters and digits: shorter fragments are no statements
 BUCKETS = 16
 _ENDS = r"[。！？!?；;：【】\n\r#]|\.(?=\s|$)|(?<![0-9]):(?![0-9])"
@@ -40,10 +45,14 @@ _ENDS = r"[。！？!?；;：【】\n\r#]|\.(?=\s|$)|(?<![0-9]):(?![0-9])"
 def statements(text: Column) -> Column:
     """array<bigint>: hashes of the distinct statements of a text; empty for null,
     blank and statement-free texts."""
-    t = F.translate(F.coalesce(text, F.lit("")), WIDE_FROM + TRADITIONAL_FROM + "’", WIDE_TO + TRADITIONAL_TO + "'")
+    t = F.translate(F.coalesce(text, F.lit("")), WIDE_FROM + TRADITIONAL_FROM + "’" + _FROM, WIDE_TO + TRADITIONAL_TO.translate(str.maketrans(_FROM, _TO)) + "'" + _TO)
     t = F.lower(F.regexp_replace(t, r"<[^<>]{1,40}>", "\n"))
-    for a, b in SYNONYMS:
-        t = F.replace(t, F.lit(a), F.lit(b))
+    for a, b in PHRASES:
+        t = F.replace(t, F.lit(a.translate(str.maketrans(_FROM, _TO))), F.lit(b))
+    latin = t
+    for a, b in LATIN_PHRASES:
+        latin = F.replace(latin, F.lit(a), F.lit(b))
+    t = F.when(t.rlike("[a-z] [a-z]"), latin).otherwise(t)
     t = F.regexp_replace(t, r"(?<=[0-9])\.(?=[0-9])", "点")
     parts = F.transform(F.split(t, _ENDS), lambda s: F.regexp_replace(s, r"[^\p{L}\p{N}]", ""))
     return F.array_sort(F.array_distinct(F.transform(F.filter(parts, lambda s: F.length(s) >= LEAST_STATEMENT), lambda s: F.xxhash64(s))))
@@ -54,8 +63,8 @@ def fingerprints(df: DataFrame, key: str, text: str, batch: str) -> DataFrame:
     repeated under one key and batch count once. class is the set's hash; a null
     batch counts as the first (the least integer)."""
     f = df.select(F.col(key).alias("key"), F.coalesce(F.col(batch), F.lit(-(2**31))).cast("int").alias("batch"), statements(F.col(text)).alias("hashes"))
-    f = f.where(F.size("hashes") > 0).withColumn("class", F.xxhash64("hashes"))
-    return f.dropDuplicates(["key", "batch", "class"])
+    f = f.withColumn("class", F.xxhash64("hashes")).dropDuplicates(["key", "batch", "class"])
+    return f.where(F.size("hashes") > 0)  # only now: a filter before would hash every text again
 
 
 class History:
