@@ -108,6 +108,7 @@ def shortened(texts: DataFrame) -> DataFrame:
     near = near.join(F.broadcast(after), "part").select("body", F.coalesce("next", "next_head").alias("next"))
     rest = F.expr("substring(next, length(body) + 1)")
     goes_on = rest.rlike(r"^\s*[\p{Ll}，、；：,;:”’」』）)]") | ~F.col("body").rlike(_CLOSED) & ~rest.rlike(r"^[\n\r]")
+    near = near.where(F.length("body") > 0)
     return near.where(F.col("next").startswith(F.col("body")) & (F.length("next") > F.length("body")) & goes_on).select("body")
 
 
@@ -128,9 +129,9 @@ def defects(history: DataFrame, key: str = "id", question: str = "question", ans
     null question is no language and no copy. Other columns are ignored."""
     h = history.select(F.col(key), F.col(question).alias("q"), F.col(answer).alias("a"))
     body = F.regexp_replace(strip(F.regexp_replace(F.coalesce("a", F.lit("")), r"<[^<>]{0,40}>", " ")), _TAIL, "")
-    told = h.select(key, body.alias("body")).where(F.length("body") > 0)
+    told = h.select(key, body.alias("body"))  # a filter on it here would clean every text again
     cut = shortened(told.select("body")).withColumn("cut", F.lit(True))
-    limits = length_limits(told.select(key, F.length("body").alias("n_chars"), F.col("body").rlike(_CLOSED).alias("closed")).dropDuplicates([key])).withColumn("at_limit", F.lit(True))
+    limits = length_limits(told.select(key, F.length("body").alias("n_chars"), F.col("body").rlike(_CLOSED).alias("closed")).dropDuplicates([key]).where("n_chars > 0")).withColumn("at_limit", F.lit(True))
     h = h.dropDuplicates([key]).withColumn("body", body)
     b, bare = F.col("body"), _letters(F.col("a"))
     empty = F.transform(F.array(bare), lambda x: (F.length(x) == 0) | x.isin(*PLACEHOLDERS))[0]
