@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wayspring.functions.text import FORBIDDEN, STOP_CONTENT, category, category_sql, contains_any, keywords, sql_list, tokens, tokens_sql, without
 from wayspring.operators.retrieval import E_SQL, entries
-from wayspring.runtime import small_batches, table
+from wayspring.runtime import materialize, small_batches, table
 
 MAX_CHARS, MIN_CHARS, THRESHOLD, LEAST_CHARS = 800, 200, 0.6, 20
 
@@ -148,7 +148,7 @@ def near_dup(spark, sf_dir: str) -> DataFrame:
     """Submissions that repeat an entry of their city."""
     new = _submissions(spark, sf_dir).select("id", "city", content_tokens(F.col("title"), F.col("content")).alias("toks"))
     old = entries(spark, sf_dir).select("rid", "city", content_tokens(F.col("title"), F.col("content")).alias("toks"))
-    return similar_entries(new, old)
+    return similar_entries(materialize(new, "new_tokens"), materialize(old, "old_tokens"))  # read five times, tokenised once
 
 
 def keywords_top10(spark, sf_dir: str) -> DataFrame:
