@@ -56,9 +56,15 @@ def test_batch_by_batch_equals_all_at_once(spark):
     assert sorted(got) == want
 
 
-def test_hot_statement_and_class(spark):
+@pytest.mark.parametrize("rows", [10, 10_000])
+def test_hot_statement_and_class(spark, monkeypatch, rows):
+    from wayspring.llm import history_dedup as H
+
+    monkeypatch.setattr(H, "HOT_ROWS", rows)
     h = History(spark)
     h.append(frame(spark, [(i, A[0] + A[1 + i % 50], 0) for i in range(400)] + [(1000 + i, A[0], 0) for i in range(50)]))
+    h.append(frame(spark, [(2000, A[0] + A[7], 0)]))
+    assert h["hot"].count() == (51 if rows == 10 else 0)
     got = pairs(h, frame(spark, [(1, A[0], 1), (2, A[0] + A[5], 1)]))
     assert [s for k, s in got if k == 1] == list(range(1000, 1050))
     assert [s for k, s in got if k == 2] == [i for i in range(400) if 1 + i % 50 == 5]

@@ -12,7 +12,9 @@ that share more than half of both their statements must meet there, and the
 candidates' shared coverage is then counted exactly. So no stored text is read
 again, and a statement found in a third of all entries is never looked up for
 a text that has rarer ones. Texts with equal statement sets are one class, so
-copies cost one lookup.
+copies cost one lookup. Statements that are hot in a batch (at most 64 can be;
+a frequent-items sketch finds them all) stand in a table of their own that is
+spread by class, so no bucket holds a large share of the rows.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ _FROM = "".join(x for x, _ in _ALIKE)
 _TO = "".join(y for _, y in _ALIKE)
 LEAST_STATEMENT = 8  # letters and digits: shorter fragments are no statements
 BUCKETS = 16
+HOT_ITEMS, HOT_ROWS = 64, 10_000  # a statement is hot in a batch above 1/64 of its statements and 10,000 rows
 _ENDS = r"[。！？!?；;：【】\n\r#]|\.(?=\s|$)|(?<![0-9]):(?![0-9])"
 
 
@@ -69,7 +72,7 @@ def fingerprints(df: DataFrame, key: str, text: str, batch: str) -> DataFrame:
 
 class History:
     """Hash tables of everything accepted: classes (class, n, hashes, batch),
-    statements (h, class, n, batch) and members (class, key, batch)."""
+    statements and hot (h, class, n, batch), members (class, key, batch)."""
 
     def __init__(self, spark: SparkSession, buckets: int = BUCKETS):
         self.spark, self.buckets = spark, buckets
@@ -80,7 +83,7 @@ class History:
 
     def drop(self) -> None:
         try:
-            for t in ("classes", "statements", "members"):
+            for t in ("classes", "statements", "hot", "members"):
                 self.spark.sql(f"drop table if exists {self.name}_{t}")
         except Exception:  # the session is gone; the folder is removed by its own hook
             pass
@@ -89,12 +92,21 @@ class History:
         writer = df.repartition(self.buckets, by).write.format("parquet").bucketBy(self.buckets, by).option("path", f"{self.path}/{name}")
         writer.mode("append" if self.started else "overwrite").saveAsTable(f"{self.name}_{name}")
 
+    def _hot(self, new: DataFrame) -> list[int]:
+        """The hot statements of a batch, at most HOT_ITEMS: one row is collected."""
+        sketch = F.expr(f"approx_top_k(h, {HOT_ITEMS}, 10000)")
+        top = new.select(F.explode("hashes").alias("h")).agg(sketch.alias("top"), F.count("*").alias("n")).first()
+        return [x["item"] for x in top["top"] or [] if x["count"] > HOT_ROWS and x["count"] * HOT_ITEMS > top["n"]]
+
     def append(self, df: DataFrame, key: str = "rid", text: str = "content", batch: str = "batch_no") -> None:
         """Accept rows: only they are read and hashed."""
         new = materialize(fingerprints(df, key, text, batch), "fingerprints")
         per = new.groupBy("class").agg(F.first("hashes").alias("hashes"), F.min("batch").alias("batch")).withColumn("n", F.size("hashes"))
         self._put(per.select("class", "n", "hashes", "batch"), "classes", "class")
-        self._put(per.select(F.explode("hashes").alias("h"), "class", "n", "batch"), "statements", "h")
+        hot = F.col("h").isin(self._hot(new))
+        each = per.select(F.explode("hashes").alias("h"), "class", "n", "batch")
+        self._put(each.where(~hot), "statements", "h")
+        self._put(each.where(hot), "hot", "class")
         self._put(new.select("class", "key", "batch"), "members", "class")
         self.started = True
 
@@ -116,13 +128,17 @@ class History:
         full = full.select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("coverage"))
         spread = mine.select("class", F.explode("hashes").alias("h"))
         common = self["statements"].groupBy("h").agg(F.count("*").alias("df"))
-        ranked = spread.join(common, "h").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("o"))
+        often = self["hot"].groupBy("h").agg(F.count("*").alias("more"))  # few rows
+        spread = spread.join(common, "h", "left").join(often, "h", "left").where("df is not null or more is not null")
+        spread = spread.select("class", "h", (F.coalesce("df", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("df"))
+        ranked = spread.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("o"))
         ranked = ranked.join(mine.select("class", F.size("hashes").alias("n"), "latest"), "class").where(F.size("o") * 2 > F.col("n"))
         # statements unknown to history are rarest of all: they fill the prefix first
         known = F.col("n") - F.floor(F.col("n") / 2) - (F.col("n") - F.size("o"))
         probe = ranked.where(known > 0).select(F.col("class").alias("a"), "n", "latest", F.explode(F.slice("o", F.lit(1), known.cast("int"))).alias("s"))
         probe = probe.select("a", F.col("n").alias("n_a"), "latest", F.col("s.h").alias("h"))
-        cand = probe.join(self["statements"].select("h", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("batch").alias("first")), "h")
+        side = [F.col("h"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("batch").alias("first")]
+        cand = probe.join(self["statements"].select(*side), "h").unionByName(probe.join(self["hot"].select(*side), "h"))
         cand = cand.where("first < latest and a <> b and n_a < 2 * n_b and n_b < 2 * n_a").select("a", "b").distinct()
         sides = cand.join(mine.select(F.col("class").alias("a"), F.col("hashes").alias("x")), "a")
         stored = self["classes"].groupBy("class").agg(F.first("hashes").alias("y")).withColumnRenamed("class", "b")
