@@ -88,8 +88,10 @@ class History:
         except Exception:  # the session is gone; the folder is removed by its own hook
             pass
 
-    def _put(self, df: DataFrame, name: str, by: str) -> None:
-        writer = df.repartition(self.buckets, by).write.format("parquet").bucketBy(self.buckets, by).option("path", f"{self.path}/{name}")
+    def _put(self, df: DataFrame, name: str, by: str, bucketed: bool = True) -> None:
+        writer = df.repartition(self.buckets, by).write.format("parquet").option("path", f"{self.path}/{name}")
+        if bucketed:
+            writer = writer.bucketBy(self.buckets, by)
         writer.mode("append" if self.started else "overwrite").saveAsTable(f"{self.name}_{name}")
 
     def _hot(self, new: DataFrame) -> list[int]:
@@ -106,8 +108,8 @@ class History:
         hot = F.col("h").isin(self._hot(new))
         each = per.select(F.explode("hashes").alias("h"), "class", "n", "batch")
         self._put(each.where(~hot), "statements", "h")
-        self._put(each.where(hot), "hot", "class")
-        self._put(new.select("class", "key", "batch"), "members", "class")
+        self._put(each.where(hot), "hot", "class", bucketed=False)  # spread, so AQE may split a hot join
+        self._put(new.select("class", "key", "batch"), "members", "key", bucketed=False)  # a class may be a third of all rows
         self.started = True
 
     def __getitem__(self, name: str) -> DataFrame:
