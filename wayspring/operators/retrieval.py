@@ -142,11 +142,14 @@ def bm25_scores(post: DataFrame, qt: DataFrame) -> DataFrame:
     """(query_id, rid, score): all tokens if any entry has them all, else any
     token; min-max over the matches (the weakest scores 0, equals score 1)."""
     raw = bm25_raw(post, qt)
-    per = Window.partitionBy("query_id")
-    both = raw.withColumn("any_all", F.max((F.col("matched") == F.col("n_distinct")).cast("int")).over(per))
-    both = both.where((F.col("any_all") == 0) | (F.col("matched") == F.col("n_distinct")))
-    lo, hi = F.min("raw").over(per), F.max("raw").over(per)
-    return both.withColumn("lo", lo).withColumn("hi", hi).select("query_id", "rid", F.when(F.col("hi") > F.col("lo"), (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0).alias("score"))
+    full = F.col("matched") == F.col("n_distinct")
+    alone = F.when(full, F.col("raw"))
+    # one row per question, by map-side aggregation: no window over all matches of a question
+    ends = raw.groupBy("query_id").agg(F.count(alone).alias("n_all"), F.min(alone).alias("lo_all"), F.max(alone).alias("hi_all"), F.min("raw").alias("lo_any"), F.max("raw").alias("hi_any"))
+    some = F.col("n_all") > 0
+    ends = ends.select("query_id", some.alias("all_terms"), F.when(some, F.col("lo_all")).otherwise(F.col("lo_any")).alias("lo"), F.when(some, F.col("hi_all")).otherwise(F.col("hi_any")).alias("hi"))
+    kept = raw.join(ends, "query_id").where(~F.col("all_terms") | full)
+    return kept.select("query_id", "rid", F.when(F.col("hi") > F.col("lo"), (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0).alias("score"))
 
 
 def bm25_topk(spark, sf_dir: str) -> DataFrame:
