@@ -57,6 +57,17 @@ def test_entry_without_session_import():
     assert done.returncode == 0, done.stderr[-600:]
 
 
+def test_python_workers_get_the_package_from_any_folder(small, tmp_path):
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"import sys; sys.path.insert(0, {root!r}); import __spark_entry__ as e; from wayspring.runtime import build_session as b; print(e.queries()['chunk_counts'](b(cpus=2), {small!r}).count())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-600:]
+
+
 def test_no_module_outside_the_subpackage_imports_it():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     for p in glob.glob(f"{root}/wayspring/**/*.py", recursive=True):

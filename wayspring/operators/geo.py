@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayspring.runtime import table
+from wayspring.runtime import ship, table
 
 # The map's frame in degrees and in drawing units.
 SOUTH, NORTH, WEST, EAST = 17.5, 53.563269, 73.502355, 135.09567
@@ -76,6 +76,7 @@ def ring_path(points: np.ndarray, most: float = 0.35, share: float = 0.02, least
 
 def paths(df: DataFrame, ring: str = "ring") -> DataFrame:
     """df with the path of an array<array<double>> column of projected points."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +28,25 @@ def build_session(app: str = "wayspring", cpus: int | str = "*", shuffle: int =
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context: they may run on
+    other machines, or in a folder from which it can't be imported."""
+    sc = spark.sparkContext
+    if getattr(sc, "_wayspring_shipped", False):
+        return
+    sc._wayspring_shipped = True
+    home = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="wayspring-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/wayspring.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, str(Path(home.name) / p.relative_to(home)))
+    sc.addPyFile(f"{folder}/wayspring.zip")  # executors fetch it from the driver
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table as a DataFrame; a directory or a single parquet file."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -75,4 +94,5 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the Arrow batches that Python operators receive: texts may be long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
