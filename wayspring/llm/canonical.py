@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from wayspring.functions import visible
 from wayspring.llm.han import ROMAN, SIMPLIFY
-from wayspring.runtime import table
+from wayspring.runtime import ship, table
 
 UNMATCHED = "UNMATCHED"
 #: Least similarity of a fuzzy match: one of two characters in place.
@@ -165,6 +165,7 @@ def map_to_canonical(values: DataFrame, reference: DataFrame, syllables: dict[st
     out, padded ones trimmed. canonical is UNMATCHED where no name, or two names
     equally, fit; with an empty reference that is every value. Other columns of
     either side are ignored."""
+    ship(values.sparkSession)
     vals = values.select(F.col("value").cast("string").alias("value")).where(visible(F.col("value"))).distinct()
     names = reference.select("canonical", F.explode(F.array_union(F.array("canonical"), F.coalesce("names", F.array().cast("array<string>")))).alias("name"))
     names = _name_forms(names.where(visible(F.col("name")) & visible(F.col("canonical"))).distinct(), syllables)
