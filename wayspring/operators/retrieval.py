@@ -262,9 +262,10 @@ def hashed_vector(toks: DataFrame, key: str) -> DataFrame:
     return v.join(norm, key).select(key, "dim", (F.col("x") / F.col("norm")).alias("w"))
 
 
-def hybrid_topk(spark, sf_dir: str) -> DataFrame:
+def hybrid(spark, sf_dir: str, pool: int) -> DataFrame:
     """Hard-scoped questions: both channels rank every entry of the scope, fused by
-    reciprocal rank; no boost. (The dense channel is the hashing embedder.)"""
+    reciprocal rank, the best `pool` kept; no boost. (The dense channel is the
+    hashing embedder.)"""
     e, q = entries(spark, sf_dir), questions(spark, sf_dir)
     s = scope(q, covered(spark, sf_dir), e).where("hard")
     pairs = s.select("query_id", "city").join(e.select("rid", "city"), "city").select("query_id", "rid")
@@ -280,10 +281,14 @@ def hybrid_topk(spark, sf_dir: str) -> DataFrame:
     full = full.withColumn("r1", by("bm25_score")).withColumn("r2", by("vector_score"))
     full = full.withColumn("score", F.round(1.0 / (RRF_K + F.col("r1")) + 1.0 / (RRF_K + F.col("r2")), 6))
     top = full.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rid")))
-    top = top.where(F.col("rank") <= min(TOP_K, RECALL))
+    top = top.where(F.col("rank") <= pool)
     return top.select("query_id", F.col("rank").cast("long").alias("rank"), "rid", "score", "bm25_score", "vector_score")
 
 
+def hybrid_topk(spark, sf_dir: str) -> DataFrame:
+    return hybrid(spark, sf_dir, min(TOP_K, RECALL))
+
+
 def rerank(top: DataFrame, score: Column, k: int = TOP_K) -> DataFrame:
     """Reorder a pool by another score (a column or pandas UDF over question and
     text); the fused score stays the output score."""
@@ -292,9 +297,10 @@ def rerank(top: DataFrame, score: Column, k: int = TOP_K) -> DataFrame:
 
 
 def rerank_shorter(spark, sf_dir: str) -> DataFrame:
-    """The hybrid pool reordered by a plain stand-in scorer: shorter texts first."""
+    """The hybrid pool of RECALL rows reordered by a plain stand-in scorer: shorter
+    texts first."""
     e = entries(spark, sf_dir).select("rid", F.coalesce(F.length("content"), F.lit(0)).alias("n"))
-    pool = hybrid_topk(spark, sf_dir).select("query_id", "rid", "score").join(e, "rid")
+    pool = hybrid(spark, sf_dir, RECALL).select("query_id", "rid", "score").join(e, "rid")
     return rerank(pool, -F.col("n")).select("query_id", "rank", "rid", "score")
 
 
