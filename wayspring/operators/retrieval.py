@@ -262,23 +262,118 @@ def hashed_vector(toks: DataFrame, key: str) -> DataFrame:
     return v.join(norm, key).select(key, "dim", (F.col("x") / F.col("norm")).alias("w"))
 
 
+PACK = 4096
+
+
+def _matrix(ids: DataFrame, v: DataFrame, key: str, block: str, step: int = 1) -> DataFrame:
+    """Vectors as matrices of at most PACK keys, each `step` apart: (block, key, mat)
+    as bytes. A key without a vector is a row of zeros."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = np.unique(pdf[key].to_numpy(np.int64))
+        mat, has = np.zeros((len(keys), DIMS)), pdf[pdf["dim"].notna()]
+        mat[np.searchsorted(keys, has[key]), has["dim"].astype(int)] = has["w"]
+        return pd.DataFrame({block: [pdf[block].iloc[0]], key: [keys.tobytes()], "mat": [mat.tobytes()]})
+
+    rows = ids.select(key).join(v, key, "left").select(F.floor(F.col(key) / (PACK * step)).alias(block), key, "dim", "w")
+    return materialize(rows.groupBy(block).applyInPandas(pack, f"{block} long, {key} binary, mat binary"), "matrix")
+
+
+def _products(cell: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query ids, rids, dot products in whole ten-thousandths) of a pair of blocks."""
+    if cell.empty:
+        return
+    c = cell.iloc[0]
+    qid, rid = np.frombuffer(c["query_id"], np.int64), np.frombuffer(c["rid"], np.int64)
+    q, d = np.frombuffer(c["qmat"]).reshape(-1, DIMS), np.frombuffer(c["dmat"]).reshape(-1, DIMS)
+    for at in range(0, len(qid), 256):
+        yield qid[at : at + 256], rid, np.floor(np.round(q[at : at + 256] @ d.T, 9) * 1e4 + 0.5).astype(np.int64)
+
+
+def _open_ranks(so: DataFrame, e: DataFrame, lex: DataFrame, qv: DataFrame, dv: DataFrame, depth: int) -> DataFrame:
+    """(query_id, rid, bm25_score, vector_score, r1, r2): for questions that search
+    all entries, every entry among the first `depth` of either channel, with its
+    exact rank in both. Dot products are taken in pairs of blocks, so nothing per
+    pair of rows is shuffled: once for the best of each block, once to count what
+    is ahead of the rest."""
+    lex = lex.join(so, "query_id")
+    place = Window.partitionBy("query_id").orderBy(F.col("bm25_score").desc(), "rid")
+    lex = materialize(lex.select("query_id", "rid", "bm25_score", F.row_number().over(place).alias("r1")), "lexical")
+    n_pos = so.join(lex.groupBy("query_id").agg(F.count("*").alias("n_pos")), "query_id", "left").fillna(0, "n_pos")
+    # entries that score nothing follow by rid
+    firsts = n_pos.where(F.col("n_pos") < depth).crossJoin(e.select("rid").orderBy("rid").limit(depth))
+    lexical = lex.where(F.col("r1") <= depth).select("query_id", "rid").unionByName(firsts.select("query_id", "rid")).distinct()
+
+    qm = _matrix(so, qv, "query_id", "qb", QUERY_STRIDE)
+    dm = _matrix(e, dv, "rid", "bb")
+    cells = qm.withColumnRenamed("mat", "qmat").crossJoin(dm.withColumnRenamed("mat", "dmat")).groupBy("qb", "bb")
+    qb, bb = F.floor(F.col("query_id") / (PACK * QUERY_STRIDE)).alias("qb"), F.floor(F.col("rid") / PACK).alias("bb")
+
+    def best(cell: pd.DataFrame, also: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for qid, rid, s in _products(cell):
+            n = len(rid)
+            order = np.arange(n) - s * n
+            top = np.argpartition(order, depth - 1)[:, :depth] if n > depth else np.tile(np.arange(n), (len(qid), 1))
+            out.append(pd.DataFrame({"query_id": np.repeat(qid, top.shape[1]), "rid": rid[top].ravel(), "cos": np.take_along_axis(s, top, 1).ravel(), "near": True}))
+            own = also[also["query_id"].isin(qid)]
+            at = s[np.searchsorted(qid, own["query_id"]), np.searchsorted(rid, own["rid"])]
+            out.append(pd.DataFrame({"query_id": own["query_id"], "rid": own["rid"], "cos": at, "near": False}))
+        return pd.concat(out)
+
+    def ahead(cell: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
+        out, rest = [], rest.sort_values("query_id")
+        for qid, rid, s in _products(cell):
+            n = len(rid)
+            order = np.sort(np.arange(n) - s * n, axis=1)
+            for q, own in rest[rest["query_id"].isin(qid)].groupby("query_id"):
+                at = np.searchsorted(rid, own["rid"]) - own["cos"].to_numpy() * n
+                out.append(pd.DataFrame({"query_id": q, "rid": own["rid"], "ahead": np.searchsorted(order[np.searchsorted(qid, q)], at)}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "rid": [], "ahead": []})
+
+    got = cells.cogroup(lexical.select("query_id", "rid", qb, bb).groupBy("qb", "bb")).applyInPandas(best, "query_id long, rid long, cos long, near boolean")
+    got = got.groupBy("query_id", "rid").agg(F.max("cos").alias("cos"), F.max("near").alias("near"))
+    near = F.row_number().over(Window.partitionBy("query_id", "near").orderBy(F.col("cos").desc(), "rid"))
+    got = got.withColumn("r2", F.when(F.col("near"), near)).join(lexical.withColumn("lexical", F.lit(True)), ["query_id", "rid"], "left")
+    got = materialize(got.withColumn("r2", F.when(F.col("r2") <= depth, F.col("r2"))).where("r2 is not null or lexical").drop("near", "lexical"), "candidates")
+    rest = got.where("r2 is null").select("query_id", "rid", "cos", qb).crossJoin(dm.select(F.col("bb").alias("at")))
+    counted = cells.cogroup(rest.groupBy("qb", "at")).applyInPandas(ahead, "query_id long, rid long, ahead long")
+    counted = counted.groupBy("query_id", "rid").agg((F.sum("ahead") + 1).alias("behind"))
+
+    sizes = e.groupBy(bb).agg(F.count("*").alias("n"))  # one row per block
+    before = sizes.select("bb", (F.sum("n").over(Window.orderBy("bb")) - F.col("n")).alias("before"))
+    places = e.select("rid", bb).withColumn("n", F.row_number().over(Window.partitionBy("bb").orderBy("rid"))).join(before, "bb").select("rid", (F.col("before") + F.col("n")).alias("place"))
+    got = got.join(counted, ["query_id", "rid"], "left").join(lex, ["query_id", "rid"], "left")
+    got = materialize(got.select("query_id", "rid", "cos", F.coalesce("r2", "behind").alias("r2"), "bm25_score", "r1"), "ranked")
+    smaller = lex.select("query_id", "rid", F.lit(1).alias("one")).unionByName(got.where("r1 is null").select("query_id", "rid", F.lit(0).alias("one")))
+    smaller = smaller.withColumn("below", F.sum("one").over(Window.partitionBy("query_id").orderBy("rid"))).where("one = 0").drop("one")
+    got = got.join(smaller, ["query_id", "rid"], "left").join(n_pos, "query_id").join(places, "rid")
+    r1 = F.coalesce("r1", F.col("n_pos") + F.col("place") - F.col("below"))
+    return got.select("query_id", "rid", F.coalesce("bm25_score", F.lit(0.0)).alias("bm25_score"), (F.col("cos") / 1e4).alias("vector_score"), r1.alias("r1"), "r2")
+
+
 def hybrid(spark, sf_dir: str, pool: int) -> DataFrame:
-    """Hard-scoped questions: both channels rank every entry of the scope, fused by
-    reciprocal rank, the best `pool` kept; no boost. (The dense channel is the
-    hashing embedder.)"""
+    """Both channels rank every entry of the scope, fused by reciprocal rank, the
+    best `pool` kept; no boost. (The dense channel is the hashing embedder.)
+
+    The first `pool` of a channel score over 1 / (RRF_K + pool). An entry past
+    RRF_K + 2 * pool in both scores less, so open questions need no others."""
     e, q = entries(spark, sf_dir), questions(spark, sf_dir)
-    s = scope(q, covered(spark, sf_dir), e).where("hard")
-    pairs = s.select("query_id", "city").join(e.select("rid", "city"), "city").select("query_id", "rid")
+    s = materialize(scope(q, covered(spark, sf_dir), e), "scope")
     post = index(spark, sf_dir)
-    lex = bm25_scores(post, query_tokens(q, STOP_FULLTEXT))
+    lex = in_scope(bm25_scores(post, query_tokens(q, STOP_FULLTEXT)), s, e)
+    lex = materialize(lex.select("query_id", "rid", F.round("score", 4).alias("bm25_score")).where("bm25_score > 0"), "lex")
     dv = hashed_vector(post.select("rid", "token", F.col("tf").alias("n")), "rid")
     qv = hashed_vector(query_tokens(s, ()).select("query_id", "token", F.col("qtf").alias("n")), "query_id")
-    in_scope = qv.join(s.select("query_id", "city"), "query_id").join(dv.join(e.select("rid", "city"), "rid").withColumnRenamed("w", "v"), ["city", "dim"])
-    dense = in_scope.groupBy("query_id", "rid").agg(F.sum(F.col("w") * F.col("v")).alias("cos"))
+    hard = s.where("hard").select("query_id", "city")
+    pairs = hard.join(e.select("rid", "city"), "city").select("query_id", "rid")
+    own = qv.join(hard, "query_id").join(dv.join(e.select("rid", "city"), "rid").withColumnRenamed("w", "v"), ["city", "dim"])
+    dense = own.groupBy("query_id", "rid").agg(F.sum(F.col("w") * F.col("v")).alias("cos"))
     full = pairs.join(lex, ["query_id", "rid"], "left").join(dense, ["query_id", "rid"], "left")
-    full = full.select("query_id", "rid", F.round(F.coalesce("score", F.lit(0.0)), 4).alias("bm25_score"), F.round(F.coalesce("cos", F.lit(0.0)), 4).alias("vector_score"))
+    full = full.select("query_id", "rid", F.coalesce("bm25_score", F.lit(0.0)).alias("bm25_score"), F.round(F.coalesce("cos", F.lit(0.0)), 4).alias("vector_score"))
     by = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.col(c).desc(), "rid"))
     full = full.withColumn("r1", by("bm25_score")).withColumn("r2", by("vector_score"))
+    full = full.unionByName(_open_ranks(s.where("not hard").select("query_id"), e.select("rid"), lex, qv, dv, RRF_K + 2 * pool))
     full = full.withColumn("score", F.round(1.0 / (RRF_K + F.col("r1")) + 1.0 / (RRF_K + F.col("r2")), 6))
     top = full.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rid")))
     top = top.where(F.col("rank") <= pool)
