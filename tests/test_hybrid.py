@@ -18,8 +18,9 @@ def medium():
 
 
 @pytest.fixture(scope="module")
-def fused(spark, medium):
-    """{query_id: [(score, rid)]}: every entry in scope in fused order, nothing cut."""
+def pairs(spark, medium):
+    """Every question with every entry in scope, nothing cut: {query_id: (hard, fused
+    order)}, {query_id: (city, {rid: cosine})}, {rid: city}."""
     e, q = R.entries(spark, medium), R.questions(spark, medium)
     city = {r.rid: r.city for r in e.select("rid", "city").collect()}
     post = R.index(spark, medium)
@@ -30,14 +31,21 @@ def fused(spark, medium):
         dv.setdefault(r.rid, {})[r.dim] = r.w
     for r in R.hashed_vector(R.query_tokens(q, ()).selectExpr("query_id", "token", "qtf as n"), "query_id").collect():
         qv.setdefault(r.query_id, {})[r.dim] = r.w
-    out = {}
+    out, cos = {}, {}
     for s in R.scope(q, R.covered(spark, medium), e).collect():
         rids = sorted(rid for rid in city if not s.hard or city[rid] == s.city)
         a = {rid: lex.get((s.query_id, rid), 0.0) for rid in rids}
-        b = {rid: round(sum(w * dv.get(rid, {}).get(d, 0.0) for d, w in qv.get(s.query_id, {}).items()), 4) for rid in rids}
+        raw = {rid: sum(w * dv.get(rid, {}).get(d, 0.0) for d, w in qv.get(s.query_id, {}).items()) for rid in rids}
+        b = {rid: round(x, 4) for rid, x in raw.items()}
+        cos[s.query_id] = s.city, raw
         r1, r2 = ({rid: n for n, rid in enumerate(sorted(rids, key=lambda rid: (-c[rid], rid)), 1)} for c in (a, b))
         out[s.query_id] = s.hard, sorted((-round(1 / (R.RRF_K + r1[rid]) + 1 / (R.RRF_K + r2[rid]), 6), rid) for rid in rids)
-    return out
+    return out, cos, city
+
+
+@pytest.fixture(scope="module")
+def fused(pairs):
+    return pairs[0]
 
 
 def by_question(df):
@@ -92,3 +100,15 @@ def test_open_ranks_are_those_of_all_pairs(spark):
         assert {r for r in rids if r1[r] <= 20 or r2[r] <= 20} <= set(own)
         for r, x in own.items():
             assert (x.bm25_score, round(x.vector_score, 4), x.r1, x.r2) == (a[r], b[r], r1[r], r2[r])
+
+
+def test_compare_runs_the_vector_method(spark, medium, pairs, monkeypatch):
+    monkeypatch.setattr(R, "PACK", 512)
+    (out, cos, city), got = pairs, by_question(R.search(spark, medium, "vector"))
+    assert set(got) == set(out)
+    for q, (own, raw) in cos.items():
+        weight = lambda rid: 1.0 if out[q][0] or own is None else R.BOOST if city[rid] == own else R.DAMP  # noqa: B023, E731
+        score = {rid: round(round(x * weight(rid), 9), 4) for rid, x in raw.items()}
+        assert got[q] == sorted(score, key=lambda rid: (-score[rid], rid))[: R.TOP_K]  # noqa: B023
+    m = R.compare_matrix(spark, medium)
+    assert [c for c in m.columns if c.startswith("rank_")] == ["rank_keyword", "rank_bm25", "rank_vector", "rank_hybrid"]

@@ -263,6 +263,7 @@ def hashed_vector(toks: DataFrame, key: str) -> DataFrame:
 
 
 PACK = 4096
+_FOUND = "query_id long, rid long, cos long, near boolean"
 
 
 def _matrix(ids: DataFrame, v: DataFrame, key: str, block: str, step: int = 1) -> DataFrame:
@@ -290,6 +291,24 @@ def _products(cell: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         yield qid[at : at + 256], rid, np.floor(np.round(q[at : at + 256] @ d.T, 9) * 1e4 + 0.5).astype(np.int64)
 
 
+def _best(depth: int):
+    """Of a pair of blocks, each question's best `depth` and the pairs asked for."""
+
+    def best(cell: pd.DataFrame, also: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for qid, rid, s in _products(cell):
+            n = len(rid)
+            order = np.arange(n) - s * n
+            top = np.argpartition(order, depth - 1)[:, :depth] if n > depth else np.tile(np.arange(n), (len(qid), 1))
+            out.append(pd.DataFrame({"query_id": np.repeat(qid, top.shape[1]), "rid": rid[top].ravel(), "cos": np.take_along_axis(s, top, 1).ravel(), "near": True}))
+            own = also[also["query_id"].isin(qid)]
+            at = s[np.searchsorted(qid, own["query_id"]), np.searchsorted(rid, own["rid"])]
+            out.append(pd.DataFrame({"query_id": own["query_id"], "rid": own["rid"], "cos": at, "near": False}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "rid": [], "cos": [], "near": []})
+
+    return best
+
+
 def _open_ranks(so: DataFrame, e: DataFrame, lex: DataFrame, qv: DataFrame, dv: DataFrame, depth: int) -> DataFrame:
     """(query_id, rid, bm25_score, vector_score, r1, r2): for questions that search
     all entries, every entry among the first `depth` of either channel, with its
@@ -309,18 +328,6 @@ def _open_ranks(so: DataFrame, e: DataFrame, lex: DataFrame, qv: DataFrame, dv:
     cells = qm.withColumnRenamed("mat", "qmat").crossJoin(dm.withColumnRenamed("mat", "dmat")).groupBy("qb", "bb")
     qb, bb = F.floor(F.col("query_id") / (PACK * QUERY_STRIDE)).alias("qb"), F.floor(F.col("rid") / PACK).alias("bb")
 
-    def best(cell: pd.DataFrame, also: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for qid, rid, s in _products(cell):
-            n = len(rid)
-            order = np.arange(n) - s * n
-            top = np.argpartition(order, depth - 1)[:, :depth] if n > depth else np.tile(np.arange(n), (len(qid), 1))
-            out.append(pd.DataFrame({"query_id": np.repeat(qid, top.shape[1]), "rid": rid[top].ravel(), "cos": np.take_along_axis(s, top, 1).ravel(), "near": True}))
-            own = also[also["query_id"].isin(qid)]
-            at = s[np.searchsorted(qid, own["query_id"]), np.searchsorted(rid, own["rid"])]
-            out.append(pd.DataFrame({"query_id": own["query_id"], "rid": own["rid"], "cos": at, "near": False}))
-        return pd.concat(out)
-
     def ahead(cell: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
         out, rest = [], rest.sort_values("query_id")
         for qid, rid, s in _products(cell):
@@ -331,7 +338,7 @@ def _open_ranks(so: DataFrame, e: DataFrame, lex: DataFrame, qv: DataFrame, dv:
                 out.append(pd.DataFrame({"query_id": q, "rid": own["rid"], "ahead": np.searchsorted(order[np.searchsorted(qid, q)], at)}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "rid": [], "ahead": []})
 
-    got = cells.cogroup(lexical.select("query_id", "rid", qb, bb).groupBy("qb", "bb")).applyInPandas(best, "query_id long, rid long, cos long, near boolean")
+    got = cells.cogroup(lexical.select("query_id", "rid", qb, bb).groupBy("qb", "bb")).applyInPandas(_best(depth), _FOUND)
     got = got.groupBy("query_id", "rid").agg(F.max("cos").alias("cos"), F.max("near").alias("near"))
     near = F.row_number().over(Window.partitionBy("query_id", "near").orderBy(F.col("cos").desc(), "rid"))
     got = got.withColumn("r2", F.when(F.col("near"), near)).join(lexical.withColumn("lexical", F.lit(True)), ["query_id", "rid"], "left")
@@ -384,6 +391,32 @@ def hybrid_topk(spark, sf_dir: str) -> DataFrame:
     return hybrid(spark, sf_dir, min(TOP_K, RECALL))
 
 
+def text_vector_topk(spark, sf_dir: str) -> DataFrame:
+    """Questions against entries by the dot product of their hashing vectors, with
+    the boost by city outside hard scopes; what scores nothing stays."""
+    e, q = entries(spark, sf_dir), questions(spark, sf_dir)
+    s = materialize(scope(q, covered(spark, sf_dir), e), "scope")
+    dv = hashed_vector(index(spark, sf_dir).select("rid", "token", F.col("tf").alias("n")), "rid")
+    qv = hashed_vector(query_tokens(s, ()).select("query_id", "token", F.col("qtf").alias("n")), "query_id")
+    here = s.where("city is not null").select("query_id", "city", F.when(F.col("hard"), 1.0).otherwise(BOOST).alias("weight"))
+    both = qv.join(here, "query_id").join(dv.join(e.select("rid", "city"), "rid").withColumnRenamed("w", "v"), ["city", "dim"])
+    cos = both.groupBy("query_id", "rid").agg(F.sum(F.col("w") * F.col("v")).alias("cos"))
+    own = here.join(e.select("rid", "city"), "city").join(cos, ["query_id", "rid"], "left")
+    own = own.select("query_id", "rid", F.round(F.coalesce("cos", F.lit(0.0)) * F.col("weight"), 4).alias("score"))
+    # all entries at the weight of another city: what an entry of the own city displaces there, it displaces with its own weight too
+    so = s.where("not hard").select("query_id", F.when(F.col("city").isNull(), 1.0).otherwise(DAMP).alias("weight"))
+    scaled = qv.join(so, "query_id").select("query_id", "dim", (F.col("w") * F.col("weight")).alias("w"))
+    qm = _matrix(so, scaled, "query_id", "qb", QUERY_STRIDE).withColumnRenamed("mat", "qmat")
+    cells = qm.crossJoin(_matrix(e, dv, "rid", "bb").withColumnRenamed("mat", "dmat")).groupBy("qb", "bb")
+    best = _best(TOP_K)
+    none = pd.DataFrame({"query_id": np.array([], np.int64), "rid": np.array([], np.int64)})
+    found = cells.applyInPandas(lambda cell: best(cell, none), _FOUND).select("query_id", "rid", (F.col("cos") / 1e4).alias("score"))
+    found = found.unionByName(own).groupBy("query_id", "rid").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rid"))
+    found = found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= TOP_K)
+    return found.join(e.select("rid", "city"), "rid").select("query_id", "rank", "rid", "city", "score")
+
+
 def rerank(top: DataFrame, score: Column, k: int = TOP_K) -> DataFrame:
     """Reorder a pool by another score (a column or pandas UDF over question and
     text); the fused score stays the output score."""
@@ -404,10 +437,10 @@ def rerank_shorter(spark, sf_dir: str) -> DataFrame:
 
 def search(spark, sf_dir: str, method: str) -> DataFrame:
     """One channel by name; an unknown name means bm25."""
-    return {"keyword": keyword_topk, "hybrid": hybrid_topk, "okapi": bm25_okapi}.get(method, bm25_topk)(spark, sf_dir)
+    return {"keyword": keyword_topk, "vector": text_vector_topk, "hybrid": hybrid_topk, "okapi": bm25_okapi}.get(method, bm25_topk)(spark, sf_dir)
 
 
-METHODS = ("keyword", "bm25", "hybrid")
+METHODS = ("keyword", "bm25", "vector", "hybrid")
 
 
 def compare_long(spark, sf_dir: str) -> DataFrame:
@@ -540,6 +573,7 @@ select q.query_id, b.city as detected, coalesce(q.city, b.city) as resolved from
     "scope_flags": f"with {E_SQL}, {Q_SQL}, {NAMES_SQL}, {SCOPE_SQL} select query_id, multi, has_rows, hard from scoped",
     "posting_stats": f"with {E_SQL}, {POST_SQL} select token, count(*) as df, sum(tf)::bigint as cf from post group by 1",
 }
-_LONG = "select method, query_id, rank, rid from (" + " union all ".join(f"select '{m}' as method, query_id, rank, rid from ({ORACLE[m + '_topk']})" for m in METHODS) + ")"
-ORACLE["compare_matrix"] = "select query_id, rid, " + ", ".join(f"min(rank) filter (method = '{m}') as rank_{m}" for m in METHODS) + f", count(distinct method) as found, min(rank) as best_rank from ({_LONG}) group by 1, 2"
+SQL_METHODS = ("keyword", "bm25", "hybrid")
+_LONG = "select method, query_id, rank, rid from (" + " union all ".join(f"select '{m}' as method, query_id, rank, rid from ({ORACLE[m + '_topk']})" for m in SQL_METHODS) + ")"
+ORACLE["compare_matrix"] = "select query_id, rid, " + ", ".join(f"min(rank) filter (method = '{m}') as rank_{m}" for m in SQL_METHODS) + f", count(distinct method) as found, min(rank) as best_rank from ({_LONG}) group by 1, 2"
 ORACLE["top1_agreement"] = f"select query_id, max(n) as votes, round(max(n) / sum(n), 4) as agreement from (select query_id, rid, count(*) as n from ({_LONG}) where rank = 1 group by 1, 2) group by 1"
