@@ -33,8 +33,17 @@ def test_blank_null_repeats_and_empty_reference(spark):
 
 
 def test_forms_of_odd_values():
-    assert forms_of_value("") == [] and forms_of_value("！！") == []
-    assert ("景埠", True) in forms_of_value("景埠市区")
+    assert forms_of_value("", {}) == [] and forms_of_value("！！", {}) == []
+    assert ("景埠", True) in forms_of_value("景埠市区", {})
+
+
+def test_cities_outside_the_test_tables(spark):
+    ref = [(c, []) for c in ("北京", "西安", "重庆", "长沙", "厦门", "绿春", "哈尔滨", "乌鲁木齐", "澳门")]
+    want = {
+        "beijing": "北京", "Bei Jing": "北京", "Xian": "西安", "xi'an": "西安", "Chongqing, China": "重庆", "CHANGSHA": "长沙", "xiamen": "厦门", "Lvchun": "绿春", "lyuchun": "绿春", "haerbin": "哈尔滨",
+        "重慶市": "重庆", "長沙": "长沙", "烏魯木齊": "乌鲁木齐", "澳門": "澳门", "haerbing": "哈尔滨", "北惊": "北京", "tianjin": UNMATCHED, "Zhongshan": UNMATCHED,
+    }
+    assert mapped(spark, want, ref) == want
 
 
 def test_join_against_brute_force(spark):

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayspring.functions import visible
-from wayspring.llm.han import ROMAN, SIMPLIFY
-from wayspring.runtime import ship, table
+from wayspring.llm.han import Tables, romanised, tables
+from wayspring.runtime import materialize, ship, table
 
 UNMATCHED = "UNMATCHED"
 #: Least similarity of a fuzzy match: one of two characters in place.
@@ -37,10 +37,10 @@ _SEPARATOR = re.compile(r"\s*[/&→、;|+]\s*|\s+and\s+|,")
 _LATIN_EXTRA = re.compile(r"^(?:city of|in)\s+|\s+city$|[,\s]+china$")
 
 
-def fold(text: str) -> str:
+def fold(text: str, simplify: dict[int, int]) -> str:
     """Lower-cased compatibility form in simplified characters, without format
     characters, runs of white space single."""
-    t = unicodedata.normalize("NFKC", text).lower().translate(SIMPLIFY)
+    t = unicodedata.normalize("NFKC", text).lower().translate(simplify)
     t = "".join(ch for ch in t if unicodedata.category(ch) not in ("Cf", "Cc") or ch.isspace())
     return re.sub(r"\s+", " ", t).strip()
 
@@ -52,10 +52,10 @@ def _latin(t: str) -> str:
     return re.sub(r"[^a-zà-ɏ0-9]", "", t)
 
 
-def forms_of_value(text: str, sizes: tuple[int, ...] = (2, 3, 4)) -> list[tuple[str, bool]]:
+def forms_of_value(text: str, simplify: dict[int, int], sizes: tuple[int, ...] = (2, 3, 4)) -> list[tuple[str, bool]]:
     """(form, whole): the folded value without decoration, and its parts, which
     count only where they equal a listed name; sizes: the lengths names have."""
-    t = fold(text)
+    t = fold(text, simplify)
     if _OUTER.sub("", _NOTE.sub("", t)):
         t = _NOTE.sub("", t)
     t = _OUTER.sub("", t)
@@ -82,14 +82,8 @@ def forms_of_value(text: str, sizes: tuple[int, ...] = (2, 3, 4)) -> list[tuple[
     return list(out.items())
 
 
-def romanised(name: str, syllables: dict[str, str]) -> str:
-    """The syllables of a name, or '' unless every character's is known."""
-    parts = [syllables.get(c, "") for c in name]
-    return "".join(parts) if parts and all(parts) else ""
-
-
-def forms_of_name(name: str) -> str:
-    t = fold(name)
+def forms_of_name(name: str, simplify: dict[int, int]) -> str:
+    t = fold(name, simplify)
     return _latin(t) if re.search("[a-z]", t) and not _HAN.search(t) else t.replace(" ", "")
 
 
@@ -107,26 +101,29 @@ def tokens(form: str) -> list[str]:
     return out
 
 
-def _value_forms(values: DataFrame, syllables: dict[str, str], sizes: tuple[int, ...]) -> DataFrame:
+def _value_forms(values: DataFrame, han: Tables, sizes: tuple[int, ...]) -> DataFrame:
+    longest = max(sizes, default=0) + 1  # a longer form is more than one edit away from every name
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(v, f, w, tokens(f), romanised(f, syllables)) for v in b["value"] for f, w in forms_of_value(v, sizes)]
+            rows = [(v, f, w, tokens(f), romanised(f, han.readings) if len(f) <= longest else []) for v in b["value"] for f, w in forms_of_value(v, han.simplify, sizes)]
             yield pd.DataFrame(rows, columns=["value", "form", "whole", "toks", "roman"])
 
-    return values.mapInPandas(run, "value string, form string, whole boolean, toks array<string>, roman string")
+    return values.mapInPandas(run, "value string, form string, whole boolean, toks array<string>, roman array<string>")
 
 
-def _name_forms(names: DataFrame, syllables: dict[str, str]) -> DataFrame:
+def _name_forms(names: DataFrame, han: Tables) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for canonical, name in zip(b["canonical"], b["name"]):
-                for n in {forms_of_name(name)} | ({romanised(fold(canonical), syllables)} if name == canonical else set()):
+                roman = romanised(fold(canonical, han.simplify), han.readings)
+                for n in {forms_of_name(name, han.simplify), *(roman if name == canonical else ())}:
                     if n:
-                        rows.append((canonical, n, tokens(n), romanised(fold(canonical), syllables)))
+                        rows.append((canonical, n, tokens(n), roman))
             yield pd.DataFrame(rows, columns=["canonical", "name", "toks", "name_roman"])
 
-    return names.mapInPandas(run, "canonical string, name string, toks array<string>, name_roman string").dropDuplicates(["canonical", "name"])
+    return names.mapInPandas(run, "canonical string, name string, toks array<string>, name_roman array<string>").dropDuplicates(["canonical", "name"])
 
 
 def _prefixes(forms: DataFrame, id_col: str, rarity: DataFrame, least) -> DataFrame:
@@ -158,19 +155,22 @@ def similar_forms(left: DataFrame, right: DataFrame, fuzzy: float = FUZZY) -> Da
     return cand.select("form", "name", (same / (F.col("n") + F.col("m") - same)).alias("jaccard")).where(F.col("jaccard") >= fuzzy - 1e-9)
 
 
-def map_to_canonical(values: DataFrame, reference: DataFrame, syllables: dict[str, str] = ROMAN, fuzzy: float = FUZZY) -> DataFrame:
+def map_to_canonical(values: DataFrame, reference: DataFrame, han: Tables | None = None, fuzzy: float = FUZZY) -> DataFrame:
     """(value, canonical) for the distinct non-blank strings of values.value.
 
     reference: (canonical, names array<string>); blank and null names are left
     out, padded ones trimmed. canonical is UNMATCHED where no name, or two names
     equally, fit; with an empty reference that is every value. Other columns of
-    either side are ignored."""
+    either side are ignored. han: tables of forms and readings, by default those
+    of every Chinese character."""
     ship(values.sparkSession)
+    han = han or tables(values.sparkSession)
     vals = values.select(F.col("value").cast("string").alias("value")).where(visible(F.col("value"))).distinct()
     names = reference.select("canonical", F.explode(F.array_union(F.array("canonical"), F.coalesce("names", F.array().cast("array<string>")))).alias("name"))
-    names = _name_forms(names.where(visible(F.col("name")) & visible(F.col("canonical"))).distinct(), syllables)
+    names = _name_forms(names.where(visible(F.col("name")) & visible(F.col("canonical"))).distinct(), han)
+    names = materialize(names, "names")  # read three times
     sizes = names.where(~F.col("name").rlike("^[a-z0-9]") & (F.length("name") > 1)).select(F.length("name")).distinct().collect()  # lengths of listed names
-    vf = _value_forms(vals, syllables, tuple(sorted(r[0] for r in sizes)))
+    vf = materialize(_value_forms(vals, han, tuple(sorted(r[0] for r in sizes))), "forms")  # read twice, folded once
     left = vf.groupBy("form").agg(F.max("whole").alias("whole"), F.first("toks").alias("toks"))
     right = names.groupBy("name").agg(F.first("toks").alias("toks"))
     hits = similar_forms(left, right, fuzzy)
@@ -178,7 +178,7 @@ def map_to_canonical(values: DataFrame, reference: DataFrame, syllables: dict[st
     exact = F.col("jaccard") >= 1 - 1e-9
     edit = F.levenshtein("form", "name") <= 1
     near = F.col("whole") & edit & (F.length("form") >= F.when(F.col("form").rlike("^[a-z0-9]"), 3).otherwise(2))
-    sounds = (F.col("roman") != "") & (F.col("roman") == F.col("name_roman"))
+    sounds = F.arrays_overlap("roman", "name_roman")
     rank = F.when(exact & F.col("whole"), 4.0).when(exact, 3.0).when(near, F.when(sounds, 2.0).otherwise(F.col("jaccard")))
     best = (
         scored.withColumn("rank", rank).where("rank is not null")

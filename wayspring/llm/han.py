@@ -1,7 +1,61 @@
-"""Character tables for Chinese text. All are parameters of their users."""
+"""Character tables for Chinese text. All are parameters of their users.
+
+The tables of traditional forms and of readings come from the public
+transliteration rules that Spark ships for its collations; they cover every
+Chinese character and are read once per session."""
 
 from __future__ import annotations
 
+import unicodedata
+from dataclasses import dataclass
+from itertools import product
+
+from pyspark.sql import SparkSession
+
+# Further readings of characters in place names.
+FURTHER_READINGS = "重chong 长chang 峤qiao 晟sheng 厦xia 乐yue 行hang 朝chao 番pan 莆pu 都du 泊bo 单shan 六lu 蚌beng 台tai 浚xun 铅yan 荥ying 涡guo 尉yu 筠yun 柏bai 会kuai 大dai 渑mian 歙she 婺wu 解xie 洞tong 石dan 曾zeng 盖ge"
+
+
+@dataclass(frozen=True)
+class Tables:
+    """simplify: traditional to simplified code points; readings: syllables of a character, without tones."""
+
+    simplify: dict[int, int]
+    readings: dict[str, tuple[str, ...]]
+
+    @property
+    def traditional(self) -> tuple[str, str]:
+        """The two sides of simplify as strings, for translate."""
+        return "".join(map(chr, self.simplify)), "".join(map(chr, self.simplify.values()))
+
+
+def _syllables(shown: str) -> tuple[str, ...]:
+    parts = unicodedata.normalize("NFD", shown)
+    plain = "".join(c for c in parts if "a" <= c <= "z")
+    return (plain, plain.replace("u", "v"), plain.replace("u", "yu")) if "\u0308" in parts else (plain,)
+
+
+def tables(spark: SparkSession) -> Tables:
+    """The tables of this session, read on first use."""
+    sc = spark.sparkContext
+    kept = getattr(sc, "_wayspring_han", None)
+    if kept is None:
+        chars = [chr(c) for lo, hi in ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00)) for c in range(lo, hi)]
+        rules = spark._jvm.com.ibm.icu.text.Transliterator
+        shown, simple = (rules.getInstance(r).transliterate("\n".join(chars)).split("\n") for r in ("Han-Latin; Lower", "Traditional-Simplified"))
+        readings = {c: _syllables(x) for c, x in zip(chars, shown) if x != c}
+        for pair in FURTHER_READINGS.split():
+            readings[pair[0]] = tuple(dict.fromkeys((*readings.get(pair[0], ()), pair[1:])))
+        kept = Tables({ord(c): ord(x) for c, x in zip(chars, simple) if x != c and len(x) == 1}, readings)
+        sc._wayspring_han = kept
+    return kept
+
+
+def romanised(name: str, readings: dict[str, tuple[str, ...]]) -> list[str]:
+    """Every romanisation of a name, or none unless every character's reading is known."""
+    parts = [readings.get(c, ()) for c in name]
+    return ["".join(x) for x in product(*parts)] if parts and all(parts) else []
+
 # Traditional characters with their simplified form.
 TRADITIONAL = (
     "點点 車车 裡里 為为 鐵铁 開开 門门 時时 間间 鐘钟 觀观 雲云 線线 還还 飯饭 聽听 館馆 從从 東东 樓楼 說说 號号 熱热 問问 涼凉 書书 魚鱼 頭头 "
