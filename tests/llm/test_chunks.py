@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from wayspring.llm.chunks import chunk, pieces, spans
+from wayspring.llm.chunks import chunk, parse, pieces, spans
 
 
 @settings(max_examples=150, deadline=None)
@@ -27,6 +27,26 @@ def test_boundaries():
     assert pieces("") == [] and pieces("短") == ["短"] and pieces("x" * 800) == ["x" * 800]
 
 
+def test_headings_stay_with_their_sections():
+    body = "去看湖。" * 12
+    text = "".join(f"# A{i}\n## B{i}\n{body}\n## C{i}\n{body}\n" for i in range(5))
+    got = [text[a:b] for a, b in spans(text, 120, 10)]
+    assert all(p.startswith("#") and not p.rstrip().split("\n")[-1].startswith("#") for p in got) and "".join(got) == text
+    long = "# 题\n" + "去看很远的湖。" * 60
+    assert [p.count("题") for p in pieces(long, 100, 10)][0] == 1 and pieces(long, 100, 10)[0].endswith("。")
+
+
+def test_tree_and_sibling_merge():
+    text = "前言。\n# 一\n甲。\n\n乙。\n## 二\n- 丙\n  - 丁\n- 戊\n# 三\n己。"
+    root = parse(text)
+    shape = lambda n: [shape(k) for k in n.kids] or text[n.start : n.end].strip()
+    assert shape(root) == ["前言。", ["# 一\n甲。", "乙。", [["## 二\n- 丙", ["- 丁"]], ["- 戊"]]], ["# 三\n己。"]]
+    a, b, c = "# A\n" + "甲" * 45 + "\n", "# B\n" + "乙" * 45 + "\n", "# C\n" + "丙" * 45 + "\n"
+    assert [(a + b + c)[x:y] for x, y in spans(a + b + c, 110, 10)] == [a + b, c]
+    deep = "".join(" " * i + f"- {i}\n" for i in range(3000))
+    assert "".join(deep[x:y] for x, y in spans(deep)) == deep
+
+
 def test_bad_parameters():
     with pytest.raises(ValueError):
         pieces("x" * 9, 5, 5)
@@ -40,3 +60,4 @@ def test_tables(spark):
     assert [(r[0], r[1], r[2]) for r in rows] == [(1, 1, 2), (1, 2, 2), (2, 1, 1)]
     assert rows[0][3] + rows[1][3][80:] == long and rows[2][3] == "短"
     assert chunk(df.where("false")).count() == 0
+    assert [(r.rid, r.chunk_id) for r in chunk(df, oversized=True).orderBy("chunk_id").collect()] == [(1, 1), (1, 2)]
