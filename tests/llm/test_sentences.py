@@ -32,6 +32,35 @@ def test_abbreviations_right_after_other_sentences():
     assert [t for t in ["".join(want)] for t in [t[a:b] for a, b in sentence_spans(t)]] == want
 
 
+def test_blanks_of_unpunctuated_chinese_and_japanese():
+    cut = lambda t: [t[a:b] for a, b in sentence_spans(t)]
+    assert cut("花开了 鸟叫了 春天来了") == ["花开了", "鸟叫了", "春天来了"]
+    assert cut("今日は晴れです 明日は雨でしょう") == ["今日は晴れです", "明日は雨でしょう"]
+    assert cut("北桥 南门 西湖") == ["北桥 南门 西湖"]
+
+
+def test_word_lattice_decides_gaps(monkeypatch):
+    from wayspring.llm import sentences as S
+
+    t = "ราคาไม่แพงเลย ที่ตลาดปิดแล้ว เราชอบ"
+    whole = S.sentence_spans(t)
+    assert len(S.sentence_spans("花开了 鸟叫了")) == 2
+    monkeypatch.setattr(S, "_by_words", lambda left, right, lexicon: None)
+    assert S.sentence_spans(t) != whole or len(S.sentence_spans("花开了 鸟叫了")) == 1
+
+
+def test_full_stops_of_other_scripts_and_titles():
+    cut = lambda t: [t[a:b] for a, b in sentence_spans(t)]
+    for stop in "\u104b\u17d4\u1362\u06d4":
+        assert cut(f"aa bb{stop} cc dd{stop}") == [f"aa bb{stop}", f"cc dd{stop}"]
+    assert cut("Gov. Roe left the U.S. Army. He came home.") == ["Gov. Roe left the U.S. Army.", "He came home."]
+
+
+def test_runs_of_any_length():
+    long = "ก" * 300
+    assert len(sentence_spans(f"{long}แล้ว {long} รถ{long}")) == 3
+
+
 def test_missing_space_and_mixed_scripts():
     t = "It takes 74 minutes.A room was 9 yuan. 评分很高。The walk is long.（今年不开放。）"
     assert [t[a:b] for a, b in sentence_spans(t)] == ["It takes 74 minutes.", "A room was 9 yuan.", "评分很高。", "The walk is long.", "（今年不开放。）"]

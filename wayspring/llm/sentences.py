@@ -8,7 +8,9 @@ paired first, then every terminator is judged by what stands before it
 (abbreviations, initials, ordinals, decimals) and after it (case, attribution
 of a quotation). Scripts that use neither spaces between words nor full stops
 are segmented by a word lattice over a small dictionary, and each gap is
-classified through the final word before it and the opening word behind it.
+classified through the final word before it and the opening word behind it; so
+are the blanks of Chinese and Japanese blocks without full stops, where a gap
+without either word counts if both sides are as long as a clause.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ from wayspring.runtime import small_batches, table
 _BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
 _BULLET = re.compile(r"\s*(?:[-*•·●○▪‣–]\s+|#{1,6}\s|\d{1,3}[.)]\s+|\d{1,3}、|[一二三四五六七八九十]{1,3}、|[（(]\d{1,3}[)）]\s*|[①-⑳])")
 _NUMBER_BULLET = re.compile(r"\s*\d{1,3}[.)]\s")
-_TERMINATOR = re.compile("[。！？!?｡।॥…؟]+|\\.+")
+_TERMINATOR = re.compile("[。！？!?｡।॥…؟။។៕።۔།༎]+|\\.+")  # the last: Burmese, Khmer, Ethiopic, Urdu, Tibetan
 _CJK = "㐀-䶿一-鿿豈-﫿々぀-ヿ"
 _IS_CJK = re.compile(f"[{_CJK}]")
 _IS_THAI = re.compile("[฀-๿]")
 _DEVANAGARI = re.compile("[ऀ-ॿ]")
-_SENTENCE_END = re.compile(f"[。！？!?｡।॥….؟～:：][”’」』）)\\]\"'»“]*$")
+_SENTENCE_END = re.compile(f"[。！？!?｡।॥….؟～:：။។៕።۔།༎][”’」』）)\\]\"'»“]*$")
 _CONTINUES = re.compile("[,，、;；\\-]$")
 _OPENS = re.compile(f"[{_CJK}“「『（《A-Z]")
 _CLAUSE = 7  # characters: the least on both sides of a space between unpunctuated sentences
@@ -44,10 +46,13 @@ _BRACKETS = "（([【《"
 # Abbreviations that never, and that may, end a sentence.
 _NEVER = frozenset(
     "mt st dr mr mrs ms mme mlle mm prof sra sr srta dª nr no nos núm num art fig figs ca approx env aprox vs e.g i.e eg ie c.-à-d p.ej cf "
-    "bzw av avda ave tel vol pp gen rev hon capt lt col sgt dept est ed eds jan feb mar apr jun jul aug sep sept oct nov dec abb str "
+    "gov sen rep pres supt bzw av avda ave tel vol pp gen rev hon capt lt col sgt dept est ed eds jan feb mar apr jun jul aug sep sept oct nov dec abb str "
     "hr fr hrn co ee z.b d.h u.a v.a s.o min max inkl exkl ggf evtl sog bd pág cap ej".split()
 )
-_MAYBE = frozenset("etc a.m p.m am pm ltd inc soc corp usw uu u.s jr bros llc plc gmbh usf km cm kg".split())
+_MAYBE = frozenset("etc a.m p.m am pm u.k u.n e.u d.c ltd inc soc corp usw uu u.s jr bros llc plc gmbh usf km cm kg".split())
+# Initialisms that end a sentence only before a word that opens one.
+_INITIALISMS = frozenset("u.s u.k u.n e.u d.c".split())
+_OPENERS = re.compile(r"\s+(?:The|This|That|These|Those|There|It|He|She|We|They|I|You|But|And|In|On|At|A|An|After|Before|When|If|As|No|Our|My|His|Her|Their|So|Then|For|To|From|With)\b")
 _ORDINAL_LEAD = frozenset("am vom zum bis dem den der jeden jeder jedem im ab seit beim des die das".split())
 _MONTH_OR_DAY = re.compile(r"\s+(?:Jan|Feb|Mär|Apr|Mai|Jun|Jul|Aug|Sep|Okt|Nov|Dez|Montag|Dienstag|Mittwoch|Donnerstag|Freitag|Samstag|Sonn|Jahrhundert|Stock|Etage|Klasse)")
 
@@ -61,12 +66,25 @@ _HI_SAYS = re.compile("[^।!?]{0,60}(?:पूछा|कहा|बोला|ब
 _TH_OPEN = "เจ้าของ แนะนำ ตั๋ว รถบัส รถไฟ รถ ตลาด พิพิธภัณฑ์ ฝน ห้องพัก ห้อง ระยะทาง อาหาร โรงแรม ร้าน วัด สถานี เรา ฉัน ผม คุณ เขา ที่นี่ วันนี้ เมื่อ ถ้า ควร ทะเลสาบ สะพาน เส้นทาง ทาง นักท่องเที่ยว ค่า เปิด ปิด ไม่ควร อย่า เวลา".split()
 _TH_FINAL = "ครับ ค่ะ คะ นะ จ้ะ แล้ว ได้ ตก ร่ม มากมาย สงบ ทุกวัน กิโลเมตร นาที ต่อคน คน เลย มาก บาท ชั่วโมง เมตร โมง".split()
 _TH_JOIN = "และ หรือ แต่ ที่ ซึ่ง เพราะ โดย กับ ของ จาก ถึง ใน ราคา จึง ก็ ว่า เพื่อ ตั้งแต่ จนถึง ออก ประมาณ".split()
-_TH_WORDS = frozenset([*_TH_OPEN, *_TH_FINAL, *_TH_JOIN])
-_TH_LONGEST = max(map(len, _TH_WORDS))
-_TH_OPEN_SET, _TH_FINAL_SET, _TH_JOIN_SET = frozenset(_TH_OPEN), frozenset(_TH_FINAL), frozenset(_TH_JOIN)
+# The same for Chinese and Japanese.
+_CJ_OPEN = "我 你 他 她 它 我们 你们 他们 她们 咱们 这 那 这里 那里 这个 那个 今天 明天 昨天 后来 然后 最后 如果 要是 虽然 因为 所以 但是 不过 可是 建议 记得 从 第 わたし 私 僕 彼 彼女 これ それ あれ ここ そこ この その また でも しかし だから 今日 明日 昨日".split()
+_CJ_FINAL = "了 吗 呢 吧 啊 呀 嘛 哦 啦 喽 哟 です ます でした ました ません だった だ よ ね か わ ください でしょう だろう".split()
+_CJ_JOIN = "的 和 与 及 或 在 把 被 对 向 是 有 也 都 は が を に で と も の へ や から まで より".split()
 
 
-def _word_lattice(s: str) -> list[str]:
+class Lexicon:
+    """Words of a spaceless script with the roles that classify gaps."""
+
+    def __init__(self, opening, final, joining):
+        self.opening, self.final, self.joining = frozenset(opening), frozenset(final), frozenset(joining)
+        self.words = self.opening | self.final | self.joining
+        self.longest = max(map(len, self.words))
+
+
+THAI, CHINESE_JAPANESE = Lexicon(_TH_OPEN, _TH_FINAL, _TH_JOIN), Lexicon(_CJ_OPEN, _CJ_FINAL, _CJ_JOIN)
+
+
+def _word_lattice(s: str, lexicon: Lexicon = THAI) -> list[str]:
     """The words of s on the path through the dictionary lattice that leaves the
     fewest characters unknown, then has the fewest words."""
     n = len(s)
@@ -75,8 +93,8 @@ def _word_lattice(s: str) -> list[str]:
         miss, words, _ = best[i]
         if (c := (miss + 1, words + 1, i)) < best[i + 1]:
             best[i + 1] = c
-        for k in range(2, min(_TH_LONGEST, n - i) + 1):
-            if s[i : i + k] in _TH_WORDS and (c := (miss, words + 1, i)) < best[i + k]:
+        for k in range(1, min(lexicon.longest, n - i) + 1):
+            if s[i : i + k] in lexicon.words and (c := (miss, words + 1, i)) < best[i + k]:
                 best[i + k] = c
     out, i = [], n
     while i:
@@ -93,14 +111,32 @@ def _thai_gap(left: str, right: str) -> bool:
         return False
     if not _IS_THAI.match(right[0]):
         return right[0].isupper() or bool(re.match(r"[“\"«¿¡（(「《]", right)) or bool(_IS_CJK.match(right[0]))
-    tail, head = _word_lattice(left[-24:]), _word_lattice(right[:24])
-    if head[0] in _TH_JOIN_SET and tail[-1] not in _TH_FINAL_SET:
+    sure = _by_words(left, right, THAI)
+    return len(left) > 3 if sure is None else sure
+
+
+def _by_words(left: str, right: str, lexicon: Lexicon) -> bool | None:
+    """Whether the words at a gap make it a sentence's end; null if they don't tell."""
+    tail, head = _word_lattice(left, lexicon)[-1], _word_lattice(right, lexicon)[0]
+    if head in lexicon.joining and tail not in lexicon.final:
         return False
-    if tail[-1] in _TH_JOIN_SET and head[0] not in _TH_OPEN_SET:
+    if tail in lexicon.joining and head not in lexicon.opening:
         return False
-    if head[0] in _TH_OPEN_SET or tail[-1] in _TH_FINAL_SET:
+    if head in lexicon.opening or tail in lexicon.final:
         return True
-    return len(left) > 3
+    return None
+
+
+def _bare_gap(left: str, right: str, said: int) -> bool:
+    """The same for a Chinese or Japanese block without full stops; said: length of
+    the sentence before the gap."""
+    if not _IS_CJK.search(left[-6:]) or not _OPENS.match(right) or left[-1] in "，、；：,;:":
+        return False
+    if _IS_CJK.match(left[-1]) and _IS_CJK.match(right[0]):
+        sure = _by_words(left, right, CHINESE_JAPANESE)
+        if sure is not None and (sure or min(said, len(right)) < _CLAUSE):
+            return sure
+    return said >= _CLAUSE and len(right) >= _CLAUSE
 
 
 def _enclosed(t: str) -> list[tuple[int, int]]:
@@ -139,6 +175,16 @@ def _enclosed(t: str) -> list[tuple[int, int]]:
     return top
 
 
+_GAP, _RUN = re.compile(r"\s+"), re.compile(r"\S+")
+
+
+def _run_start(t: str, p: int, lo: int) -> int:
+    """Where the unbroken run that ends at p begins, not before lo."""
+    while p > lo and not t[p - 1].isspace():
+        p -= 1
+    return p
+
+
 def _next_visible(t: str, p: int) -> int:
     while p < len(t) and t[p].isspace():
         p += 1
@@ -193,9 +239,13 @@ def _dot_ends(t: str, p: int, start: int = 0) -> bool:
     if re.fullmatch(r"[a-zà-ÿ](?:\.[a-zà-ÿ])+", word) and word not in _MAYBE:
         return False
     if token.isdigit() and len(token) <= 2:
-        lead = t[:i].split()[-1:] if i else []
-        if _MONTH_OR_DAY.match(t, q) or lead and lead[0].lower() in _ORDINAL_LEAD:
+        j = i
+        while j and t[j - 1].isspace():
+            j -= 1
+        if _MONTH_OR_DAY.match(t, q) or t[_run_start(t, j, 0) : j].lower() in _ORDINAL_LEAD:
             return False
+    if word in _INITIALISMS and not _OPENERS.match(t, q):
+        return False
     if t[n] in "0123456789" and word in _MAYBE:
         return False
     return True
@@ -266,17 +316,12 @@ def _cut(t: str) -> list[int]:
         nonlocal start
         if not thai and not bare:
             return
-        for m in re.finditer(r"\s+", t[lo:hi]):
-            p, q = lo + m.start(), lo + m.end()
+        for m in _GAP.finditer(t, lo, hi):
+            p, q = m.span()
             if p <= start or q >= len(t):
                 continue
-            if bare:
-                if p - start >= _CLAUSE and _IS_CJK.search(t, p - 6, p) and _OPENS.match(t, q) and t[p - 1] not in "，、；：,;:" and len(t[q:].split(None, 1)[0]) >= _CLAUSE:
-                    ends.append(p)
-                    start = q
-                continue
-            left, right = t[start:p].split(), t[q : q + 48].split()
-            if left and right and _IS_THAI.search(left[-1] + right[0]) and _thai_gap(left[-1], right[0]):
+            left, right = t[_run_start(t, p, start) : p], _RUN.match(t, q).group()
+            if bare and _bare_gap(left, right, p - start) or thai and _IS_THAI.search(left + right) and _thai_gap(left, right):
                 ends.append(p)
                 start = q
 
@@ -294,8 +339,8 @@ def _cut(t: str) -> list[int]:
         if k < len(pairs) and pairs[k][0] < p < pairs[k][1]:
             a, b = pairs[k]
             inner = t[p:b]
-            if inner.strip("  　" + _CLOSERS).strip("。！？!?｡।॥….؟～") == "":
-                if mark == "." and not _dot_ends(t[: p + 1], p, start):
+            if inner.strip("  　" + _CLOSERS).strip("。！？!?｡।॥….؟～။។៕።۔།༎") == "":
+                if mark == "." and p and _DEVANAGARI.match(t[p - 1]):
                     continue
                 e = b + 1
                 while e < len(t) and t[e] in "。！？!?।" + _CLOSERS.replace('"', ""):
