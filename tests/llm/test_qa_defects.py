@@ -37,6 +37,28 @@ def test_shortened_versions_are_found_across_ranges(spark):
     assert got == set(cut)
 
 
+def test_any_longer_version_counts_not_only_the_next(spark):
+    texts = ["Go at 6.", "Go at 6. Bring water.", "Go at 6. Always.", "Go at 6., or later.", "He left at 9.", "He left at 9.\nNew line."]
+    assert [r.body for r in shortened(spark.createDataFrame([(x,) for x in texts], "body string")).collect()] == ["Go at 6."]
+
+
+def test_neighbours_and_limits_decide_what_the_ending_leaves_open(spark, monkeypatch):
+    from wayspring.llm import qa_defects as Q
+
+    rows = [(1, "When?", "The lake opens at 6."), (2, "When?", "The lake opens at 6., the bridge at 7 and it is near."), (3, "When?", "The tower opens at 7.")]
+    rows += [(100 + i, "When?", "The " + f"{i:04d}" + "y" * 72) for i in range(60)] + [(200 + i, "When?", "The " + f"{i:04d}" + "z" * n) for i, n in enumerate(range(40, 110))]
+    rows += [(300, "When?", "The bridge " + "w" * 61 + " is 30 m."), (301, "When?", "The bridge " + "w" * 30 + " is 30 m.")]
+    df = spark.createDataFrame(rows, "id long, question string, answer string")
+    on = {r.id for r in defects(df).collect() if r.defect == "truncated"}
+    assert 1 in on and 3 not in on and 301 not in on and len(rows[-2][2]) == 81
+    limited = spark.createDataFrame([*rows[:-2], (300, "When?", "The bridge " + "w" * 60 + " is 30 m.")], "id long, question string, answer string")
+    assert 300 in {r.id for r in defects(limited).collect()}
+    monkeypatch.setattr(Q, "shortened", lambda texts: texts.where("false").select("body"))
+    monkeypatch.setattr(Q, "length_limits", lambda texts: texts.where("false").select("n_chars"))
+    off = {r.id for r in defects(limited).collect()}
+    assert 1 not in off and 300 not in off
+
+
 def test_length_limit_spike(spark):
     rows = [(n, False) for n in range(20, 60)] + [(41, False)] * 80 + [(50, True)] * 200
     assert [r[0] for r in length_limits(spark.createDataFrame(rows, "n_chars int, closed boolean")).collect()] == [41]

@@ -1,12 +1,15 @@
 """Broken prompt and response pairs.
 
-Shortened responses: distinct responses are range-partitioned and sorted by
-text, so a response that is cut short stands right before a longer version of
-itself, if there is one; comparing neighbours' common prefixes finds it.
-Length limits: a length at which unclosed responses pile up far beyond the
-lengths around it is a limit that cuts responses off. Then the rules for what
-ends a response, for copies of the question, refusals and languages apply.
-All of it is JVM-side column expressions.
+Shortened responses: distinct responses are range-partitioned and sorted by text
+in an order that puts what goes on within a sentence first, so a response that is
+cut short stands right before a version that continues it, if there is any;
+comparing neighbours' common prefixes finds it. Length limits: a length at which
+unclosed responses pile up far beyond the lengths around it is a limit that cuts
+responses off. Both decide where an ending may be either (an abbreviation, a
+figure, a full stop that a longer version carries on); a response that ends
+without any mark, or in the middle of a quotation, is cut off by itself. Then the
+rules for copies of the question, refusals and languages apply. All of it is
+JVM-side column expressions.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayspring.functions import strip
-from wayspring.llm.han import TRADITIONAL_FROM, TRADITIONAL_TO, WIDE_FROM, WIDE_TO
+from wayspring.llm.han import WIDE_FROM, WIDE_TO, Tables, tables
 from wayspring.runtime import materialize, table
 
 # Words that stand for no answer, letters and digits only.
@@ -25,14 +28,14 @@ ECHOES = ("您的问题是", "你的问题是", "您问的是", "你问的是",
 
 # Ways to decline, per language.
 _REFUSAL = "|".join((
-    "(?:无法|不能|不便|没法|没办法|無法|不會|不会|不被允许|不允许|恕难)[^，。！？]{0,12}(?:回答|作答|解答|提供|说|說|协助|帮|处理|答复|讨论|建议|透露|告诉|评论|给出)",
-    "暂不支持|不予(?:讨论|回答|提供|置评)|只能拒绝|拒绝回答|帮不上|没有权限|超出[^，。！？]{0,6}(?:能力|范围)|不在服务范围|没有可以告诉|无从(?:作答|回答)|此类请求",
-    "(?:can(?:no|')t|can not|unable to|not able to|not allowed to|not permitted to|won't be able to|will not be able to|refuse to|decline to)[^.!?]{0,20}(?:help|answer|assist|share|discuss|provide|say|tell|respond|comment|do)",
+    "(?:无法|不能|不便|没法|没办法|無法|不會|不会|不被允许|不允许|恕难)[^，。！？]*(?:回答|作答|解答|提供|说|說|协助|帮|处理|答复|讨论|建议|透露|告诉|评论|给出)",
+    "暂不支持|不予(?:讨论|回答|提供|置评)|只能拒绝|拒绝回答|帮不上|没有权限|超出[^，。！？]*(?:能力|范围)|不在服务范围|没有可以告诉|无从(?:作答|回答)|此类请求",
+    "(?:can(?:no|')t|can not|unable to|not able to|not allowed to|not permitted to|won't be able to|will not be able to|refuse to|decline to)[^.!?]*(?:help|answer|assist|share|discuss|provide|say|tell|respond|comment|do)",
     "must decline|pass on this|outside (?:of )?(?:what i|my)|beyond what i can|not something i (?:may|can)|against my (?:policy|guidelines)",
-    "(?:kann|darf|möchte)[^.!?]{0,25}nicht[^.!?]{0,20}(?:helfen|beantworten|antworten|auskunft|sagen)|nicht[^.!?]{0,12}(?:helfen|beantworten)",
-    "(?:ne (?:peux|puis|pouvons)(?: pas)?|impossible de|pas autorisée? à)[^.!?]{0,16}(?:répondre|aider|fournir|dire|discuter)",
-    "(?:no puedo|no podemos|no estoy autorizad[oa] a|imposible)[^.!?]{0,12}(?:ayudar|responder|contestar|proporcionar|decir|hablar)",
-    "(?:お答え|対応|回答|ご案内|お手伝い|提供)[^。！？]{0,6}(?:できません|しかねます|いたしかねます|できかねます|ません)",
+    "(?:kann|darf|möchte)[^.!?]*nicht[^.!?]*(?:helfen|beantworten|antworten|auskunft|sagen)|nicht[^.!?]*(?:helfen|beantworten)",
+    "(?:ne (?:peux|puis|pouvons)(?: pas)?|impossible de|pas autorisée? à)[^.!?]*(?:répondre|aider|fournir|dire|discuter)",
+    "(?:no puedo|no podemos|no estoy autorizad[oa] a|imposible)[^.!?]*(?:ayudar|responder|contestar|proporcionar|decir|hablar)",
+    "(?:お答え|対応|回答|ご案内|お手伝い|提供)[^。！？]*(?:できません|しかねます|いたしかねます|できかねます|ません)",
 ))
 _POLITE = "如有|欢迎|祝您|祝你|谢谢|感谢|抱歉|对不起|不好意思|很遗憾|您好|换个|咨询|客服|anything else|have a nice|thank|sorry|hello|apolog|unfortunately|human agent|bon voyage|gute reise|buen viaje|merci|danke|gracias|désol|leid|lo siento|ありがとう|申し訳"
 _BUT = "但|不过|资料显示|[0-9０-９]|however|aber|mais|pero"
@@ -55,13 +58,18 @@ _ASKED = {
 }
 _TAIL = r"(?:\s*(?:\[\d+\]|（来源[^（）]*）|\((?:source|来源|quelle|fuente)[^()]*\)|</?[a-zA-Z][^<>]*>|[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}]|[\s\p{Z}\p{Cf}]))+$"
 _CLOSED = r"[。！？.!?～~।][”’」』）)\]\"'»“]*$"
-_ABBREVIATED = r"(?i)(?:^|[\s(（“\"„«¿])(?:e\.g|i\.e|mt|st|dr|mr|mrs|ms|no|nr|núm|approx|aprox|ca|env|etc|vs|co|fig|c\.-à-d|d\. ?h|z\. ?B|z|d|bzw|EE|EE\. UU|sra?|prof|p|a|m|\d{1,4}(?:[.:]\d{1,2})?)\.$"
+_TRAILS = r"(?:^|[^…])…$|(?:^|[^.])\.\.\.$|[，、；：,;:“‘「『（(«„]$"
+# Abbreviations that never, and that may, end a sentence.
+_BEFORE = r"(?i)(?:^|[\s(（“\"„«¿])"
+_NEVER_LAST = _BEFORE + r"(?:e\.g|i\.e|mt|st|dr|mr|mrs|ms|nr|núm|approx|aprox|ca|env|vs|fig|c\.-à-d|d\. ?h|z\. ?B|bzw|sra?|prof)\.$"
+_EITHER = _BEFORE + r"(?:no|etc|co|z|d|p|a|m|EE|EE\. UU|\d{1,4}(?:[.:]\d{1,2})?)\.$"
 
 
-def _letters(c: Column) -> Column:
+def _letters(c: Column, han: Tables) -> Column:
     """Letters and digits of a text: half-width, lower case, simplified."""
-    c = F.translate(F.coalesce(c, F.lit("")), WIDE_FROM + TRADITIONAL_FROM, WIDE_TO + TRADITIONAL_TO)
-    return F.lower(F.regexp_replace(F.regexp_replace(c, r"<[^<>]{0,40}>|&nbsp;", ""), r"[^\p{L}\p{N}]", ""))
+    old, new = han.traditional
+    c = F.translate(F.coalesce(c, F.lit("")), WIDE_FROM + old, WIDE_TO + new)
+    return F.lower(F.regexp_replace(F.regexp_replace(c, r"</?[A-Za-z][^<>]*>|&nbsp;", ""), r"[^\p{L}\p{N}]", ""))
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -95,30 +103,36 @@ def asked_language(question: Column) -> Column:
     return out
 
 
+_ON = r"\s*[\p{Ll}，、；：,;:”’」』）)]"  # what carries a sentence on
+_FIRST = "\x01"  # sorts before every visible character
+
+
 def shortened(texts: DataFrame) -> DataFrame:
-    """Distinct texts (column body) that a longer one continues within a
-    sentence: (body). The longer version of a text is its neighbour in order."""
+    """Distinct texts (column body) that some longer one continues within a
+    sentence: (body).
+
+    In the order used, what carries a sentence on sorts first, so of all texts with
+    a common prefix the next neighbour is one that goes on, if any does."""
     spark = texts.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    placed = texts.select("body").distinct().repartitionByRange(n, "body").withColumn("part", F.spark_partition_id())
+    order = F.regexp_replace("body", f"({_ON})", f"{_FIRST}$1")
+    placed = texts.select("body").where(F.length("body") > 0).distinct().select(order.alias("body")).repartitionByRange(n, "body").withColumn("part", F.spark_partition_id())
     placed = materialize(placed, "bodies")
     first = placed.groupBy("part").agg(F.min("body").alias("head"))  # one row per range
     after = first.select("part", F.lead("head").over(Window.orderBy("part")).alias("next_head"))
     near = placed.withColumn("next", F.lead("body").over(Window.partitionBy("part").orderBy("body")))
     near = near.join(F.broadcast(after), "part").select("body", F.coalesce("next", "next_head").alias("next"))
-    rest = F.expr("substring(next, length(body) + 1)")
-    goes_on = rest.rlike(r"^\s*[\p{Ll}，、；：,;:”’」』）)]") | ~F.col("body").rlike(_CLOSED) & ~rest.rlike(r"^[\n\r]")
-    near = near.where(F.length("body") > 0)
-    return near.where(F.col("next").startswith(F.col("body")) & (F.length("next") > F.length("body")) & goes_on).select("body")
+    return near.where(F.col("next").startswith(F.concat("body", F.lit(_FIRST)))).select(F.replace("body", F.lit(_FIRST), F.lit("")).alias("body"))
 
 
-def length_limits(texts: DataFrame, factor: int = 5, least: int = 30) -> DataFrame:
-    """(n_chars): lengths at which unclosed rows of (n_chars, closed) are `factor`
-    times as many as on average at the ten lengths around, and at least `least`."""
+def length_limits(texts: DataFrame, sigmas: float = 5.0) -> DataFrame:
+    """(n_chars): lengths at which unclosed rows of (n_chars, closed) are more than
+    the mean of the ten lengths around explains: by `sigmas` times its spread, one
+    row more than seen counted in, so that few rows prove nothing."""
     per = texts.where("not closed").groupBy("n_chars").agg(F.count("*").alias("n"))
     around = Window.orderBy("n_chars").rangeBetween(-5, 5)  # one row per length
     near = per.withColumn("others", (F.sum("n").over(around) - F.col("n")) / 10)
-    return near.where((F.col("n") >= least) & (F.col("n") > factor * F.col("others"))).select("n_chars")
+    return near.where(F.col("n") > F.col("others") + sigmas * F.sqrt(F.col("others") + 1)).select("n_chars")
 
 
 def defects(history: DataFrame, key: str = "id", question: str = "question", answer: str = "answer") -> DataFrame:
@@ -127,34 +141,36 @@ def defects(history: DataFrame, key: str = "id", question: str = "question", ans
 
     Rows repeated under one key count once; a null or blank answer is empty; a
     null question is no language and no copy. Other columns are ignored."""
+    han = tables(history.sparkSession)
     h = history.select(F.col(key), F.col(question).alias("q"), F.col(answer).alias("a"))
-    body = F.regexp_replace(strip(F.regexp_replace(F.coalesce("a", F.lit("")), r"<[^<>]{0,40}>", " ")), _TAIL, "")
+    body = F.regexp_replace(strip(F.regexp_replace(F.coalesce("a", F.lit("")), r"</?[A-Za-z][^<>]*>", " ")), _TAIL, "")
     told = h.select(key, body.alias("body"))  # a filter on it here would clean every text again
     cut = shortened(told.select("body")).withColumn("cut", F.lit(True))
-    limits = length_limits(told.select(key, F.length("body").alias("n_chars"), F.col("body").rlike(_CLOSED).alias("closed")).dropDuplicates([key]).where("n_chars > 0")).withColumn("at_limit", F.lit(True))
+    closed = F.col("body").rlike(_CLOSED) & ~F.col("body").rlike(_EITHER) & ~F.col("body").rlike(_NEVER_LAST) & ~F.col("body").rlike(_TRAILS)
+    limits = length_limits(told.select(key, F.length("body").alias("n_chars"), closed.alias("closed")).dropDuplicates([key]).where("n_chars > 0")).withColumn("at_limit", F.lit(True))
     h = h.dropDuplicates([key]).withColumn("body", body)
-    b, bare = F.col("body"), _letters(F.col("a"))
+    b, bare = F.col("body"), _letters(F.col("a"), han)
     empty = F.transform(F.array(bare), lambda x: (F.length(x) == 0) | x.isin(*PLACEHOLDERS))[0]
 
     def given_back(both: Column) -> Column:
         echo = F.replace(both["said"], both["ask"], F.lit(""))
         return (F.length(both["ask"]) > 0) & both["said"].contains(both["ask"]) & ((F.length(echo) == 0) | echo.isin(*ECHOES))
 
-    copy = F.transform(F.array(F.struct(_letters(F.col("q")).alias("ask"), _letters(b).alias("said"))), given_back)[0]
+    copy = F.transform(F.array(F.struct(_letters(F.col("q"), han).alias("ask"), _letters(b, han).alias("said"))), given_back)[0]
     sentence = F.filter(F.split(F.lower(F.regexp_replace(F.translate(b, "’", "'"), r"([。！？!?]|\.(?=\s|$))", "$1\n")), "\n"), lambda s: s.rlike(r"[\p{L}\p{N}]"))
-    declines = lambda s: (F.length(s) <= 110) & s.rlike(_REFUSAL) & ~s.rlike(_BUT)
-    polite = lambda s: (F.length(s) <= 60) & s.rlike(_POLITE) & ~s.rlike(_BUT)
+    declines = lambda s: s.rlike(_REFUSAL) & ~s.rlike(_BUT)
+    polite = lambda s: s.rlike(_POLITE) & ~s.rlike(_BUT)
     refusal = F.transform(F.array(sentence), lambda x: F.forall(x, lambda s: polite(s) | declines(s)) & F.exists(x, declines))[0]
     both = F.struct(language(F.col("q")).alias("q"), language(b).alias("a"), asked_language(F.col("q")).alias("wish"))
     other = F.transform(F.array(both), lambda x: F.coalesce((x["q"] != x["a"]) & ~F.coalesce(x["wish"] == x["a"], F.lit(False)), F.lit(False)))[0]
     odd = lambda p: _count(b, p) % 2 == 1
     more = lambda o, c: _count(b, o) > _count(b, c)
-    unclosed = ~b.rlike(_CLOSED) | b.rlike(r"(?:^|[^…])…$|(?:^|[^.])\.\.\.$|[，、；：,;:“‘「『（(«„]$") | b.rlike(_ABBREVIATED)
+    unclosed = ~b.rlike(_CLOSED) | b.rlike(_TRAILS) | b.rlike(_NEVER_LAST)
     unclosed = unclosed | odd("[“”„]") | odd('"') | more("«", "»") | more("（", "）") | more(r"\(", r"\)") | more("「", "」") | more("『", "』")
     kind = F.when(empty, "empty").when(copy, "copy").when(refusal, "refusal").when(other, "language").when(unclosed, "truncated")
-    h = h.select(key, "body", F.length("body").alias("n_chars"), F.col("body").rlike(_CLOSED).alias("closed"), kind.alias("kind"))
+    h = h.select(key, "body", F.length("body").alias("n_chars"), F.col("body").rlike(_EITHER).alias("either"), kind.alias("kind"))
     h = h.join(cut, "body", "left").join(limits, "n_chars", "left")  # both are a few rows: AQE measures and broadcasts them
-    late = F.coalesce("cut", F.lit(False)) | F.coalesce(F.col("at_limit") & ~F.col("closed"), F.lit(False))
+    late = F.coalesce("cut", F.lit(False)) | F.coalesce(F.col("at_limit") & F.col("either"), F.lit(False))
     return h.select(key, F.coalesce("kind", F.when(late, "truncated")).alias("defect")).where("defect is not null")
 
 
