@@ -93,8 +93,14 @@ def test_hot_statement_and_class(spark, monkeypatch, rows):
     monkeypatch.setattr(H, "HOT_ROWS", rows)
     h = History(spark)
     h.append(frame(spark, [(i, A[0] + A[1 + i % 50], 0) for i in range(400)] + [(1000 + i, A[0], 0) for i in range(50)]))
-    h.append(frame(spark, [(2000, A[0] + A[7], 0)]))
+    assert h["hot"].count() == (51 if rows == 5 else 0)
+    h.append(frame(spark, [(2000, A[0] + A[7], 0)]))  # a known hot statement is hot in a small batch too
     assert h["hot"].count() == (52 if rows == 5 else 0)
+    if rows == 5:
+        for b in range(6):
+            h.append(frame(spark, [(3000 + b, f"{A[59]}{b}这一句只有一次", 0)]))
+        h.compact()
+        assert h["hot"].groupBy("h").count().count() == 2
     got = pairs(h, frame(spark, [(1, A[0], 1), (2, A[0] + A[5], 1)]))
     assert [s for k, s in got if k == 1] == list(range(1000, 1050))
     assert [s for k, s in got if k == 2] == [i for i in range(400) if 1 + i % 50 == 5]

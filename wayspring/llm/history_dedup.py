@@ -9,14 +9,15 @@ accepting a batch appends its hashes and touches nothing else.
 A new batch is matched bucket-locally. Equal content hashes are full copies. For
 shared-paragraph coverage only a text's rarest half of statements is looked up,
 since two texts that share more than half of both their statements must meet
-there, and the candidates' coverage is then counted exactly. How often a statement
-occurs is an appended table too, read by a semi-join with the batch's own
-statements, so no stored text is read again and nothing is aggregated over all
-of history. Texts with equal statements are one class, so copies cost one lookup.
-
-A statement that history and the new batch hold more than HOT_ROWS times goes to
-a table of its own that is spread by class, so none fills a bucket. compact()
-rewrites the tables in buckets that suit their size, one file each.
+there, and the candidates' coverage is then counted exactly. Every look-up is a
+semi-join with the batch's own hashes first, so no stored text is read again and
+nothing is aggregated over all of history. Texts with equal statements are one
+class, so copies cost one look-up.
+
+A statement that a batch holds more than HOT_ROWS times, or that is known as hot,
+goes to a table of its own that is spread by class, so none fills a bucket.
+compact() rewrites the tables in buckets that suit their size, one file each, and
+sets apart what has become hot over many small batches.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ _FROM = "".join(x for x, _ in _ALIKE)
 _TO = "".join(y for _, y in _ALIKE)
 LEAST_STATEMENT = 8  # letters and digits of a statement; a text of shorter fragments only has those as its statements
 BUCKETS, BUCKET_ROWS = 16, 2_000_000  # the least number of buckets; rows to a bucket when tables are made or compacted
-HOT_ROWS = 10_000  # a statement is hot from so many rows on, of history and batch together
+HOT_ITEMS, HOT_ROWS = 64, 10_000  # a statement is hot in a batch above 1/64 of its statements and 10,000 rows; in a compacted table above 10,000
 _ENDS = r"[。！？!?；;：【】\n\r#]|\.(?![\p{L}\p{N}])|(?<![0-9]):(?![0-9])"
 
 
@@ -103,13 +104,13 @@ def fingerprints(df: DataFrame, key: str, text: str, batch: str, title: str | No
     return f.dropDuplicates(["key", "batch", "class", "whole"]).where(F.size("hashes") > 0)  # only now: a filter before would hash every text again
 
 
-TABLES = {"exact": "whole", "classes": "class", "statements": "h", "hot": "class", "counts": "h", "members": "class"}
+TABLES = {"exact": "whole", "classes": "class", "statements": "h", "hot": "class", "members": "class"}
 
 
 class History:
     """Hash tables of everything accepted: exact (whole, class, batch), classes
-    (class, n, hashes, extra, batch), statements and hot (h, class, n, m, batch),
-    counts (h, df) and members (class, key, batch)."""
+    (class, n, hashes, extra, batch), statements and hot (h, class, n, m, batch) and
+    members (class, key, batch)."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None):
         self.spark, self.buckets = spark, buckets
@@ -139,24 +140,30 @@ class History:
         """Accept rows: only they are read and hashed."""
         new = materialize(fingerprints(df, key, text, batch, title), "fingerprints")
         per = new.groupBy("class").agg(F.first("hashes").alias("hashes"), F.first("extra").alias("extra"), F.min("batch").alias("batch")).withColumn("n", F.size("hashes"))
-        each = materialize(per.select(F.explode(F.concat("hashes", "extra")).alias("h"), "class", "n", (F.col("n") + F.size("extra")).alias("m"), "batch"), "statements")
+        per = materialize(per, "classes")
+        each = per.select(F.explode(F.concat("hashes", "extra")).alias("h"), "class", "n", (F.col("n") + F.size("extra")).alias("m"), "batch")
+        items, rows = self._hot(each)
         if self.buckets is None:
-            self.buckets = max(BUCKETS, -(-each.count() // BUCKET_ROWS))
-        mode = "append" if self.started else "overwrite"
-        counts = materialize(each.groupBy("h").agg(F.count("*").alias("df")), "counts")
-        total = counts
-        if self.started:
-            total = counts.unionByName(self["counts"].join(counts.select("h"), "h", "left_semi")).groupBy("h").agg(F.sum("df").alias("df"))
-        hot = total.where(F.col("df") > HOT_ROWS).select("h", F.lit(True).alias("hot"))
-        placed = each.join(hot, "h", "left")  # a few rows to the right: AQE measures them
-        self._put(placed.where("hot is null").drop("hot"), "statements", mode)
-        self._put(placed.where("hot").drop("hot"), "hot", mode)
-        self._put(counts, "counts", mode)
+            self.buckets = max(BUCKETS, -(-rows // BUCKET_ROWS))
+        hot = F.col("h").isin(items)
+        if self.started and not self["hot"].isEmpty():
+            known = self["hot"].groupBy("h").agg(F.lit(True).alias("known"))  # a few rows: AQE measures them
+            each = each.join(known, "h", "left")
+            hot = hot | F.coalesce("known", F.lit(False))
+        mode, columns = "append" if self.started else "overwrite", ("h", "class", "n", "m", "batch")
+        self._put(each.where(~hot).select(*columns), "statements", mode)
+        self._put(each.where(hot).select(*columns), "hot", mode)
         self._put(per.select("class", "n", "hashes", "extra", "batch"), "classes", mode)
         self._put(new.groupBy("whole", "class").agg(F.min("batch").alias("batch")), "exact", mode)
         self._put(new.select("class", "key", "batch").distinct(), "members", mode)
         self.started = True
 
+    @staticmethod
+    def _hot(each: DataFrame) -> tuple[list[int], int]:
+        """The hot statements of a batch, at most HOT_ITEMS, and its rows: one row is collected."""
+        top = each.agg(F.expr(f"approx_top_k(h, {HOT_ITEMS}, 10000)").alias("top"), F.count("*").alias("n")).first()
+        return [x["item"] for x in top["top"] or [] if x["count"] > HOT_ROWS and x["count"] * HOT_ITEMS > top["n"]], top["n"]
+
     def compact(self) -> None:
         """Rewrite the tables with the appended files of each bucket as one, in as many
         buckets as their rows need, statements that have become hot set apart. No
@@ -165,13 +172,12 @@ class History:
             return
         old = {t: self[t] for t in TABLES}
         self.version += 1
-        counts = materialize(old["counts"].groupBy("h").agg(F.sum("df").alias("df")), "counts")
-        self.buckets = max(BUCKETS, -(-old["statements"].count() // BUCKET_ROWS))
-        hot = counts.where(F.col("df") > HOT_ROWS).select("h", F.lit(True).alias("hot"))
-        placed = old["statements"].unionByName(old["hot"]).join(hot, "h", "left")
-        self._put(placed.where("hot is null").drop("hot"), "statements", "overwrite")
-        self._put(placed.where("hot").drop("hot"), "hot", "overwrite")
-        self._put(counts, "counts", "overwrite")
+        both = old["statements"].unionByName(old["hot"])
+        self.buckets = max(BUCKETS, -(-both.count() // BUCKET_ROWS))
+        hot = both.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") > HOT_ROWS).select("h", F.lit(True).alias("known"))
+        placed = both.join(materialize(hot, "hot"), "h", "left")
+        self._put(placed.where("known is null").drop("known"), "statements", "overwrite")
+        self._put(placed.where("known").drop("known"), "hot", "overwrite")
         for t in ("classes", "exact", "members"):
             self._put(old[t], t, "overwrite")
 
@@ -196,7 +202,7 @@ class History:
         full = full.select("a", "b", F.lit(1.0).alias("coverage")).distinct()
         spread = mine.select("class", F.explode("hashes").alias("h"))
         asked = spread.select("h").distinct()
-        common = self["counts"].join(asked, "h", "left_semi").groupBy("h").agg(F.sum("df").alias("df"))
+        common = self["statements"].select("h").unionByName(self["hot"].select("h")).join(asked, "h", "left_semi").groupBy("h").agg(F.count("*").alias("df"))
         ranked = spread.join(common, "h").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("o"))
         ranked = ranked.join(mine.select("class", F.size("hashes").alias("n"), "latest"), "class").where(F.size("o") * 2 > F.col("n"))
         # statements unknown to history are rarest of all: they fill the prefix first
