@@ -135,6 +135,11 @@ def length_limits(texts: DataFrame, sigmas: float = 5.0) -> DataFrame:
     return near.where(F.col("n") > F.col("others") + sigmas * F.sqrt(F.col("others") + 1)).select("n_chars")
 
 
+def _open(body: Column) -> Column:
+    """Whether a text ends without a closing mark, trails off, or ends on what never ends a sentence."""
+    return ~body.rlike(_CLOSED) | F.substring(body, -4, 4).rlike(_TRAILS) | body.rlike(_NEVER_LAST)
+
+
 def defects(history: DataFrame, key: str = "id", question: str = "question", answer: str = "answer") -> DataFrame:
     """(key, defect) of the defective pairs: empty, copy, refusal, language or
     truncated, the first that applies in this order.
@@ -144,11 +149,11 @@ def defects(history: DataFrame, key: str = "id", question: str = "question", ans
     han = tables(history.sparkSession)
     h = history.select(F.col(key), F.col(question).alias("q"), F.col(answer).alias("a"))
     body = F.regexp_replace(strip(F.regexp_replace(F.coalesce("a", F.lit("")), r"</?[A-Za-z][^<>]*>", " ")), _TAIL, "")
-    told = h.select(key, body.alias("body"))  # a filter on it here would clean every text again
-    cut = shortened(told.select("body")).withColumn("cut", F.lit(True))
-    closed = F.col("body").rlike(_CLOSED) & ~F.col("body").rlike(_EITHER) & ~F.col("body").rlike(_NEVER_LAST) & ~F.col("body").rlike(_TRAILS)
-    limits = length_limits(told.select(key, F.length("body").alias("n_chars"), closed.alias("closed")).dropDuplicates([key]).where("n_chars > 0")).withColumn("at_limit", F.lit(True))
-    h = h.dropDuplicates([key]).withColumn("body", body)
+    told = h.dropDuplicates([key]).withColumn("body", body)
+    told = told.withColumn("either", F.col("body").rlike(_EITHER)).withColumn("open", _open(F.col("body"))).withColumn("n_chars", F.length("body"))
+    h = materialize(told, "bodies")  # read three times, cleaned once
+    cut = shortened(h.select("body")).withColumn("cut", F.lit(True))
+    limits = length_limits(h.where("n_chars > 0").select("n_chars", (~F.col("open") & ~F.col("either")).alias("closed"))).withColumn("at_limit", F.lit(True))
     b, bare = F.col("body"), _letters(F.col("a"), han)
     empty = F.transform(F.array(bare), lambda x: (F.length(x) == 0) | x.isin(*PLACEHOLDERS))[0]
 
@@ -165,10 +170,9 @@ def defects(history: DataFrame, key: str = "id", question: str = "question", ans
     other = F.transform(F.array(both), lambda x: F.coalesce((x["q"] != x["a"]) & ~F.coalesce(x["wish"] == x["a"], F.lit(False)), F.lit(False)))[0]
     odd = lambda p: _count(b, p) % 2 == 1
     more = lambda o, c: _count(b, o) > _count(b, c)
-    unclosed = ~b.rlike(_CLOSED) | b.rlike(_TRAILS) | b.rlike(_NEVER_LAST)
-    unclosed = unclosed | odd("[“”„]") | odd('"') | more("«", "»") | more("（", "）") | more(r"\(", r"\)") | more("「", "」") | more("『", "』")
+    unclosed = F.col("open") | odd("[“”„]") | odd('"') | more("«", "»") | more("（", "）") | more(r"\(", r"\)") | more("「", "」") | more("『", "』")
     kind = F.when(empty, "empty").when(copy, "copy").when(refusal, "refusal").when(other, "language").when(unclosed, "truncated")
-    h = h.select(key, "body", F.length("body").alias("n_chars"), F.col("body").rlike(_EITHER).alias("either"), kind.alias("kind"))
+    h = h.select(key, "body", "n_chars", "either", kind.alias("kind"))
     h = h.join(cut, "body", "left").join(limits, "n_chars", "left")  # both are a few rows: AQE measures and broadcasts them
     late = F.coalesce("cut", F.lit(False)) | F.coalesce(F.col("at_limit") & F.col("either"), F.lit(False))
     return h.select(key, F.coalesce("kind", F.when(late, "truncated")).alias("defect")).where("defect is not null")
