@@ -152,8 +152,8 @@ def defects(history: DataFrame, key: str = "id", question: str = "question", ans
     told = h.dropDuplicates([key]).withColumn("body", body)
     told = told.withColumn("either", F.col("body").rlike(_EITHER)).withColumn("open", _open(F.col("body"))).withColumn("n_chars", F.length("body"))
     h = materialize(told, "bodies")  # read three times, cleaned once
-    cut = shortened(h.select("body")).withColumn("cut", F.lit(True))
-    limits = length_limits(h.where("n_chars > 0").select("n_chars", (~F.col("open") & ~F.col("either")).alias("closed"))).withColumn("at_limit", F.lit(True))
+    cut = materialize(shortened(h.select("body")).withColumn("cut", F.lit(True)), "cut")  # written, so that the planner knows their size
+    limits = materialize(length_limits(h.where("n_chars > 0").select("n_chars", (~F.col("open") & ~F.col("either")).alias("closed"))).withColumn("at_limit", F.lit(True)), "limits")
     b, bare = F.col("body"), _letters(F.col("a"), han)
     empty = F.transform(F.array(bare), lambda x: (F.length(x) == 0) | x.isin(*PLACEHOLDERS))[0]
 
@@ -170,10 +170,11 @@ def defects(history: DataFrame, key: str = "id", question: str = "question", ans
     other = F.transform(F.array(both), lambda x: F.coalesce((x["q"] != x["a"]) & ~F.coalesce(x["wish"] == x["a"], F.lit(False)), F.lit(False)))[0]
     odd = lambda p: _count(b, p) % 2 == 1
     more = lambda o, c: _count(b, o) > _count(b, c)
-    unclosed = F.col("open") | odd("[“”„]") | odd('"') | more("«", "»") | more("（", "）") | more(r"\(", r"\)") | more("「", "」") | more("『", "』")
+    halved = odd("[“”„]") | odd('"') | more("«", "»") | more("（", "）") | more(r"\(", r"\)") | more("「", "」") | more("『", "』")
+    unclosed = F.col("open") | b.rlike('[“”„"«（(「『]') & halved
     kind = F.when(empty, "empty").when(copy, "copy").when(refusal, "refusal").when(other, "language").when(unclosed, "truncated")
     h = h.select(key, "body", "n_chars", "either", kind.alias("kind"))
-    h = h.join(cut, "body", "left").join(limits, "n_chars", "left")  # both are a few rows: AQE measures and broadcasts them
+    h = h.join(cut, "body", "left").join(limits, "n_chars", "left")
     late = F.coalesce("cut", F.lit(False)) | F.coalesce(F.col("at_limit") & F.col("either"), F.lit(False))
     return h.select(key, F.coalesce("kind", F.when(late, "truncated")).alias("defect")).where("defect is not null")
 
