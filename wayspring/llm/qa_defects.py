@@ -154,25 +154,25 @@ def defects(history: DataFrame, key: str = "id", question: str = "question", ans
     h = materialize(told, "bodies")  # read three times, cleaned once
     cut = materialize(shortened(h.select("body")).withColumn("cut", F.lit(True)), "cut")  # written, so that the planner knows their size
     limits = materialize(length_limits(h.where("n_chars > 0").select("n_chars", (~F.col("open") & ~F.col("either")).alias("closed"))).withColumn("at_limit", F.lit(True)), "limits")
-    b, bare = F.col("body"), _letters(F.col("a"), han)
-    empty = F.transform(F.array(bare), lambda x: (F.length(x) == 0) | x.isin(*PLACEHOLDERS))[0]
+    b = F.col("body")
 
-    def given_back(both: Column) -> Column:
+    def nothing_new(both: Column) -> Column:
         echo = F.replace(both["said"], both["ask"], F.lit(""))
-        return (F.length(both["ask"]) > 0) & both["said"].contains(both["ask"]) & ((F.length(echo) == 0) | echo.isin(*ECHOES))
+        copy = (F.length(both["ask"]) > 0) & both["said"].contains(both["ask"]) & ((F.length(echo) == 0) | echo.isin(*ECHOES))
+        return F.when((F.length(both["said"]) == 0) | both["said"].isin(*PLACEHOLDERS), "empty").when(copy, "copy")
 
-    copy = F.transform(F.array(F.struct(_letters(F.col("q"), han).alias("ask"), _letters(b, han).alias("said"))), given_back)[0]
+    plain = F.transform(F.array(F.struct(_letters(F.col("q"), han).alias("ask"), _letters(b, han).alias("said"))), nothing_new)[0]
     sentence = F.filter(F.split(F.lower(F.regexp_replace(F.translate(b, "’", "'"), r"([。！？!?]|\.(?=\s|$))", "$1\n")), "\n"), lambda s: s.rlike(r"[\p{L}\p{N}]"))
     declines = lambda s: s.rlike(_REFUSAL) & ~s.rlike(_BUT)
     polite = lambda s: s.rlike(_POLITE) & ~s.rlike(_BUT)
     refusal = F.transform(F.array(sentence), lambda x: F.forall(x, lambda s: polite(s) | declines(s)) & F.exists(x, declines))[0]
-    both = F.struct(language(F.col("q")).alias("q"), language(b).alias("a"), asked_language(F.col("q")).alias("wish"))
-    other = F.transform(F.array(both), lambda x: F.coalesce((x["q"] != x["a"]) & ~F.coalesce(x["wish"] == x["a"], F.lit(False)), F.lit(False)))[0]
+    both = F.struct(language(F.col("q")).alias("q"), language(b).alias("a"))
+    other = F.transform(F.array(both), lambda x: F.coalesce((x["q"] != x["a"]) & ~F.coalesce(asked_language(F.col("q")) == x["a"], F.lit(False)), F.lit(False)))[0]
     odd = lambda p: _count(b, p) % 2 == 1
     more = lambda o, c: _count(b, o) > _count(b, c)
     halved = odd("[“”„]") | odd('"') | more("«", "»") | more("（", "）") | more(r"\(", r"\)") | more("「", "」") | more("『", "』")
     unclosed = F.col("open") | b.rlike('[“”„"«（(「『]') & halved
-    kind = F.when(empty, "empty").when(copy, "copy").when(refusal, "refusal").when(other, "language").when(unclosed, "truncated")
+    kind = F.coalesce(plain, F.when(refusal, "refusal").when(other, "language").when(unclosed, "truncated"))
     h = h.select(key, "body", "n_chars", "either", kind.alias("kind"))
     h = h.join(cut, "body", "left").join(limits, "n_chars", "left")
     late = F.coalesce("cut", F.lit(False)) | F.coalesce(F.col("at_limit") & F.col("either"), F.lit(False))
