@@ -64,40 +64,40 @@ class Engine:
         return R.bm25_scores(self.postings, R.query_tokens(q, STOP_FULLTEXT, self.tokenizer))
 
     def _dense(self, q: DataFrame) -> DataFrame:
-        """(query_id, rid, score) within scope: dot products against the question."""
+        """(query_id, rid, city, score) within scope: dot products against the question."""
         qv = self.embedder(q.select(F.col("query_id").alias("key"), F.col("question").alias("text"))).select(F.col("key").alias("query_id"), F.col("embedding").alias("qv"))
         s = self._scope(q).select("query_id", F.col("city").alias("q_city"), "hard")
         e = self.entries.select("rid", "city").join(self.vectors, "rid")
         hard = s.where("hard").join(e, F.col("q_city") == F.col("city"))
         open_ = s.where("not hard").crossJoin(e)  # a stated query set against all rows
         dot = F.aggregate(F.zip_with("qv", "embedding", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda x, y: x + y)
-        return hard.unionByName(open_).join(qv, "query_id").select("query_id", "rid", dot.alias("score"))
+        return hard.unionByName(open_).join(qv, "query_id").select("query_id", "rid", "city", dot.alias("score"))
 
     def search(self, q: DataFrame, method: str = "bm25", k: int = R.TOP_K) -> DataFrame:
         """(query_id, rank, rid, city, score) for q (query_id, question, city); an
         unknown method means bm25, a dense one without embedder too."""
         if method == "keyword":
             qt = R.query_tokens(q, STOP_KEYWORD, self.tokenizer)
-            hit = self.postings.select("rid", "token").join(qt.hint("shuffle_hash"), "token").groupBy("query_id", "rid").agg((F.sum("qtf") / F.first("n_tokens")).alias("score"))
+            hit = self.postings.select("rid", "city", "token").join(qt.hint("shuffle_hash"), "token").groupBy("query_id", "rid", "city").agg((F.sum("qtf") / F.first("n_tokens")).alias("score"))
             scoped = self._scope(q).withColumn("hard", F.col("has_rows"))
-            return R.ranked(R.in_scope(hit, scoped, self.entries).withColumn("hard", F.lit(True)), k)
+            return R.ranked(R.in_scope(hit, scoped).withColumn("hard", F.lit(True)), k)
         if method in ("vector", "hybrid") and self.embedder is not None:
             if method == "vector":
-                return R.ranked(R.in_scope(self._dense(q), self._scope(q), self.entries), k)
+                return R.ranked(R.in_scope(self._dense(q), self._scope(q)), k)
             return self._hybrid(q, k)
-        return R.ranked(R.in_scope(self._bm25(q), self._scope(q), self.entries), k, positive=True)
+        return R.ranked(R.in_scope(self._bm25(q), self._scope(q)), k, positive=True)
 
     def _hybrid(self, q: DataFrame, k: int) -> DataFrame:
         """Both channels rank every entry in scope; the fused pool of 50 may be
         reranked, its output score stays the fused one; no boost."""
-        both = self._dense(q).withColumnRenamed("score", "v").join(self._bm25(q).withColumnRenamed("score", "b"), ["query_id", "rid"], "left")
+        both = self._dense(q).withColumnRenamed("score", "v").join(self._bm25(q).select("query_id", "rid", F.col("score").alias("b")), ["query_id", "rid"], "left")
         both = both.select("query_id", "rid", "v", F.coalesce("b", F.lit(0.0)).alias("b"))
         place = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.col(c).desc(), "rid"))
-        both = both.withColumn("score", F.round(1.0 / (R.RRF_K + place("b")) + 1.0 / (R.RRF_K + place("v")), 6))
+        both = both.withColumn("score", 1.0 / (R.RRF_K + place("b")) + 1.0 / (R.RRF_K + place("v")))
         best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rid")
         pool = both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= R.RECALL)
-        pool = pool.select("query_id", "rid", "score").join(self.entries.select("rid", "city", search_text().alias("text")), "rid").join(q.select("query_id", "question"), "query_id")
-        order = self.reranker(F.col("question"), F.col("text")) if self.reranker else F.col("score")
+        pool = pool.select("query_id", "rid", F.round("score", 4).alias("score"), F.col("rank").alias("fused")).join(self.entries.select("rid", "city", search_text().alias("text")), "rid").join(q.select("query_id", "question"), "query_id")
+        order = self.reranker(F.col("question"), F.col("text")) if self.reranker else -F.col("fused")
         top = R.rerank(pool, order, k)
         return top.select("query_id", "rank", "rid", "city", "score")
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayspring.functions.text import COMPARISON, SEARCH_TEXT_SQL, STOP_FULLTEXT, STOP_KEYWORD, contains_any, search_text, sql_list, tokens, tokens_sql, without
-from wayspring.runtime import materialize, table
+from wayspring.runtime import materialize, once, table, version
 
 TOP_K, BOOST, DAMP, RRF_K, RECALL = 5, 1.5, 0.5, 60, 50
 QUERY_STRIDE = 50  # questions are the rows whose id is divisible by this
@@ -48,15 +48,16 @@ def covered(spark, sf_dir: str) -> DataFrame:
 
 
 def postings(e: DataFrame, tokenizer=tokens) -> DataFrame:
-    """(rid, token, tf, dl) of the search text; tokenizer maps a text column to
+    """(rid, city, dl, token, tf) of the search text; tokenizer maps a text column to
     array<string>."""
-    toks = e.select("rid", tokenizer(search_text()).alias("toks")).select("rid", F.size("toks").alias("dl"), F.explode("toks").alias("token"))
-    return toks.groupBy("rid", "dl", "token").agg(F.count("*").alias("tf"))
+    toks = e.select("rid", "city", tokenizer(search_text()).alias("toks")).select("rid", "city", F.size("toks").alias("dl"), F.explode("toks").alias("token"))
+    return toks.groupBy("rid", "city", "dl", "token").agg(F.count("*").alias("tf"))
 
 
 def index(spark, sf_dir: str) -> DataFrame:
-    """The postings of the corpus as a written table: read several times, tokenised once."""
-    return materialize(postings(entries(spark, sf_dir)), "postings")
+    """The postings of the corpus as a written table, one per corpus version: tokenised
+    once, shared by all channels and queries."""
+    return once(spark, "postings", version(spark, sf_dir, "knowledge_entries"), lambda: postings(entries(spark, sf_dir)))
 
 
 def query_tokens(q: DataFrame, stop, tokenizer=tokens) -> DataFrame:
@@ -93,8 +94,9 @@ def scope(q: DataFrame, names: DataFrame, e: DataFrame) -> DataFrame:
     )
 
 
-def in_scope(scored: DataFrame, scoped: DataFrame, e: DataFrame) -> DataFrame:
-    s = scored.join(scoped.select("query_id", F.col("city").alias("q_city"), "hard"), "query_id").join(e.select("rid", "city"), "rid")
+def in_scope(scored: DataFrame, scoped: DataFrame) -> DataFrame:
+    """scored (query_id, rid, city, score) with the scope of its question."""
+    s = scored.join(scoped.select("query_id", F.col("city").alias("q_city"), "hard"), "query_id")
     return s.where(~F.col("hard") | (F.col("city") == F.col("q_city")))
 
 
@@ -114,14 +116,12 @@ def ranked(scored: DataFrame, k: int = TOP_K, boost: float = BOOST, damp: float
 
 
 def bm25_raw(post: DataFrame, qt: DataFrame, okapi: bool = False) -> DataFrame:
-    """(query_id, rid, raw, matched, n_distinct): BM25 sums over shared tokens.
+    """(query_id, rid, city, raw, matched, n_distinct): BM25 sums over shared tokens.
 
     The full-text form: idf clamped to 1e-6, k1 = 1.2. Okapi: k1 = 1.5, negative
     idf replaced by a quarter of the mean idf. b = 0.75 in both."""
-    # a document's tf/dl add up to one, so both statistics come from the per-token rows
-    per = post.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.sum(F.col("tf") / F.col("dl")).alias("docs"))
-    n_docs = F.round(F.sum("docs")).cast("long")
-    stats = per.agg(n_docs.alias("n_docs"), (F.sum("cf") / n_docs).alias("avgdl"))
+    per = post.groupBy("token").agg(F.count("*").alias("df"))
+    stats = post.groupBy("rid").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n_docs"), (F.sum("dl") / F.count("*")).alias("avgdl"))
     df = per.select("token", "df").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     if okapi:
@@ -135,11 +135,11 @@ def bm25_raw(post: DataFrame, qt: DataFrame, okapi: bool = False) -> DataFrame:
     hit = post.join(terms.hint("shuffle_hash"), "token")  # the index is never sorted or broadcast
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - 0.75 + 0.75 * F.col("dl") / F.col("avgdl")))
     size = qt.groupBy("query_id").agg(F.count("*").alias("n_distinct"))
-    return hit.groupBy("query_id", "rid").agg(F.sum(part).alias("raw"), F.count("*").alias("matched")).join(size, "query_id")
+    return hit.groupBy("query_id", "rid", "city").agg(F.sum(part).alias("raw"), F.count("*").alias("matched")).join(size, "query_id")
 
 
 def bm25_scores(post: DataFrame, qt: DataFrame) -> DataFrame:
-    """(query_id, rid, score): all tokens if any entry has them all, else any
+    """(query_id, rid, city, score): all tokens if any entry has them all, else any
     token; min-max over the matches (the weakest scores 0, equals score 1)."""
     raw = bm25_raw(post, qt)
     full = F.col("matched") == F.col("n_distinct")
@@ -149,13 +149,13 @@ def bm25_scores(post: DataFrame, qt: DataFrame) -> DataFrame:
     some = F.col("n_all") > 0
     ends = ends.select("query_id", some.alias("all_terms"), F.when(some, F.col("lo_all")).otherwise(F.col("lo_any")).alias("lo"), F.when(some, F.col("hi_all")).otherwise(F.col("hi_any")).alias("hi"))
     kept = raw.join(ends, "query_id").where(~F.col("all_terms") | full)
-    return kept.select("query_id", "rid", F.when(F.col("hi") > F.col("lo"), (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0).alias("score"))
+    return kept.select("query_id", "rid", "city", F.when(F.col("hi") > F.col("lo"), (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0).alias("score"))
 
 
 def bm25_topk(spark, sf_dir: str) -> DataFrame:
     e, q = entries(spark, sf_dir), questions(spark, sf_dir)
     scored = bm25_scores(index(spark, sf_dir), query_tokens(q, STOP_FULLTEXT))
-    return ranked(in_scope(scored, scope(q, covered(spark, sf_dir), e), e), positive=True)
+    return ranked(in_scope(scored, scope(q, covered(spark, sf_dir), e)), positive=True)
 
 
 def bm25_matches(spark, sf_dir: str) -> DataFrame:
@@ -168,8 +168,8 @@ def bm25_matches(spark, sf_dir: str) -> DataFrame:
 
 def bm25_okapi(spark, sf_dir: str) -> DataFrame:
     e, q = entries(spark, sf_dir), questions(spark, sf_dir)
-    scored = bm25_raw(index(spark, sf_dir), query_tokens(q, ()), okapi=True).select("query_id", "rid", F.col("raw").alias("score"))
-    return ranked(in_scope(scored, scope(q, covered(spark, sf_dir), e), e), positive=True)
+    scored = bm25_raw(index(spark, sf_dir), query_tokens(q, ()), okapi=True).select("query_id", "rid", "city", F.col("raw").alias("score"))
+    return ranked(in_scope(scored, scope(q, covered(spark, sf_dir), e)), positive=True)
 
 
 def keyword_topk(spark, sf_dir: str) -> DataFrame:
@@ -177,10 +177,10 @@ def keyword_topk(spark, sf_dir: str) -> DataFrame:
     city filter applies, no boost; entries without a shared token don't appear."""
     e, q = entries(spark, sf_dir), questions(spark, sf_dir)
     qt = query_tokens(q, STOP_KEYWORD)
-    hit = postings(e).select("rid", "token").join(qt.hint("shuffle_hash"), "token").groupBy("query_id", "rid").agg((F.sum("qtf") / F.first("n_tokens")).alias("score"))
+    hit = index(spark, sf_dir).select("rid", "city", "token").join(qt.hint("shuffle_hash"), "token").groupBy("query_id", "rid", "city").agg((F.sum("qtf") / F.first("n_tokens")).alias("score"))
     own = e.select("city").distinct().join(covered(spark, sf_dir).select("city").distinct(), "city").withColumn("has_rows", F.lit(True))
     scoped = q.join(own, "city", "left").select("query_id", "city", F.coalesce("has_rows", F.lit(False)).alias("hard"))
-    s = in_scope(hit, scoped, e)
+    s = in_scope(hit, scoped)
     return ranked(s.withColumn("hard", F.lit(True)))
 
 
@@ -368,7 +368,7 @@ def hybrid(spark, sf_dir: str, pool: int) -> DataFrame:
     e, q = entries(spark, sf_dir), questions(spark, sf_dir)
     s = materialize(scope(q, covered(spark, sf_dir), e), "scope")
     post = index(spark, sf_dir)
-    lex = in_scope(bm25_scores(post, query_tokens(q, STOP_FULLTEXT)), s, e)
+    lex = in_scope(bm25_scores(post, query_tokens(q, STOP_FULLTEXT)), s)
     lex = materialize(lex.select("query_id", "rid", F.round("score", 4).alias("bm25_score")).where("bm25_score > 0"), "lex")
     dv = hashed_vector(post.select("rid", "token", F.col("tf").alias("n")), "rid")
     qv = hashed_vector(query_tokens(s, ()).select("query_id", "token", F.col("qtf").alias("n")), "query_id")
@@ -381,10 +381,10 @@ def hybrid(spark, sf_dir: str, pool: int) -> DataFrame:
     by = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.col(c).desc(), "rid"))
     full = full.withColumn("r1", by("bm25_score")).withColumn("r2", by("vector_score"))
     full = full.unionByName(_open_ranks(s.where("not hard").select("query_id"), e.select("rid"), lex, qv, dv, RRF_K + 2 * pool))
-    full = full.withColumn("score", F.round(1.0 / (RRF_K + F.col("r1")) + 1.0 / (RRF_K + F.col("r2")), 6))
+    full = full.withColumn("score", 1.0 / (RRF_K + F.col("r1")) + 1.0 / (RRF_K + F.col("r2")))  # ranked unrounded
     top = full.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rid")))
     top = top.where(F.col("rank") <= pool)
-    return top.select("query_id", F.col("rank").cast("long").alias("rank"), "rid", "score", "bm25_score", "vector_score")
+    return top.select("query_id", F.col("rank").cast("long").alias("rank"), "rid", F.round("score", 4).alias("score"), "bm25_score", "vector_score")
 
 
 def hybrid_topk(spark, sf_dir: str) -> DataFrame:
@@ -487,12 +487,12 @@ def multi_city(spark, sf_dir: str) -> DataFrame:
 
 def posting_stats(spark, sf_dir: str) -> DataFrame:
     """Index statistics per token: documents and occurrences."""
-    return postings(entries(spark, sf_dir)).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return index(spark, sf_dir).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 QUERIES = {
     "bm25_topk": bm25_topk, "bm25_and_or": bm25_matches, "bm25_okapi": bm25_okapi, "keyword_topk": keyword_topk, "keyword_first_k": first_k_without_tokens,
-    "vector_topk": vector_query, "hybrid_topk": hybrid_topk, "rerank_pool": rerank_shorter, "compare_matrix": compare_matrix, "top1_agreement": top1_agreement,
+    "vector_topk": vector_query, "vector_entries_topk": text_vector_topk, "hybrid_topk": hybrid_topk, "rerank_pool": rerank_shorter, "compare_matrix": compare_matrix, "top1_agreement": top1_agreement,
     "city_detect": city_detect, "scope_flags": multi_city, "posting_stats": posting_stats,
 }
 
@@ -542,16 +542,18 @@ r as (select query_id, row_number() over (partition by query_id order by score d
 select * from r where rank <= {TOP_K}"""
 _VEC = f"""vec as (select {{key}}, ('0x' || substring(md5(token), 1, 4))::int % {DIMS} as dim, sum(n)::double as x from {{src}} group by 1, 2),
 vn as (select {{key}}, dim, x / sqrt(sum(x * x) over (partition by {{key}})) as w from vec)"""
-HYBRID_SQL = f"""qall as (select query_id, token, count(*) as n from (select query_id, unnest({tokens_sql('question')}) as token from q) group by 1, 2),
+# every entry in scope of every question, whether it matches or not
+DENSE_SQL = f"""qall as (select query_id, token, count(*) as n from (select query_id, unnest({tokens_sql('question')}) as token from q) group by 1, 2),
 {_VEC.format(key='rid', src='(select rid, token, tf as n from post)').replace('vec as', 'dvec as').replace('from vec', 'from dvec').replace('vn as', 'dv as')},
 {_VEC.format(key='query_id', src='qall').replace('vec as', 'qvec as').replace('from vec', 'from qvec').replace('vn as', 'qv as')},
-pairs as (select c.query_id, e.rid from scoped c join e on e.city = c.city where c.hard),
-dense as (select p.query_id, p.rid, sum(a.w * b.w) as cos from pairs p join qv a on a.query_id = p.query_id join dv b on b.rid = p.rid and b.dim = a.dim group by 1, 2),
-bt as (select p.query_id, p.rid, round(coalesce(s.score, 0), 4) as bm25_score, round(coalesce(d.cos, 0), 4) as vector_score
-  from pairs p left join scored s on s.query_id = p.query_id and s.rid = p.rid left join dense d on d.query_id = p.query_id and d.rid = p.rid),
+pairs as (select c.query_id, e.rid from scoped c, e where not c.hard or e.city = c.city),
+dots as (select a.query_id, b.rid, sum(a.w * b.w) as cos from qv a join dv b on b.dim = a.dim group by 1, 2),
+dense as (select p.query_id, p.rid, coalesce(d.cos, 0) as cos from pairs p left join dots d on d.query_id = p.query_id and d.rid = p.rid)"""
+HYBRID_SQL = f"""{DENSE_SQL},
+bt as (select d.query_id, d.rid, round(coalesce(s.score, 0), 4) as bm25_score, round(d.cos, 4) as vector_score from dense d left join scored s on s.query_id = d.query_id and s.rid = d.rid),
 rk as (select *, row_number() over (partition by query_id order by bm25_score desc, rid) as r1, row_number() over (partition by query_id order by vector_score desc, rid) as r2 from bt),
-fused as (select query_id, rid, round(1.0::double / ({RRF_K} + r1) + 1.0::double / ({RRF_K} + r2), 6) as score, bm25_score, vector_score from rk),
-hyb as (select query_id, row_number() over (partition by query_id order by score desc, rid) as rank, rid, score, bm25_score, vector_score from fused)"""
+fused as (select query_id, rid, 1.0::double / ({RRF_K} + r1) + 1.0::double / ({RRF_K} + r2) as rrf, bm25_score, vector_score from rk),
+hyb as (select query_id, row_number() over (partition by query_id order by rrf desc, rid) as rank, rid, round(rrf, 4) as score, bm25_score, vector_score from fused)"""
 _FULL = f"with {E_SQL}, {Q_SQL}, {NAMES_SQL}, {POST_SQL}, {_qt(STOP_FULLTEXT)}, {SCOPE_SQL}, {RAW_SQL}, {BM25_SQL}, "
 HYBRID_CTE = _FULL + HYBRID_SQL
 ORACLE = {
@@ -566,14 +568,15 @@ select query_id, rank, rid from n join f using (city) where rank <= {TOP_K} unio
     "vector_topk": f"""with v as (select vec_id, embedding::double[] as x from embeddings), s as (select a.vec_id as query_id, b.vec_id, round(list_dot_product(a.x, b.x), 4) as score from v a, v b where a.vec_id % {QUERY_STRIDE} = 0),
 r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s) select * from r where rank <= {TOP_K}""",
     "hybrid_topk": HYBRID_CTE + f" select * from hyb where rank <= {TOP_K}",
-    "rerank_pool": HYBRID_CTE + f" select query_id, row_number() over (partition by query_id order by length(coalesce(content, '')), rid) as rank, rid, score from hyb join e using (rid) where hyb.rank <= {TOP_K}",
+    "rerank_pool": HYBRID_CTE + f" select query_id, new_rank as rank, rid, score from (select query_id, rid, score, row_number() over (partition by query_id order by length(coalesce(content, '')), rid) as new_rank from hyb join e using (rid) where hyb.rank <= {RECALL}) where new_rank <= {TOP_K}",
+    "vector_entries_topk": f"with {E_SQL}, {Q_SQL}, {NAMES_SQL}, {POST_SQL}, {SCOPE_SQL}, {DENSE_SQL}, scored as (select query_id, rid, cos as score from dense), " + _ranked(positive=False),
     "city_detect": f"""with {Q_SQL}, {NAMES_SQL}, h as (select q.query_id, n.city, n.name, n.name <> n.city as alias, row_number() over (partition by q.query_id, n.name order by n.city desc) as own from q join names n on contains(q.question, n.name)),
 b as (select query_id, city, row_number() over (partition by query_id order by alias desc, case when alias then 0 else -length(name) end, city, name) as n from h where own = 1 or not alias)
 select q.query_id, b.city as detected, coalesce(q.city, b.city) as resolved from q left join b on b.query_id = q.query_id and b.n = 1""",
     "scope_flags": f"with {E_SQL}, {Q_SQL}, {NAMES_SQL}, {SCOPE_SQL} select query_id, multi, has_rows, hard from scoped",
     "posting_stats": f"with {E_SQL}, {POST_SQL} select token, count(*) as df, sum(tf)::bigint as cf from post group by 1",
 }
-SQL_METHODS = ("keyword", "bm25", "hybrid")
-_LONG = "select method, query_id, rank, rid from (" + " union all ".join(f"select '{m}' as method, query_id, rank, rid from ({ORACLE[m + '_topk']})" for m in SQL_METHODS) + ")"
-ORACLE["compare_matrix"] = "select query_id, rid, " + ", ".join(f"min(rank) filter (method = '{m}') as rank_{m}" for m in SQL_METHODS) + f", count(distinct method) as found, min(rank) as best_rank from ({_LONG}) group by 1, 2"
+_SQL_OF = {m: ORACLE["vector_entries_topk" if m == "vector" else f"{m}_topk"] for m in METHODS}
+_LONG = "select method, query_id, rank, rid from (" + " union all ".join(f"select '{m}' as method, query_id, rank, rid from ({_SQL_OF[m]})" for m in METHODS) + ")"
+ORACLE["compare_matrix"] = "select query_id, rid, " + ", ".join(f"min(rank) filter (method = '{m}') as rank_{m}" for m in METHODS) + f", count(distinct method) as found, min(rank) as best_rank from ({_LONG}) group by 1, 2"
 ORACLE["top1_agreement"] = f"select query_id, max(n) as votes, round(max(n) / sum(n), 4) as agreement from (select query_id, rid, count(*) as n from ({_LONG}) where rank = 1 group by 1, 2) group by 1"

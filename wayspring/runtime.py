@@ -92,6 +92,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def version(spark: SparkSession, sf_dir: str, *names: str) -> str:
+    """What the named tables are made of now: paths, sizes and times of their files."""
+    jvm, out = spark.sparkContext._jvm, []
+    for name in names:
+        where = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        out += [f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in fs.listStatus(where)]
+    return "\n".join(sorted(out))
+
+
+def once(spark: SparkSession, label: str, of: str, build) -> DataFrame:
+    """The written table `label` of a version (see above): built on first use, then
+    shared by every query of the session. It is scratch, dropped with the driver."""
+    sc = spark.sparkContext
+    kept = getattr(sc, "_wayspring_tables", None)
+    if kept is None:
+        kept = sc._wayspring_tables = {}
+    if (label, of) not in kept:
+        kept[label, of] = materialize(build(), label)
+    return kept[label, of]
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the Arrow batches that Python operators receive: texts may be long."""
     ship(spark)
