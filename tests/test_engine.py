@@ -61,8 +61,10 @@ def test_reranker_reorders_and_keeps_scores(parts):
 def test_ask_with_and_without_generator(parts):
     e, m, q = parts
     got = {r.query_id: r for r in Engine(e, m).ask(q).collect()}
-    assert got[1].answer.startswith("[来源1] 《西湖 日落》(j)") and got[1].sources == [1]
-    assert got[4].answer == "" and got[4].sources == []
+    assert got[1].answer.startswith("⚠️") and "\n【1】西湖 日落（j）\n" in got[1].answer and got[1].sources == [1]
+    assert got[4].answer.startswith("抱歉") and "已覆盖城市：" in got[4].answer and got[4].sources == []
+    seen = {r.query_id: r.answer for r in Engine(e, m, generator=lambda p: p).ask(q).collect()}
+    assert seen[1].startswith("【参考资料】\n[来源1] 《西湖 日落》(j) - 来源：") and seen[1].endswith("请回答：") and "（暂无相关参考资料）" in seen[4]
     cited = {r.query_id: r.sources for r in Engine(e, m, generator=lambda p: F.lit("见[来源2]")).ask(q.where("query_id = 2")).collect()}
     assert len(cited[2]) == 1
 
@@ -76,7 +78,7 @@ def test_add(spark, parts):
     assert {r.rid: r.outcome for r in out.collect()} == {10: "inserted", 11: "too_short", 12: "known", 13: "known"}
     assert grown.entries.count() == 5
     again, out = grown.add(new.where("rid = 10"))
-    assert [r.outcome for r in out.collect()] == ["duplicate"] and again.entries.count() == 5
+    assert [r.outcome for r in out.collect()] == ["known"] and again.entries.count() == 5
 
 
 def test_empty(parts):

@@ -1,4 +1,5 @@
 import io
+import shutil
 import zipfile
 
 import numpy as np
@@ -57,6 +58,45 @@ def test_city_file_shapes(spark, tmp_path):
     assert sorted(r.id for r in read_city_files(spark, str(tmp_path)).collect()) == ["1", "2", "3"]
 
 
+def test_city_files_keep_every_field_and_their_head(spark, tmp_path):
+    from wayspring.operators.corpus import ENTRY_JSON, bootstrap, export_cities, migrate, read_city_meta
+
+    (tmp_path / "bare.json").write_text('[{"id":"9","title":"t"}]')
+    (tmp_path / "with.json").write_text('{"_meta":{"city":"甲","keywords":["k"],"aliases":["x","y"],"city_tag":"美食"},"items":[{"id":"8","city":"甲","content":"c","sub_category":"s","chunk_id":"2"}]}')
+    seed = str(tmp_path)
+    metas = {r.city: (r.keywords, r.aliases, r.city_tag) for r in read_city_meta(spark, seed).collect()}
+    assert metas == {"bare": ([], [], ""), "甲": (["k"], ["x", "y"], "美食")}
+    e, m, counts = migrate(spark, seed)
+    assert {(r.id, r.city, r.content, r.sub_category, r.chunk_id, r.domain) for r in e.collect()} == {("9", "", "", "", 1, "全国旅游"), ("8", "甲", "c", "s", 2, "全国旅游")}
+    assert counts.first().asDict() == {"files": 2, "entries": 2, "duplicates_skipped": 0, "meta": 2}
+    again = migrate(spark, seed, e.select(*e.columns))
+    assert again[0].count() == 0 and again[2].first().duplicates_skipped == 2
+    assert bootstrap(spark, e.where("false"), seed).count() == 2 and bootstrap(spark, e.limit(1), seed).count() == 1
+    out = str(tmp_path / "out")
+    export_cities(e.withColumn("rid", F.lit(1)), m, out)
+    back = read_city_files(spark, out)
+    assert {f.name for f in ENTRY_JSON} == set(back.columns) and back.where("city = '甲'").first().content == "c"
+    assert {r.city: r.aliases for r in read_city_meta(spark, out).collect()}["甲"] == ["x", "y"]
+
+
+def test_geojson_rings_bounds_and_script(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"features":[{"properties":{"name":"甲市","adcode":1},"geometry":{"type":"MultiPolygon","coordinates":[[[[100,30],[102,30],[102,34]],[[110,3],[111,3],[111,4]]]]}},{"properties":{"name":"乙"},"geometry":{"type":"Polygon","coordinates":[[[1,20],[2,20],[2,21]]]}},{"properties":{"name":"丙"},"geometry":{"type":"Point","coordinates":[1,2]}},{"geometry":null}]}')
+    (tmp_path / "b.json").write_text("{broken")
+    g = geo.read_geojson(spark, str(tmp_path))
+    got = {r.name: (r.n, r.k, r.b, r.c) for r in g.select("name", F.size("rings").alias("n"), F.size(geo.kept_rings(F.col("rings"))).alias("k"), geo.ring_bounds(geo.kept_rings(F.col("rings"))).alias("b"), geo.ring_centre(F.col("rings")).alias("c")).collect()}
+    assert got["甲市"][:2] == (2, 1) and tuple(got["甲市"][2]) == (100.0, 30.0, 102.0, 34.0) and got["丙"] == (0, 0, None, None)
+    assert tuple(got["乙"][3]) == pytest.approx((5 / 3, 61 / 3))
+    assert geo.map_constants(g.select("name").where("name <> '丙'")).first().value == 'window.MAP = [{"name":"乙"},{"name":"甲市"}];\n'
+
+
+def test_content_wins_over_the_file(spark):
+    from wayspring.sources.files import upload_text
+
+    df = spark.createDataFrame([(1, " a ", "f", None), (2, " ", "f", None), (3, None, None, "bad"), (4, "a", None, "bad")], "id int, c string, t string, e string")
+    text, error = upload_text(F.col("c"), F.col("t"), F.col("e"))
+    assert [tuple(r) for r in df.orderBy("id").select(text, error).collect()] == [("a", None), ("f", None), (None, "bad"), ("a", None)]
+
+
 def test_simplify_keeps_corners_and_drops_the_line():
     line = np.array([[x, 0.0] for x in range(50)])
     assert len(geo.simplify(line, 0.1)) == 2
@@ -70,13 +110,15 @@ def test_simplify_keeps_corners_and_drops_the_line():
 def test_paths_and_names(spark):
     df = spark.createDataFrame([([[0.0, 0.0], [9.0, 0.0], [9.0, 9.0], [0.0, 0.0]],), (None,), ([],)], "ring array<array<double>>")
     assert [bool(r.path) for r in geo.paths(df).collect()] == [True, False, False]
-    n = spark.createDataFrame([("景埠市",), ("市",), ("大理州",), (None,)], "n string")
-    assert [r[0] for r in n.select(geo.short_name(F.col("n"))).collect()] == ["景埠", "市", "大理", None]
+    n = spark.createDataFrame([("景埠市",), ("市",), ("大理州",), (None,), ("凉山彝族自治州",), ("伊犁哈萨克自治州",), ("西双版纳傣族自治州",)], "n string")
+    assert [r[0] for r in n.select(geo.short_name(F.col("n"))).collect()] == ["景埠", "市", "大理", None, "凉山", "伊犁", "西双版纳"]
+    p = spark.createDataFrame([("北京市",), ("广西壮族自治区",), ("云南省",)], "n string")
+    assert [r[0] for r in p.select(geo.short_name(F.col("n"), geo.PROVINCE_SUFFIXES)).collect()] == ["北京", "广西", "云南"]
 
 
 def test_cited_then_relevant_then_first(spark):
     r = spark.createDataFrame([(q, k, 10 * q + k, t, t) for q in (1, 2, 3) for k, t in ((1, "西湖"), (2, "古寺"), (3, "夜市"), (4, "码头"))], "query_id long, rank long, rid long, title string, text string")
-    a = spark.createDataFrame([(1, "见[来源3][1][3][9]"), (2, "去 古寺 吧"), (3, None), (4, "x")], "query_id long, answer string")
+    a = spark.createDataFrame([(1, "见[来源3][1][来源1][来源 3][来源9]"), (2, "去 古寺 吧[3]"), (3, None), (4, "x")], "query_id long, answer string")
     got = {}
     for x in relevant_sources(r, a).orderBy("query_id", "pos").collect():
         got.setdefault(x.query_id, []).append(x.rid)
@@ -98,7 +140,13 @@ def test_stream_of_submissions_is_idempotent(spark, tmp_path):
     for n in range(2):
         stream_submissions(spark.readStream.schema(schema).parquet(src), store, str(tmp_path / f"c{n}")).awaitTermination()
     stream_submissions(spark.readStream.schema(schema).parquet(src), store, str(tmp_path / "c0")).awaitTermination()
-    assert [r.id for r in spark.read.parquet(store).collect()] == ["1"]
+    assert [r.id for r in spark.read.parquet(f"{store}/data").collect()] == ["1"]
+    shutil.rmtree(f"{store}/ids")
+    with open(f"{store}/ids", "w") as f:
+        f.write("no parquet")
+    spark.createDataFrame([("7", "a", "t", text)], schema).write.mode("append").parquet(src)
+    with pytest.raises(Exception):
+        stream_submissions(spark.readStream.schema(schema).parquet(src), store, str(tmp_path / "c0")).awaitTermination()
 
 
 def test_activity_sessions(spark):

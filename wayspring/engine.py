@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from wayspring.functions.text import STOP_FULLTEXT, STOP_KEYWORD, search_text, tokens
 from wayspring.operators import retrieval as R
-from wayspring.operators.answers import relevant_sources
+from wayspring.operators.answers import fallback_text, prompt_text, references, relevant_sources
 from wayspring.operators.corpus import insert_ignore
 from wayspring.operators.quality import content_tokens, moderation, similar_entries
 
@@ -107,11 +107,11 @@ class Engine:
         text = F.concat_ws(" ", *(F.when(F.length(c) > 0, F.col(c)) for c in ("title", "content", "e_city", "source", "category", "sub_category")))
         e = self.entries.withColumnRenamed("city", "e_city").select("rid", F.coalesce("title", F.lit("")).alias("title"), "e_city", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("source", F.lit("")).alias("source"), text.alias("text"))
         r = self.search(q, method, k).select("query_id", "rank", "rid").join(e, "rid")
-        line = F.concat(F.lit("[来源"), F.col("rank").cast("string"), F.lit("] 《"), F.col("title"), F.lit("》("), F.coalesce("e_city", F.lit("")), F.lit(") - 来源："), F.col("source"), F.lit("\n"), F.col("content"))
-        refs = r.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))), lambda s: s["line"]), "\n\n").alias("refs"))
-        a = q.select("query_id", "question").join(refs, "query_id", "left").withColumn("refs", F.coalesce("refs", F.lit("")))
-        prompt = F.concat(F.col("refs"), F.lit("\n\n"), F.coalesce("question", F.lit("")))
-        a = a.withColumn("answer", self.generator(prompt) if self.generator else F.col("refs"))
+        shown, cities = r.withColumnRenamed("e_city", "city"), self.names.agg(F.array_join(F.array_sort(F.collect_set("city")), ", ").alias("cities"))
+        if self.generator:
+            a = prompt_text(q.select("query_id", "question"), references(shown), cities).select("query_id", self.generator(F.col("prompt")).alias("answer"))
+        else:
+            a = fallback_text(q, shown, cities)
         kept = relevant_sources(r, a.select("query_id", "answer"))
         src = kept.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "rid"))), lambda s: s["rid"]).alias("sources"))
         return a.join(src, "query_id", "left").select("query_id", "answer", F.coalesce("sources", F.array().cast("array<bigint>")).alias("sources"))
@@ -122,7 +122,8 @@ class Engine:
         outcome (rid, outcome) of each."""
         rule = new.select("rid", moderation(F.col("city"), F.col("content")).alias("rule"))
         t = content_tokens(F.col("title"), F.col("content"))
-        dup = similar_entries(new.select(F.col("rid").alias("id"), "city", t.alias("toks")), self.entries.select("rid", "city", t.alias("toks"))).select(F.col("id").alias("rid"), F.lit(True).alias("dup"))
+        own = F.array(F.col("rid").cast("string"))
+        dup = similar_entries(new.select(F.col("rid").alias("id"), "city", t.alias("toks")), self.entries.select("rid", "city", t.alias("toks"), own.alias("own"))).select(F.col("id").alias("rid"), F.lit(True).alias("dup"))
         state = rule.join(dup, "rid", "left")
         good = insert_ignore(new.join(state.where("rule is null and dup is null"), "rid", "left_semi"), self.entries, ["city", "id"], "rid")
         fresh = good.select("rid", F.lit(True).alias("fresh"))

@@ -155,35 +155,113 @@ def community_posts(spark, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- files and snapshots
 
-ENTRY_JSON = T.StructType([T.StructField(n, t) for n, t in (("id", T.StringType()), ("rid", T.LongType()), ("city", T.StringType()), ("title", T.StringType()), ("category", T.StringType()), ("keywords", T.ArrayType(T.StringType())), ("chunk_id", T.IntegerType()))])
-
-
-def export_cities(df: DataFrame, path: str) -> None:
-    """One JSON file per city: a head row `_meta`, then the entries in order."""
-    row = F.struct(*(F.col(f.name) for f in ENTRY_JSON))
-    head = F.struct(F.lit("_meta").alias("id"), F.col("city"), F.lit("_meta").alias("category"))
-    per = df.groupBy("city").agg(F.sort_array(F.collect_list(F.struct("rid", row.alias("row")))).alias("rows"))
-    text = F.concat(F.lit("["), F.concat_ws(",", F.to_json(head), F.array_join(F.transform("rows", lambda r: F.to_json(r["row"])), ",")), F.lit("]"))
-    per.select("city", text.alias("value")).write.partitionBy("city").text(path)
+_TEXTS = ("id", "city", "title", "content", "category", "sub_category", "source", "source_url", "submission_id", "user_id", "username", "city_tag", "domain")
+DOMAIN = "全国旅游"
+_STRINGS = T.ArrayType(T.StringType())
+ENTRY_JSON = T.StructType([*(T.StructField(n, T.StringType()) for n in _TEXTS), T.StructField("keywords", _STRINGS), T.StructField("chunk_id", T.IntegerType()), T.StructField("rid", T.LongType())])
+_READ_JSON = T.StructType([*(f if f.name != "chunk_id" else T.StructField("chunk_id", T.StringType()) for f in ENTRY_JSON), T.StructField("aliases", _STRINGS)])
+
+
+def export_cities(df: DataFrame, meta: DataFrame, path: str) -> None:
+    """JSON files per city: an array of a head row `_meta` (of meta: city, keywords,
+    aliases, city_tag) and the entries with all their fields in order of rid. A city
+    too large for one range of (city, rid) has a file per range, each with the head."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = df.select("city", "rid", F.to_json(F.struct(*(F.col(f.name) for f in ENTRY_JSON))).alias("row"))
+    placed = rows.repartitionByRange(n, "city", "rid").withColumn("part", F.spark_partition_id())
+    per = placed.groupBy("city", "part").agg(F.sort_array(F.collect_list(F.struct("rid", "row"))).alias("rows"))
+    m = meta.select("city", "keywords", "aliases", "city_tag").withColumn("known", F.lit(True))
+    names = F.array("city")
+    head = F.struct(
+        F.lit("_meta").alias("id"), F.lit(DOMAIN).alias("domain"), F.col("city"), F.lit("_meta").alias("category"), F.lit("系统自动生成").alias("source"), F.lit(0).alias("chunk_id"),
+        F.coalesce("keywords", names).alias("keywords"), F.coalesce("aliases", names).alias("aliases"), F.coalesce("city_tag", F.lit("其他")).alias("city_tag"),
+    )
+    text = F.concat(F.lit("["), F.concat_ws(",", F.to_json(head), F.array_join(F.transform("rows", lambda r: r["row"]), ",")), F.lit("]"))
+    out = per.join(m, "city", "left").select(F.col("city").alias("of"), "part", text.alias("value"))
+    out.write.partitionBy("of", "part").text(path)
+
+
+def _city_rows(spark, path: str) -> DataFrame:
+    """(file, stem, row): every object of the city files at path: of a top array, of an
+    {_meta, items} wrapper (its head gets the id `_meta`), or a single one. Unreadable
+    files have a null row."""
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file"))
+    arr = F.from_json("value", T.ArrayType(_READ_JSON))
+    wrap = F.from_json("value", T.StructType([T.StructField("items", T.ArrayType(_READ_JSON)), T.StructField("_meta", _READ_JSON)]))
+    head = F.when(wrap["_meta"].isNotNull(), F.array(wrap["_meta"].withField("id", F.lit("_meta")))).otherwise(F.array().cast(T.ArrayType(_READ_JSON)))
+    single = F.from_json("value", _READ_JSON)
+    rows = F.when(F.ltrim("value").startswith("["), arr).when(wrap["items"].isNotNull(), F.concat(wrap["items"], head)).otherwise(F.when(single["id"].isNotNull(), F.array(single)))
+    stem = F.url_decode(F.regexp_extract("file", r"([^/]*?)(?:\.[^./]*)?$", 1))
+    return raw.select("file", stem.alias("stem"), F.explode_outer(rows).alias("row"))
 
 
 def read_city_files(spark, path: str) -> DataFrame:
-    """Entries of city files: a top array, an {_meta, items} wrapper or a single
-    object; `_meta` rows are split off, unreadable files give no rows."""
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    arr = F.from_json("value", T.ArrayType(ENTRY_JSON))
-    wrapped = F.from_json("value", T.StructType([T.StructField("items", T.ArrayType(ENTRY_JSON))]))["items"]
-    single = F.array(F.from_json("value", ENTRY_JSON))
-    rows = F.when(F.ltrim("value").startswith("["), arr).otherwise(F.coalesce(wrapped, single))
-    return raw.select(F.explode(rows).alias("e")).select("e.*").where("id is not null and id <> '_meta'")
+    """Entries of city files, missing texts '', a falsy or unreadable chunk number 1."""
+    r = _city_rows(spark, path).select("row.*").where("id is not null and id <> '_meta'")
+    n = F.col("chunk_id").try_cast("int")
+    texts = [F.coalesce(F.col(c), F.lit(DOMAIN if c == "domain" else "")).alias(c) for c in _TEXTS]
+    return r.select(*texts, F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), F.when(n > 0, n).otherwise(1).alias("chunk_id"), "rid")
+
+
+def read_city_meta(spark, path: str) -> DataFrame:
+    """(city, keywords, aliases, city_tag): the head of every readable file; one
+    without has its name for a city."""
+    r = _city_rows(spark, path).where("row is not null")
+    head = F.max(F.when(F.col("row.id") == "_meta", F.col("row")))
+    m = r.groupBy("file", "stem").agg(head.alias("m")).select("stem", "m")
+    none = F.array().cast("array<string>")
+    city = F.when(F.length("m.city") > 0, F.col("m.city")).otherwise(F.col("stem"))
+    return m.select(city.alias("city"), F.coalesce("m.keywords", none).alias("keywords"), F.coalesce("m.aliases", none).alias("aliases"), F.coalesce("m.city_tag", F.lit("")).alias("city_tag")).dropDuplicates(["city"])
+
+
+def migrate(spark, path: str, old: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries to insert, city dimension to upsert, counters) of the city files at
+    path: keys that old has, or that came before, are skipped. Running it again with
+    its own result inserts nothing. counters: (files, entries, duplicates_skipped,
+    meta), one row."""
+    e = read_city_files(spark, path)
+    new = insert_ignore(e, e.where("false") if old is None else old, KEY, "rid")
+    meta = read_city_meta(spark, path)
+    files = _city_rows(spark, path).where("row is not null").agg(F.countDistinct("file").alias("files"))
+    n = e.agg(F.count("*").alias("read")).crossJoin(new.agg(F.count("*").alias("entries"))).crossJoin(meta.agg(F.count("*").alias("meta")))  # one row each
+    counts = files.crossJoin(n).select("files", "entries", (F.col("read") - F.col("entries")).alias("duplicates_skipped"), "meta")
+    return new, meta, counts
+
+
+def bootstrap(spark, store: DataFrame, seed: str) -> DataFrame:
+    """The store, or the seed files' entries where it is empty."""
+    return migrate(spark, seed)[0] if store.isEmpty() else store
+
+
+def rebuild(spark, seed: str) -> tuple[DataFrame, DataFrame]:
+    """Entries and city dimension anew from the seed files, whatever the store holds."""
+    new, meta, _ = migrate(spark, seed)
+    return new, meta
+
+
+def _exported(spark, sf_dir: str) -> str:
+    path = scratch_path(spark, "export")
+    m = table(spark, sf_dir, "city_meta").select("city", "keywords", "aliases", F.coalesce("tag", F.lit("")).alias("city_tag"))
+    export_cities(corpus(spark, sf_dir), m, path)
+    return path
 
 
 def json_round_trip(spark, sf_dir: str) -> DataFrame:
-    """Export to one file per city and read back."""
-    path = scratch_path(spark, "export")
-    export_cities(corpus(spark, sf_dir), path)
-    back = read_city_files(spark, path)
-    return back.groupBy("city").agg(F.count("*").alias("n"), F.sum("rid").alias("rid_sum"), F.sum(F.length("title")).alias("title_chars"))
+    """Export to files per city and read back, every field."""
+    back = read_city_files(spark, _exported(spark, sf_dir))
+    chars = [F.sum(F.length(c)).alias(f"{c}_chars") for c in ("title", "content", "sub_category", "source", "source_url", "submission_id")]
+    return back.groupBy("city").agg(F.count("*").alias("n"), F.sum("rid").alias("rid_sum"), F.sum("chunk_id").alias("chunk_sum"), F.sum(F.size("keywords")).alias("n_keywords"), *chars)
+
+
+def meta_round_trip(spark, sf_dir: str) -> DataFrame:
+    """The city dimension as it comes back from the files' heads."""
+    m = read_city_meta(spark, _exported(spark, sf_dir))
+    return m.select("city", F.array_join("keywords", "|", "").alias("keywords"), F.array_join("aliases", "|", "").alias("aliases"), "city_tag")
+
+
+def migration_counts(spark, sf_dir: str) -> DataFrame:
+    """Migration of the exported files into an empty store: what was inserted and skipped."""
+    return migrate(spark, _exported(spark, sf_dir))[2].select("entries", "duplicates_skipped", "meta")
 
 
 def snapshot_manifest(spark, sf_dir: str) -> DataFrame:
@@ -251,7 +329,7 @@ QUERIES = {
     "entries_scan": entries_scan, "city_meta_scan": city_meta_scan, "count_entries": count_entries, "source_projection": source_projection, "search_texts": search_texts,
     "preview": preview, "normalise_entries": normalise_entries, "insert_ignore": accepted_batches, "conservation": conservation, "upsert_city_meta": upsert_city_meta,
     "submission_latest": submission_latest, "live_submissions": live_submissions, "submissions_by_status": submissions_by_status, "community_posts": community_posts,
-    "json_round_trip": json_round_trip, "snapshot_manifest": snapshot_manifest, "embed_diff": embed_diff, "city_stats": city_stats, "page_browse": page_browse,
+    "json_round_trip": json_round_trip, "meta_round_trip": meta_round_trip, "migration_counts": migration_counts, "snapshot_manifest": snapshot_manifest, "embed_diff": embed_diff, "city_stats": city_stats, "page_browse": page_browse,
     "page_totals": page_totals, "city_positions": city_positions, "covered_without_rows": covered_without_rows, "health": health,
 }
 
@@ -280,7 +358,9 @@ select city, category as tag from b union all select city, coalesce(tag, '') fro
     "live_submissions": "select id from contributions group by id having not bool_or(deleted_at is not null)",
     "submissions_by_status": "select status, count(distinct id) as n, count(distinct user_id) as n_users from contributions group by 1",
     "community_posts": "select username, rank, id from (select username, id, row_number() over (partition by username order by created_at desc, id) as rank from (select distinct id, username, created_at from contributions where status = 'approved' and username is not null)) where rank <= 5",
-    "json_round_trip": f"with {C_SQL} select city, count(*) as n, sum(rid)::bigint as rid_sum, sum(length(title))::bigint as title_chars from c group by 1",
+    "json_round_trip": f"with {C_SQL}, k as (select rid, any_value(coalesce(len(keywords), 0)) as nk from knowledge_entries group by rid) select city, count(*) as n, sum(rid)::bigint as rid_sum, sum(chunk_id)::bigint as chunk_sum, sum(nk)::bigint as n_keywords, " + ", ".join(f"sum(length({c}))::bigint as {c}_chars" for c in ("title", "content", "sub_category", "source", "source_url", "submission_id")) + " from c join k using (rid) group by 1",
+    "meta_round_trip": f"with {C_SQL}, u as (select distinct city from c) select city, array_to_string(list_transform(case when m.city is null then [u.city] else coalesce(keywords, [u.city]) end, lambda x: coalesce(x, '')), '|') as keywords, array_to_string(list_transform(case when m.city is null then [u.city] else coalesce(aliases, [u.city]) end, lambda x: coalesce(x, '')), '|') as aliases, case when m.city is null then '其他' else coalesce(tag, '') end as city_tag from u left join city_meta m using (city)",
+    "migration_counts": f"with {C_SQL} select count(distinct (city, id, chunk_id)) as entries, count(*) - count(distinct (city, id, chunk_id)) as duplicates_skipped, count(distinct city) as meta from c",
     "snapshot_manifest": f"with {C_SQL} select city, count(*) as n, md5(string_agg(id, ',' order by rid)) as ids_md5 from c where batch_no = 0 group by 1",
     "embed_diff": f"""with {C_SQL}, n as (select city, list(id order by rid) as cur, coalesce(list(id order by rid) filter (batch_no = 0), []) as old from c group by 1)
 select city, len(old) as n_old, len(cur) - len(old) as n_new, case when len(old) = 0 then true else cur[1:len(old)] = old end as prefix from n""",

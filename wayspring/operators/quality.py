@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayspring.functions import key
 from wayspring.functions.text import FORBIDDEN, STOP_CONTENT, category, category_sql, contains_any, keywords, sql_list, tokens, tokens_sql, without
 from wayspring.operators.retrieval import E_SQL, entries
 from wayspring.runtime import materialize, small_batches, table
@@ -116,13 +117,15 @@ def content_tokens(title: Column, content: Column) -> Column:
 def similar_entries(new: DataFrame, old: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, rid, overlap): for each row of new (id, city, toks) the entry of old
     (rid, city, toks) of the same city with the largest overlap coefficient
-    |A∩B| / min(|A|, |B|), if at least threshold; ties: the smaller rid.
+    |A∩B| / min(|A|, |B|), if at least threshold; ties: the smaller rid. If old has
+    `own` (array<string>), rows whose id is in it are not compared with it.
 
     Exact prefix filter: whichever set is smaller must meet the other in its
     rarest |A| - ceil(threshold |A|) + 1 tokens, so only those are joined, once
     from each side. Empty sets match nothing."""
     a = new.where(F.size("toks") > 0).select("id", "city", F.col("toks").alias("x"))
-    b = old.where(F.size("toks") > 0).select("rid", "city", F.col("toks").alias("y"))
+    own = F.col("own") if "own" in old.columns else F.array().cast("array<string>")
+    b = old.where(F.size("toks") > 0).select("rid", "city", F.col("toks").alias("y"), own.alias("own"))
     ea, eb = a.select("id", "city", F.explode("x").alias("t")), b.select("rid", "city", F.explode("y").alias("t"))
     df = ea.select("city", "t").unionByName(eb.select("city", "t")).groupBy("city", "t").agg(F.count("*").alias("df"))
 
@@ -133,7 +136,7 @@ def similar_entries(new: DataFrame, old: DataFrame, threshold: float = THRESHOLD
         return o.select(key, "city", F.explode(F.transform(F.slice("o", F.lit(1), keep), lambda s: s["t"])).alias("t"))
 
     pairs = prefix(ea, "id").join(eb, ["city", "t"]).select("id", "rid").unionByName(ea.join(prefix(eb, "rid"), ["city", "t"]).select("id", "rid")).distinct()
-    both = pairs.join(a.select("id", "x"), "id").join(b.select("rid", "y"), "rid")
+    both = pairs.join(a.select("id", "x"), "id").join(b.select("rid", "y", "own"), "rid").where(~F.array_contains("own", key(F.col("id").cast("string"))) | F.col("id").isNull())
     overlap = F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y"))
     hit = both.select("id", "rid", F.round(overlap, 6).alias("overlap")).where(F.col("overlap") >= threshold)
     best = F.row_number().over(Window.partitionBy("id").orderBy(F.col("overlap").desc(), "rid"))
@@ -145,9 +148,10 @@ def _submissions(spark, sf_dir: str) -> DataFrame:
 
 
 def near_dup(spark, sf_dir: str) -> DataFrame:
-    """Submissions that repeat an entry of their city."""
+    """Submissions that repeat an entry of their city other than their own."""
     new = _submissions(spark, sf_dir).select("id", "city", content_tokens(F.col("title"), F.col("content")).alias("toks"))
-    old = entries(spark, sf_dir).select("rid", "city", content_tokens(F.col("title"), F.col("content")).alias("toks"))
+    own = F.filter(F.array(key(F.col("id")), key(F.col("submission_id"))), lambda k: k.isNotNull())
+    old = entries(spark, sf_dir).select("rid", "city", content_tokens(F.col("title"), F.col("content")).alias("toks"), own.alias("own"))
     return similar_entries(materialize(new, "new_tokens"), materialize(old, "old_tokens"))  # read five times, tokenised once
 
 
@@ -198,8 +202,11 @@ QUERIES = {
 
 SUB = "sub as (select id, any_value(city) as city, any_value(title) as title, any_value(content) as content, any_value(category) as category from contributions group by id)"
 _TOK = "list_distinct(list_filter({0}, lambda t: length(t) >= 2 and t not in {1}))".format(tokens_sql("coalesce(title, '') || ' ' || coalesce(content, '')"), sql_list(STOP_CONTENT))
+_KEY = r"nullif(lower(regexp_replace({0}, '^[\s\p{{Z}}\p{{Cc}}\p{{Cf}}]+|[\s\p{{Z}}\p{{Cc}}\p{{Cf}}]+$', '', 'g')), '')"
 _NEAR = f"""a as (select id, city, {_TOK} as x from sub), b as (select rid, city, {_TOK} as y from e),
-o as (select id, rid, round(len(list_intersect(x, y)) / least(len(x), len(y)), 6) as overlap from a join b using (city) where len(x) > 0 and len(y) > 0),
+keys as (select rid, any_value({_KEY.format('id')}) as k1, any_value({_KEY.format('submission_id')}) as k2 from knowledge_entries group by rid),
+o as (select id, rid, round(len(list_intersect(x, y)) / least(len(x), len(y)), 6) as overlap from a join b using (city) join keys using (rid)
+  where len(x) > 0 and len(y) > 0 and k1 is distinct from {_KEY.format('a.id')} and k2 is distinct from {_KEY.format('a.id')}),
 near as (select id, rid, overlap from (select *, row_number() over (partition by id order by overlap desc, rid) as n from o where overlap >= {THRESHOLD}) where n = 1)"""
 _RULE = f"""case when length(trim(coalesce(city, ''), ' ')) = 0 then 'no_city' when length(trim(coalesce(content, ''), ' ')) = 0 then 'no_content'
 when regexp_matches(content, '{"|".join(FORBIDDEN)}') then 'forbidden' when length(trim(content, ' ')) < {LEAST_CHARS} then 'too_short' end"""

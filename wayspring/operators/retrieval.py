@@ -158,6 +158,12 @@ def bm25_topk(spark, sf_dir: str) -> DataFrame:
     return ranked(in_scope(scored, scope(q, covered(spark, sf_dir), e)), positive=True)
 
 
+def ranking(spark, sf_dir: str) -> DataFrame:
+    """bm25_topk as a written table, one per version of its inputs, for all that build on it."""
+    of = version(spark, sf_dir, "knowledge_entries", "user_history", "city_meta")
+    return once(spark, "ranking", of, lambda: bm25_topk(spark, sf_dir))
+
+
 def bm25_matches(spark, sf_dir: str) -> DataFrame:
     """Per question: matches and whether all tokens were required."""
     raw = bm25_raw(index(spark, sf_dir), query_tokens(questions(spark, sf_dir), STOP_FULLTEXT))
@@ -437,7 +443,7 @@ def rerank_shorter(spark, sf_dir: str) -> DataFrame:
 
 def search(spark, sf_dir: str, method: str) -> DataFrame:
     """One channel by name; an unknown name means bm25."""
-    return {"keyword": keyword_topk, "vector": text_vector_topk, "hybrid": hybrid_topk, "okapi": bm25_okapi}.get(method, bm25_topk)(spark, sf_dir)
+    return {"keyword": keyword_topk, "vector": text_vector_topk, "hybrid": hybrid_topk, "okapi": bm25_okapi}.get(method, ranking)(spark, sf_dir)
 
 
 METHODS = ("keyword", "bm25", "vector", "hybrid")
@@ -466,18 +472,21 @@ def top1_agreement(spark, sf_dir: str) -> DataFrame:
     return first.groupBy("query_id").agg(F.max("n").alias("votes"), F.round(F.max("n") / F.sum("n"), 4).alias("agreement"))
 
 
-def city_detect(spark, sf_dir: str) -> DataFrame:
-    """The city a question names: an alias first (in order of city and alias),
-    else the longest full name; the later city wins a shared alias."""
-    q, names = questions(spark, sf_dir), covered(spark, sf_dir)
+def named_city(q: DataFrame, names: DataFrame) -> DataFrame:
+    """(query_id, city): the city a question names: an alias first (in order of city
+    and alias), else the longest full name; the later city wins a shared alias."""
     hits = detect_cities(q, names).withColumn("alias", F.col("name") != F.col("city"))
     owner = Window.partitionBy("query_id", "name").orderBy(F.col("city").desc())
     hits = hits.withColumn("own", F.row_number().over(owner)).where("own = 1 or not alias")
     order = [F.col("alias").desc(), F.when(F.col("alias"), 0).otherwise(-F.length("name")), F.col("city"), F.col("name")]
-    best = hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where("n = 1")
-    return q.select("query_id", F.col("city").alias("explicit")).join(best.select("query_id", F.col("city").alias("detected")), "query_id", "left").select(
-        "query_id", "detected", F.coalesce("explicit", "detected").alias("resolved")
-    )
+    return hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where("n = 1").select("query_id", "city")
+
+
+def city_detect(spark, sf_dir: str) -> DataFrame:
+    """The city every question names, and the one it is about: the given city first."""
+    q = questions(spark, sf_dir)
+    best = named_city(q, covered(spark, sf_dir)).withColumnRenamed("city", "detected")
+    return q.select("query_id", F.col("city").alias("explicit")).join(best, "query_id", "left").select("query_id", "detected", F.coalesce("explicit", "detected").alias("resolved"))
 
 
 def multi_city(spark, sf_dir: str) -> DataFrame:
@@ -556,6 +565,8 @@ fused as (select query_id, rid, 1.0::double / ({RRF_K} + r1) + 1.0::double / ({R
 hyb as (select query_id, row_number() over (partition by query_id order by rrf desc, rid) as rank, rid, round(rrf, 4) as score, bm25_score, vector_score from fused)"""
 _FULL = f"with {E_SQL}, {Q_SQL}, {NAMES_SQL}, {POST_SQL}, {_qt(STOP_FULLTEXT)}, {SCOPE_SQL}, {RAW_SQL}, {BM25_SQL}, "
 HYBRID_CTE = _FULL + HYBRID_SQL
+NAMED_SQL = """h as (select q.query_id, n.city, n.name, n.name <> n.city as alias, row_number() over (partition by q.query_id, n.name order by n.city desc) as own from q join names n on contains(q.question, n.name)),
+b as (select query_id, city, row_number() over (partition by query_id order by alias desc, case when alias then 0 else -length(name) end, city, name) as n from h where own = 1 or not alias)"""
 ORACLE = {
     "bm25_topk": _FULL + _ranked(),
     "bm25_and_or": f"""with {E_SQL}, {Q_SQL}, {POST_SQL}, {_qt(STOP_FULLTEXT)}, {RAW_SQL}
@@ -570,8 +581,7 @@ r as (select query_id, row_number() over (partition by query_id order by score d
     "hybrid_topk": HYBRID_CTE + f" select * from hyb where rank <= {TOP_K}",
     "rerank_pool": HYBRID_CTE + f" select query_id, new_rank as rank, rid, score from (select query_id, rid, score, row_number() over (partition by query_id order by length(coalesce(content, '')), rid) as new_rank from hyb join e using (rid) where hyb.rank <= {RECALL}) where new_rank <= {TOP_K}",
     "vector_entries_topk": f"with {E_SQL}, {Q_SQL}, {NAMES_SQL}, {POST_SQL}, {SCOPE_SQL}, {DENSE_SQL}, scored as (select query_id, rid, cos as score from dense), " + _ranked(positive=False),
-    "city_detect": f"""with {Q_SQL}, {NAMES_SQL}, h as (select q.query_id, n.city, n.name, n.name <> n.city as alias, row_number() over (partition by q.query_id, n.name order by n.city desc) as own from q join names n on contains(q.question, n.name)),
-b as (select query_id, city, row_number() over (partition by query_id order by alias desc, case when alias then 0 else -length(name) end, city, name) as n from h where own = 1 or not alias)
+    "city_detect": f"""with {Q_SQL}, {NAMES_SQL}, {NAMED_SQL}
 select q.query_id, b.city as detected, coalesce(q.city, b.city) as resolved from q left join b on b.query_id = q.query_id and b.n = 1""",
     "scope_flags": f"with {E_SQL}, {Q_SQL}, {NAMES_SQL}, {SCOPE_SQL} select query_id, multi, has_rows, hard from scoped",
     "posting_stats": f"with {E_SQL}, {POST_SQL} select token, count(*) as df, sum(tf)::bigint as cf from post group by 1",

@@ -71,7 +71,7 @@ def session_state(spark, sf_dir: str) -> DataFrame:
     """Session rows after their messages: updated by the latest one, last city the
     latest named, the first user kept."""
     m = messages(spark, sf_dir).groupBy("session_id").agg(F.max("at").alias("last_at"), F.max_by("city", F.when(F.col("city").isNotNull(), F.struct("at", "id"))).alias("city"))
-    s = sessions(spark, sf_dir).groupBy("session_id").agg(F.max("updated").alias("updated"), F.max("last_city").alias("old_city"), F.min("user_id").alias("user_id"))
+    s = sessions(spark, sf_dir).groupBy("session_id").agg(F.max("updated").alias("updated"), F.max_by("last_city", F.when(F.col("last_city").isNotNull(), F.struct("updated", "last_city"))).alias("old_city"), F.min(F.when(F.col("user_id").isNotNull(), F.struct("updated", "user_id")))["user_id"].alias("user_id"))
     j = s.join(m, "session_id", "full_outer")
     return j.select("session_id", F.greatest("updated", "last_at").alias("updated_us"), F.coalesce("city", "old_city").alias("last_city"), "user_id")
 
@@ -146,7 +146,7 @@ select coalesce(c.session_id, t.session_id) as session_id, coalesce(cities, '')
     "sessions_of_users": f"""with {M}, {S}, n as (select session_id, count(*) as n_messages from m group by 1), r as (select *, row_number() over (partition by user_id order by updated desc, session_id) as rank from s where user_id is not null)
 select user_id, rank, session_id, coalesce(n_messages, 0) as n_messages from r left join n using (session_id) where rank <= 20""",
     "session_state": f"""with {M}, {S}, a as (select session_id, max(tick) as last_at, (list(city order by tick desc nulls last, id desc) filter (city is not null))[1] as city from m group by 1),
-b as (select session_id, max(updated) as updated, max(last_city) as old_city, min(user_id) as user_id from s group by 1)
+b as (select session_id, max(updated) as updated, arg_max(last_city, (updated, last_city)) filter (last_city is not null) as old_city, arg_min(user_id, (updated, user_id)) filter (user_id is not null) as user_id from s group by 1)
 select coalesce(a.session_id, b.session_id) as session_id, greatest(updated, last_at) as updated_us, coalesce(city, old_city) as last_city, user_id from b full join a using (session_id)""",
     "orphan_messages": f"with {M}, {S} select id, session_id from m where session_id not in (select session_id from s where session_id is not null)",
     "expire_sessions": f"""with {M}, {S}, u as (select session_id, max(updated) as updated from s group by 1), o as (select session_id from u where updated < (select max(updated) from u) - {TTL_DAYS}::bigint * 86400000000)

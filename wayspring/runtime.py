@@ -92,6 +92,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where))
+
+
 def version(spark: SparkSession, sf_dir: str, *names: str) -> str:
     """What the named tables are made of now: paths, sizes and times of their files."""
     jvm, out = spark.sparkContext._jvm, []

@@ -10,9 +10,10 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayspring.functions import visible
 from wayspring.runtime import small_batches, table
 
 # Extensions read as text, and those refused with a hint.
@@ -69,18 +70,25 @@ def pdf_text(raw: bytes) -> Result:
     return (text, None) if text else (None, "no text")
 
 
+def reader_of(name: str | None) -> str:
+    """How an upload of this name is read: text, word, pdf, refused or unsupported."""
+    ext = name.rsplit(".", 1)[1].lower() if name and "." in name else ""
+    return {"docx": "word", "pdf": "pdf", "doc": "refused"}.get(ext, "text" if ext in TEXT_TYPES else "unsupported")
+
+
 def file_text(name: str | None, raw: bytes | None) -> Result:
     """Text of an upload by its extension; empty bytes are empty text."""
     if not raw:
         return "", None
-    ext = name.rsplit(".", 1)[1].lower() if name and "." in name else ""
-    if ext == "docx":
-        return docx_text(raw)
-    if ext == "pdf":
-        return pdf_text(raw)
-    if ext == "doc":
-        return None, "old word format"
-    return decode_text(raw) if ext in TEXT_TYPES else (None, "unsupported type")
+    read = {"word": docx_text, "pdf": pdf_text, "text": decode_text, "refused": lambda _: (None, "old word format"), "unsupported": lambda _: (None, "unsupported type")}
+    return read[reader_of(name)](raw)
+
+
+def upload_text(content: Column, text: Column, error: Column) -> tuple[Column, Column]:
+    """(text, error) of a submission: its content if there is any, then the file's
+    text; the file's error counts only without content."""
+    own = visible(content)
+    return F.when(own, F.trim(content)).otherwise(F.trim(text)), F.when(~own, error)
 
 
 def extract(df: DataFrame, name: str = "file_name", raw: str = "raw") -> DataFrame:
@@ -102,26 +110,37 @@ def read_uploads(spark, path: str, glob: str = "*") -> DataFrame:
 
 
 def submission_text(spark, sf_dir: str) -> DataFrame:
-    """Content wins over the file: every text is packed as bytes in one of three
-    encodings (by its length) and comes back through the decoder."""
-    c = table(spark, sf_dir, "contributions").select("id", "file_name", "content").dropDuplicates(["id"])
-    code = F.length("content") % 3
-    raw = F.when(code == 0, F.encode("content", "UTF-8")).when(code == 1, F.encode("content", "UTF-16")).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), F.encode("content", "UTF-8")))
-    got = extract(c.select("id", F.lit("a.txt").alias("file_name"), raw.alias("raw")))
-    return got.select("id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.coalesce("error", F.lit("")).alias("error"))
+    """Content wins over the file. Every submission gets a file of its own name whose
+    bytes hold its notes in one of three encodings (by their length); two thirds
+    keep their content too."""
+    c = table(spark, sf_dir, "contributions").select("id", "file_name", "content", "notes").dropDuplicates(["id"])
+    code = F.length("notes") % 3
+    raw = F.when(code == 0, F.encode("notes", "UTF-8")).when(code == 1, F.encode("notes", "UTF-16")).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), F.encode("notes", "UTF-8")))
+    own = F.when(F.length("id") % 3 + F.length("content") % 3 != 0, F.col("content"))
+    got = extract(c.select("id", own.alias("content"), "file_name", raw.alias("raw")))
+    text, error = upload_text(F.col("content"), F.col("text"), F.col("error"))
+    return got.select("id", F.md5(F.coalesce(text, F.lit(""))).alias("text_md5"), F.coalesce(error, F.lit("")).alias("error"))
 
 
 def upload_types(spark, sf_dir: str) -> DataFrame:
-    """File names of submissions by how they would be read."""
+    """File names of submissions by how they are read."""
+    small_batches(spark)
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda n: reader_of(n) if isinstance(n, str) else "none")
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
     c = table(spark, sf_dir, "contributions").select("id", "file_name").distinct()
-    ext = F.lower(F.regexp_extract(F.coalesce("file_name", F.lit("")), r"\.([^.]+)$", 1))
-    how = F.when(F.col("file_name").isNull(), "none").when(ext.isin(*TEXT_TYPES), "text").when(ext == "docx", "word").when(ext == "pdf", "pdf").when(ext == "doc", "refused").otherwise("unsupported")
-    return c.select(how.alias("how")).groupBy("how").agg(F.count("*").alias("n"))
+    return c.select(F.pandas_udf(run, "string")("file_name").alias("how")).groupBy("how").agg(F.count("*").alias("n"))
 
 
 QUERIES = {"submission_text": submission_text, "upload_types": upload_types}
 ORACLE = {
-    "submission_text": "select id, md5(coalesce(any_value(content), '')) as text_md5, '' as error from contributions group by id",
+    "submission_text": r"""with c as (select id, any_value(file_name) as f, any_value(case when length(id) % 3 + length(content) % 3 <> 0 then content end) as own, any_value(notes) as notes from contributions group by id),
+e as (select *, lower(regexp_extract(coalesce(f, ''), '\.([^.]+)$', 1)) as ext, length(regexp_replace(coalesce(own, ''), '[\s\p{Z}\p{Cc}\p{Cf}]', '', 'g')) > 0 as has, length(coalesce(notes, '')) = 0 as nothing from c),
+t as (select *, ext in ('txt', 'md', 'markdown', 'json', 'csv', 'log', 'text', '') as plain from e)
+select id, md5(case when has then trim(own, ' ') when nothing or not plain then '' else trim(notes, ' ') end) as text_md5,
+  case when has or nothing or plain then '' when ext = 'docx' then 'not a docx' when ext = 'doc' then 'old word format' when ext = 'pdf' then 'no pdf reader' else 'unsupported type' end as error from t""",
     "upload_types": """with c as (select distinct id, file_name, lower(regexp_extract(coalesce(file_name, ''), '\\.([^.]+)$', 1)) as ext from contributions)
 select case when file_name is null then 'none' when ext in ('txt', 'md', 'markdown', 'json', 'csv', 'log', 'text', '') then 'text' when ext = 'docx' then 'word' when ext = 'pdf' then 'pdf' when ext = 'doc' then 'refused' else 'unsupported' end as how, count(*) as n from c group by 1""",
 }

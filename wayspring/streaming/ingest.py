@@ -7,22 +7,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayspring.operators.quality import moderation
+from wayspring.runtime import exists
 
 
 def stream_submissions(stream: DataFrame, store: str, checkpoint: str, once: bool = True):
     """Start the upkeep of the parquet store at `store` from a stream of (id, city,
     title, content). A batch that is replayed, or repeats an id, changes nothing:
-    each goes to its own folder and ids already stored are left out."""
+    each goes to its own folder and ids already stored are left out. Ids stand in
+    folders of their own by a hash of the id, so a batch reads only the ids of its
+    folders and no text. Failures to read the store fail the batch."""
+    data, ids, parts = f"{store}/data", f"{store}/ids", 64
 
     def accept(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        good = batch.where(moderation(F.col("city"), F.col("content")).isNull()).dropDuplicates(["id"])
-        try:
-            known = spark.read.parquet(store).where(F.col("batch") != number).select("id").distinct()
-            good = good.join(known, "id", "left_anti")
-        except Exception:  # no store yet
-            pass
-        good.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+        good = batch.where(moderation(F.col("city"), F.col("content")).isNull()).dropDuplicates(["id"]).withColumn("part", part)
+        if exists(spark, ids):
+            mine = sorted(r["part"] for r in good.select("part").distinct().collect())  # at most 64 numbers
+            known = spark.read.schema("id string, part int, batch long").parquet(ids).where(F.col("part").isin(*mine) & (F.col("batch") != number))
+            good = good.join(known.select("id").distinct(), "id", "left_anti")
+        kept = f"{data}/batch={number}"
+        good.drop("part").write.mode("overwrite").parquet(kept)
+        done = spark.read.schema(batch.schema).parquet(kept).select("id", part.alias("part"), F.lit(number).cast("long").alias("batch"))
+        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(ids)
 
     writer = stream.writeStream.foreachBatch(accept).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
