@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 
 
 from wayspring.functions.text import SEARCH_TEXT_SQL, category, category_sql, search_text, slug
-from wayspring.operators.retrieval import E_SQL, entries
-from wayspring.runtime import scratch_path, table
+from wayspring.operators.retrieval import DIMS, E_SQL, POST_SQL, entries, hashed_vector, postings
+from wayspring.runtime import materialize, scratch_path, table
 
 KEY = ["city", "id", "chunk_id"]
 PAGE_SIZE = 20
@@ -153,6 +153,19 @@ def community_posts(spark, sf_dir: str) -> DataFrame:
     return c.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("username", "rank", "id")
 
 
+def positions(df: DataFrame, group: str, order: str) -> DataFrame:
+    """df with pos, each row's number within its group in order, from 1. Groups are
+    cut into ranges that are numbered apart and moved by the sizes of the ranges
+    before, so a group of any size is never sorted in one task."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    placed = materialize(df.repartitionByRange(n, group, order).withColumn("range_no", F.spark_partition_id()), "ranges")
+    sizes = placed.groupBy(group, "range_no").agg(F.count("*").alias("rows_in"))  # one row per group and range
+    along = Window.partitionBy(group).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(group, "range_no", F.coalesce(F.sum("rows_in").over(along), F.lit(0)).alias("rows_before"))
+    inside = F.row_number().over(Window.partitionBy(group, "range_no").orderBy(order))
+    return placed.withColumn("pos", inside).join(before, [group, "range_no"]).withColumn("pos", F.col("pos") + F.col("rows_before")).drop("range_no", "rows_before")
+
+
 # ---------------------------------------------------------------- files and snapshots
 
 _TEXTS = ("id", "city", "title", "content", "category", "sub_category", "source", "source_url", "submission_id", "user_id", "username", "city_tag", "domain")
@@ -264,23 +277,46 @@ def migration_counts(spark, sf_dir: str) -> DataFrame:
     return migrate(spark, _exported(spark, sf_dir))[2].select("entries", "duplicates_skipped", "meta")
 
 
+def _digest(pos, id_):
+    """A share of an order-sensitive digest: summed, it needs no list of a city's ids."""
+    return F.conv(F.substring(F.md5(F.concat(pos.cast("string"), F.lit(":"), id_)), 1, 8), 16, 10).cast("long")
+
+
 def snapshot_manifest(spark, sf_dir: str) -> DataFrame:
     """Per city, the ids of the vector snapshot in order of position: count and
     digest, against which a snapshot is validated."""
-    c = corpus(spark, sf_dir).where("batch_no = 0")
-    ids = F.transform(F.sort_array(F.collect_list(F.struct("rid", "id"))), lambda s: s["id"])
-    return c.groupBy("city").agg(F.count("*").alias("n"), F.md5(F.array_join(ids, ",")).alias("ids_md5"))
+    c = positions(corpus(spark, sf_dir).where("batch_no = 0").select("city", "rid", "id"), "city", "rid")
+    return c.groupBy("city").agg(F.count("*").alias("n"), F.sum(_digest(F.col("pos"), F.col("id"))).alias("ids_digest"))
 
 
 def embed_diff(spark, sf_dir: str) -> DataFrame:
     """Incremental index upkeep by key: entries to encode after the first load,
     and whether the old ids of their city are a prefix of the current ones."""
-    c = corpus(spark, sf_dir)
-    now = c.groupBy("city").agg(F.transform(F.sort_array(F.collect_list(F.struct("rid", "id"))), lambda s: s["id"]).alias("cur"))
-    old = c.where("batch_no = 0").groupBy("city").agg(F.transform(F.sort_array(F.collect_list(F.struct("rid", "id"))), lambda s: s["id"]).alias("old"))
-    j = now.join(old, "city", "left").withColumn("old", F.coalesce("old", F.array().cast("array<string>")))
-    reuse = F.slice("cur", F.lit(1), F.size("old")) == F.col("old")
-    return j.select("city", F.size("old").cast("long").alias("n_old"), (F.size("cur") - F.size("old")).cast("long").alias("n_new"), F.when(F.size("old") == 0, True).otherwise(reuse).alias("prefix"))
+    c = materialize(corpus(spark, sf_dir).select("city", "rid", "id", "batch_no"), "keys")
+    now = positions(c.select("city", "rid", "id"), "city", "rid").select("city", "pos", "id")
+    old = positions(c.where("batch_no = 0").select("city", "rid", "id"), "city", "rid").select("city", "pos", F.col("id").alias("old_id"))
+    j = now.join(old, ["city", "pos"], "left")
+    n_old = F.count("old_id")
+    return j.groupBy("city").agg(n_old.alias("n_old"), (F.count("*") - n_old).alias("n_new"), F.coalesce(F.min(F.col("id") == F.col("old_id")), F.lit(True)).alias("prefix"))
+
+
+def encode_new(old: DataFrame, e: DataFrame, encode) -> DataFrame:
+    """Vectors (rid, dim, w) of the entries e from those of an older corpus: entries
+    that old lacks are encoded, those that are gone left out, the rest reused."""
+    kept = old.join(e.select("rid"), "rid", "left_semi")
+    fresh = e.join(old.select("rid").distinct(), "rid", "left_anti")
+    return kept.withColumn("reused", F.lit(True)).unionByName(encode(fresh).withColumn("reused", F.lit(False)))
+
+
+def incremental_vectors(spark, sf_dir: str) -> DataFrame:
+    """Vectors of the corpus when those of the first load are at hand: entries reused
+    and encoded per city, and a checksum of all vectors."""
+    e = entries(spark, sf_dir)
+    encode = lambda x: hashed_vector(postings(x).select("rid", "token", F.col("tf").alias("n")), "rid")
+    first = e.join(corpus(spark, sf_dir).where("batch_no = 0").select("rid"), "rid", "left_semi")
+    v = encode_new(materialize(encode(first), "vectors"), e, encode).join(e.select("rid", "city"), "rid")
+    count = lambda c: F.count_distinct(F.when(c, F.col("rid")))
+    return v.groupBy("city").agg(count(F.col("reused")).alias("reused"), count(~F.col("reused")).alias("encoded"), F.round(F.sum(F.col("w") * (F.col("dim") + 1)), 3).alias("checksum"))
 
 
 # ---------------------------------------------------------------- browse
@@ -297,11 +333,26 @@ def page(df: DataFrame, number: int, size: int, order: list[str]) -> DataFrame:
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, last: tuple | None, size: int, order: list[str]) -> DataFrame:
+    """The page behind the row with the order values last (the first page for null):
+    the bound is a filter, so pages before cost nothing however deep it lies."""
+    if last is not None:
+        df = df.where(F.struct(*order) > F.struct(*(F.lit(x).alias(c) for c, x in zip(order, last))))
+    return df.orderBy(*order).limit(size)
+
+
 def page_browse(spark, sf_dir: str) -> DataFrame:
     """Third page of the entries in order of city and rid."""
     return page(corpus(spark, sf_dir).select("city", "rid", "title"), 3, PAGE_SIZE, ["city", "rid"])
 
 
+def page_by_key(spark, sf_dir: str) -> DataFrame:
+    """The same page reached from the last row of the second."""
+    c = corpus(spark, sf_dir).select("city", "rid", "title")
+    first = page_after(c, None, 2 * PAGE_SIZE, ["city", "rid"]).collect()  # two pages
+    return page_after(c, (first[-1]["city"], first[-1]["rid"]) if len(first) == 2 * PAGE_SIZE else ("\U0010ffff", 0), PAGE_SIZE, ["city", "rid"])
+
+
 def page_totals(spark, sf_dir: str) -> DataFrame:
     """Total and pages per category filter."""
     c = corpus(spark, sf_dir).groupBy("category").agg(F.count("*").alias("total"))
@@ -310,7 +361,7 @@ def page_totals(spark, sf_dir: str) -> DataFrame:
 
 def city_positions(spark, sf_dir: str) -> DataFrame:
     """Position of every entry inside its city's block."""
-    return corpus(spark, sf_dir).select("rid", "city", F.row_number().over(Window.partitionBy("city").orderBy("rid")).cast("long").alias("pos"))
+    return positions(corpus(spark, sf_dir).select("rid", "city"), "city", "rid").select("rid", "city", "pos")
 
 
 def covered_without_rows(spark, sf_dir: str) -> DataFrame:
@@ -329,7 +380,7 @@ QUERIES = {
     "entries_scan": entries_scan, "city_meta_scan": city_meta_scan, "count_entries": count_entries, "source_projection": source_projection, "search_texts": search_texts,
     "preview": preview, "normalise_entries": normalise_entries, "insert_ignore": accepted_batches, "conservation": conservation, "upsert_city_meta": upsert_city_meta,
     "submission_latest": submission_latest, "live_submissions": live_submissions, "submissions_by_status": submissions_by_status, "community_posts": community_posts,
-    "json_round_trip": json_round_trip, "meta_round_trip": meta_round_trip, "migration_counts": migration_counts, "snapshot_manifest": snapshot_manifest, "embed_diff": embed_diff, "city_stats": city_stats, "page_browse": page_browse,
+    "json_round_trip": json_round_trip, "meta_round_trip": meta_round_trip, "migration_counts": migration_counts, "snapshot_manifest": snapshot_manifest, "embed_diff": embed_diff, "city_stats": city_stats, "page_browse": page_browse, "page_by_key": page_by_key, "incremental_vectors": incremental_vectors,
     "page_totals": page_totals, "city_positions": city_positions, "covered_without_rows": covered_without_rows, "health": health,
 }
 
@@ -361,12 +412,16 @@ select city, category as tag from b union all select city, coalesce(tag, '') fro
     "json_round_trip": f"with {C_SQL}, k as (select rid, any_value(coalesce(len(keywords), 0)) as nk from knowledge_entries group by rid) select city, count(*) as n, sum(rid)::bigint as rid_sum, sum(chunk_id)::bigint as chunk_sum, sum(nk)::bigint as n_keywords, " + ", ".join(f"sum(length({c}))::bigint as {c}_chars" for c in ("title", "content", "sub_category", "source", "source_url", "submission_id")) + " from c join k using (rid) group by 1",
     "meta_round_trip": f"with {C_SQL}, u as (select distinct city from c) select city, array_to_string(list_transform(case when m.city is null then [u.city] else coalesce(keywords, [u.city]) end, lambda x: coalesce(x, '')), '|') as keywords, array_to_string(list_transform(case when m.city is null then [u.city] else coalesce(aliases, [u.city]) end, lambda x: coalesce(x, '')), '|') as aliases, case when m.city is null then '其他' else coalesce(tag, '') end as city_tag from u left join city_meta m using (city)",
     "migration_counts": f"with {C_SQL} select count(distinct (city, id, chunk_id)) as entries, count(*) - count(distinct (city, id, chunk_id)) as duplicates_skipped, count(distinct city) as meta from c",
-    "snapshot_manifest": f"with {C_SQL} select city, count(*) as n, md5(string_agg(id, ',' order by rid)) as ids_md5 from c where batch_no = 0 group by 1",
+    "snapshot_manifest": f"with {C_SQL} select city, count(*) as n, sum(('0x' || substring(md5(pos || ':' || id), 1, 8))::bigint)::bigint as ids_digest from (select city, id, row_number() over (partition by city order by rid) as pos from c where batch_no = 0) group by 1",
     "embed_diff": f"""with {C_SQL}, n as (select city, list(id order by rid) as cur, coalesce(list(id order by rid) filter (batch_no = 0), []) as old from c group by 1)
 select city, len(old) as n_old, len(cur) - len(old) as n_new, case when len(old) = 0 then true else cur[1:len(old)] = old end as prefix from n""",
     "city_stats": f"""with {C_SQL}, s as (select city, count(*) as n, string_agg(distinct nullif(category, ''), ',' order by nullif(category, '')) as categories from c group by 1)
 select m.city, coalesce(n, 0) as n, coalesce(categories, '') as categories from city_meta m left join s using (city)""",
     "page_browse": f"with {C_SQL} select city, rid, title from c order by city, rid limit {PAGE_SIZE} offset {2 * PAGE_SIZE}",
+    "page_by_key": f"with {C_SQL} select city, rid, title from c order by city, rid limit {PAGE_SIZE} offset {2 * PAGE_SIZE}",
+    "incremental_vectors": f"""with {E_SQL}, {POST_SQL}, vec as (select rid, ('0x' || substring(md5(token), 1, 4))::int % {DIMS} as dim, sum(tf)::double as x from post group by 1, 2), v as (select rid, dim, x / sqrt(sum(x * x) over (partition by rid)) as w from vec),
+b as (select rid, any_value(batch_no) as batch_no from knowledge_entries group by rid)
+select city, count(distinct rid) filter (batch_no = 0) as reused, count(distinct rid) filter (batch_no <> 0) as encoded, round(sum(w * (dim + 1)), 3) as checksum from v join e using (rid) join b using (rid) group by 1""",
     "page_totals": f"with {C_SQL} select category, count(*) as total, ceil(count(*) / {PAGE_SIZE})::bigint as total_pages from c group by 1",
     "city_positions": f"with {C_SQL} select rid, city, row_number() over (partition by city order by rid) as pos from c",
     "covered_without_rows": f"with {C_SQL} select city, 'rows' as lacks from city_meta where city not in (select city from c) union all select distinct city, 'meta' from c where city not in (select city from city_meta)",

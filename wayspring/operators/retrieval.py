@@ -191,10 +191,12 @@ def keyword_topk(spark, sf_dir: str) -> DataFrame:
 
 
 def first_k_without_tokens(spark, sf_dir: str) -> DataFrame:
-    """Questions without a usable token get the first k entries in scope, no score."""
-    e, q = entries(spark, sf_dir), questions(spark, sf_dir)
-    none = q.where(F.size(without(tokens(F.col("question")), STOP_KEYWORD)) == 0)
-    firsts = e.select("rid", "city").withColumn("n", F.row_number().over(Window.partitionBy("city").orderBy("rid"))).where(F.col("n") <= TOP_K)
+    """Messages of users without a usable token get the first k entries in scope (of
+    their city, where it has any, else of all), no score."""
+    e = entries(spark, sf_dir).select("rid", "city")
+    m = table(spark, sf_dir, "messages").where("role = 'user'").select(F.col("id").alias("query_id"), F.col("content").alias("question"), F.col("detected_city").alias("city")).distinct()
+    none = m.where(F.size(without(tokens(F.col("question")), STOP_KEYWORD)) == 0).select("query_id", "city")
+    firsts = e.withColumn("n", F.row_number().over(Window.partitionBy("city").orderBy("rid"))).where(F.col("n") <= TOP_K)  # kept k per task before the shuffle
     got = none.join(firsts, "city").select("query_id", F.col("n").cast("long").alias("rank"), "rid")
     overall = e.select("rid").orderBy("rid").limit(TOP_K).withColumn("n", F.row_number().over(Window.orderBy("rid")))  # k rows
     rest = none.join(e.select("city").distinct(), "city", "left_anti").crossJoin(F.broadcast(overall))
@@ -573,7 +575,8 @@ ORACLE = {
 select query_id, count(*) as n_any, count(*) filter (matched = n_distinct) as n_all, case when count(*) filter (matched = n_distinct) > 0 then 'AND' else 'OR' end as mode from raw join sz using (query_id) group by 1""",
     "bm25_okapi": f"with {E_SQL}, {Q_SQL}, {NAMES_SQL}, {POST_SQL}, {_qt(())}, {SCOPE_SQL}, {OKAPI_SQL}, scored as (select query_id, rid, raw as score from raw), " + _ranked(),
     "keyword_topk": f"with {E_SQL}, {Q_SQL}, {NAMES_SQL}, {POST_SQL}, {_qt(STOP_KEYWORD)}, {_KEYWORD}",
-    "keyword_first_k": f"""with {E_SQL}, {Q_SQL}, {_qt(STOP_KEYWORD)}, n as (select query_id, city from q where len((select any_value(toks) from qx where qx.query_id = q.query_id)) = 0),
+    "keyword_first_k": f"""with {E_SQL}, m as (select distinct id as query_id, content as question, detected_city as city from messages where role = 'user'),
+n as (select query_id, city from m where len(list_filter({tokens_sql('question')}, lambda t: t not in {sql_list(STOP_KEYWORD)})) = 0),
 f as (select rid, city, row_number() over (partition by city order by rid) as rank from e), o as (select rid, row_number() over (order by rid) as rank from e)
 select query_id, rank, rid from n join f using (city) where rank <= {TOP_K} union all select query_id, rank, rid from n, o where rank <= {TOP_K} and (city is null or city not in (select city from e))""",
     "vector_topk": f"""with v as (select vec_id, embedding::double[] as x from embeddings), s as (select a.vec_id as query_id, b.vec_id, round(list_dot_product(a.x, b.x), 4) as score from v a, v b where a.vec_id % {QUERY_STRIDE} = 0),
