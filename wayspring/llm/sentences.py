@@ -60,12 +60,21 @@ _MONTH_OR_DAY = re.compile(r"\s+(?:Jan|Feb|Mär|Apr|Mai|Jun|Jul|Aug|Sep|Okt|Nov|
 _ZH_SAYS = re.compile(f"(?!听说|据说|你知道)(?:[{_CJK}]{{0,8}}?)(?:我问|他问|她问|问道|说道|喊道|答道|叫道|笑道|这样安排|這樣安排|这样说|這樣說|(?:老人|孩子|工|主|员|人|婆|台|机|他|她|我|爷|妈|师傅|导游)(?:[^，。！？]{{0,3}})?(?:说|說|问|問|喊|答|道|提醒|告诉|安排|叮嘱|回答))(?!道?[：:])")
 _JA_SAYS = re.compile("と|って|という|など|の|は|が|を|に|で")
 _KO_SAYS = re.compile("라고|이라고|하고|라는|고 ")
-_HI_SAYS = re.compile("[^।!?]{0,60}(?:पूछा|कहा|बोला|बोली|बताया|चिल्लाया)")
+_HI_SAYS = re.compile("[^।!?]*(?:पूछा|कहा|बोला|बोली|बताया|चिल्लाया)")
 
 # Thai dictionary of the word lattice, with the roles of its words.
-_TH_OPEN = "เจ้าของ แนะนำ ตั๋ว รถบัส รถไฟ รถ ตลาด พิพิธภัณฑ์ ฝน ห้องพัก ห้อง ระยะทาง อาหาร โรงแรม ร้าน วัด สถานี เรา ฉัน ผม คุณ เขา ที่นี่ วันนี้ เมื่อ ถ้า ควร ทะเลสาบ สะพาน เส้นทาง ทาง นักท่องเที่ยว ค่า เปิด ปิด ไม่ควร อย่า เวลา".split()
-_TH_FINAL = "ครับ ค่ะ คะ นะ จ้ะ แล้ว ได้ ตก ร่ม มากมาย สงบ ทุกวัน กิโลเมตร นาที ต่อคน คน เลย มาก บาท ชั่วโมง เมตร โมง".split()
-_TH_JOIN = "และ หรือ แต่ ที่ ซึ่ง เพราะ โดย กับ ของ จาก ถึง ใน ราคา จึง ก็ ว่า เพื่อ ตั้งแต่ จนถึง ออก ประมาณ".split()
+_TH_OPEN = (
+    "เจ้าของ แนะนำ ตั๋ว รถบัส รถไฟ รถ ตลาด พิพิธภัณฑ์ ฝน ห้องพัก ห้อง ระยะทาง อาหาร โรงแรม ร้าน วัด สถานี เรา ฉัน ผม คุณ เขา ที่นี่ วันนี้ เมื่อ ถ้า ควร ทะเลสาบ สะพาน เส้นทาง ทาง นักท่องเที่ยว ค่า เปิด ปิด ไม่ควร อย่า เวลา "
+    "แต่ว่า อย่างไรก็ตาม นอกจากนี้ ดังนั้น เพราะฉะนั้น หลังจาก หลังจากนั้น ก่อนอื่น จากนั้น ต่อมา สุดท้าย ขณะที่ แม้ว่า หาก หากว่า พวกเขา พวกเรา เธอ มัน นี่ นั่น พรุ่งนี้ เมื่อวาน ตอนนี้ ตอนเช้า ตอนเย็น โปรด กรุณา ทุกคน ใคร ทำไม"
+).split()
+_TH_FINAL = (
+    "ครับ ค่ะ คะ นะ จ้ะ แล้ว ได้ ตก ร่ม มากมาย สงบ ทุกวัน กิโลเมตร นาที ต่อคน คน เลย มาก บาท ชั่วโมง เมตร โมง "
+    "นะคะ นะครับ จ้า จ๊ะ สิ ล่ะ ด้วย ไหม มั้ย หรือเปล่า หรือยัง เท่านั้น เสมอ วัน ปี เดือน คืน ชั้น"
+).split()
+_TH_JOIN = (
+    "และ หรือ แต่ ที่ ซึ่ง เพราะ โดย กับ ของ จาก ถึง ใน ราคา จึง ก็ ว่า เพื่อ ตั้งแต่ จนถึง ออก ประมาณ "
+    "ทั้ง เช่น ต่อ ตาม บน ใต้ เหนือ ระหว่าง สำหรับ รวมถึง ไปยัง เป็น คือ จะ ต้อง กำลัง ได้แก่"
+).split()
 # The same for Chinese and Japanese.
 _CJ_OPEN = "我 你 他 她 它 我们 你们 他们 她们 咱们 这 那 这里 那里 这个 那个 今天 明天 昨天 后来 然后 最后 如果 要是 虽然 因为 所以 但是 不过 可是 建议 记得 从 第 わたし 私 僕 彼 彼女 これ それ あれ ここ そこ この その また でも しかし だから 今日 明日 昨日".split()
 _CJ_FINAL = "了 吗 呢 吧 啊 呀 嘛 哦 啦 喽 哟 です ます でした ました ません だった だ よ ね か わ ください でしょう だろう".split()
