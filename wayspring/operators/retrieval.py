@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayspring.functions.text import COMPARISON, SEARCH_TEXT_SQL, STOP_FULLTEXT, STOP_KEYWORD, contains_any, search_text, sql_list, tokens, tokens_sql, without
-from wayspring.runtime import materialize, once, table, version
+from wayspring.runtime import beside, materialize, materialize_buckets, once, table, version
 
 TOP_K, BOOST, DAMP, RRF_K, RECALL = 5, 1.5, 0.5, 60, 50
 QUERY_STRIDE = 50  # questions are the rows whose id is divisible by this
@@ -26,9 +26,11 @@ QUERY_STRIDE = 50  # questions are the rows whose id is divisible by this
 # ---------------------------------------------------------------- inputs
 
 
-def entries(spark, sf_dir: str) -> DataFrame:
-    """Distinct corpus rows; a rid repeated in full counts once."""
+def entries(spark, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """Distinct corpus rows; a rid repeated in full counts once. parts: partition by rid."""
     e = table(spark, sf_dir, "knowledge_entries")
+    if parts:
+        e = e.repartition(parts, "rid")
     return e.select("rid", "id", "city", "title", "content", "keywords", "category", "sub_category", "source", "source_url", "submission_id").dropDuplicates(["rid"])
 
 
@@ -55,9 +57,12 @@ def postings(e: DataFrame, tokenizer=tokens) -> DataFrame:
 
 
 def index(spark, sf_dir: str) -> DataFrame:
-    """The postings of the corpus as a written table, one per corpus version: tokenised
-    once, shared by all channels and queries."""
-    return once(spark, "postings", version(spark, sf_dir, "knowledge_entries"), lambda: postings(entries(spark, sf_dir)))
+    """The postings of the corpus as a table bucketed by rid, one per corpus version:
+    tokenised once, shared by all channels and queries, which sum the scores of an
+    entry where its postings lie."""
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    write = lambda df, label: materialize_buckets(df, label, "rid", n)
+    return once(spark, "postings", version(spark, sf_dir, "knowledge_entries"), lambda: postings(entries(spark, sf_dir, n)), write)
 
 
 def query_tokens(q: DataFrame, stop, tokenizer=tokens) -> DataFrame:
@@ -96,7 +101,7 @@ def scope(q: DataFrame, names: DataFrame, e: DataFrame) -> DataFrame:
 
 def in_scope(scored: DataFrame, scoped: DataFrame) -> DataFrame:
     """scored (query_id, rid, city, score) with the scope of its question."""
-    s = scored.join(scoped.select("query_id", F.col("city").alias("q_city"), "hard"), "query_id")
+    s = scored.join(beside(scoped.select("query_id", F.col("city").alias("q_city"), "hard"), "scoped"), "query_id")
     return s.where(~F.col("hard") | (F.col("city") == F.col("q_city")))
 
 
@@ -131,10 +136,9 @@ def bm25_raw(post: DataFrame, qt: DataFrame, okapi: bool = False) -> DataFrame:
     else:
         df = df.withColumn("idf", F.when(idf <= 0, F.lit(1e-6)).otherwise(idf))
         k1 = 1.2
-    terms = qt.join(df.select("token", "idf", "avgdl"), "token")
-    hit = post.join(terms.hint("shuffle_hash"), "token")  # the index is never sorted or broadcast
+    hit = post.join(beside(qt.join(df.select("token", "idf", "avgdl"), "token"), "terms"), "token")  # the index is never sorted or broadcast
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - 0.75 + 0.75 * F.col("dl") / F.col("avgdl")))
-    size = qt.groupBy("query_id").agg(F.count("*").alias("n_distinct"))
+    size = beside(qt.groupBy("query_id").agg(F.count("*").alias("n_distinct")), "sizes")
     return hit.groupBy("query_id", "rid", "city").agg(F.sum(part).alias("raw"), F.count("*").alias("matched")).join(size, "query_id")
 
 
@@ -148,7 +152,7 @@ def bm25_scores(post: DataFrame, qt: DataFrame) -> DataFrame:
     ends = raw.groupBy("query_id").agg(F.count(alone).alias("n_all"), F.min(alone).alias("lo_all"), F.max(alone).alias("hi_all"), F.min("raw").alias("lo_any"), F.max("raw").alias("hi_any"))
     some = F.col("n_all") > 0
     ends = ends.select("query_id", some.alias("all_terms"), F.when(some, F.col("lo_all")).otherwise(F.col("lo_any")).alias("lo"), F.when(some, F.col("hi_all")).otherwise(F.col("hi_any")).alias("hi"))
-    kept = raw.join(ends, "query_id").where(~F.col("all_terms") | full)
+    kept = raw.join(beside(ends, "ends"), "query_id").where(~F.col("all_terms") | full)
     return kept.select("query_id", "rid", "city", F.when(F.col("hi") > F.col("lo"), (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0).alias("score"))
 
 
@@ -183,7 +187,7 @@ def keyword_topk(spark, sf_dir: str) -> DataFrame:
     city filter applies, no boost; entries without a shared token don't appear."""
     e, q = entries(spark, sf_dir), questions(spark, sf_dir)
     qt = query_tokens(q, STOP_KEYWORD)
-    hit = index(spark, sf_dir).select("rid", "city", "token").join(qt.hint("shuffle_hash"), "token").groupBy("query_id", "rid", "city").agg((F.sum("qtf") / F.first("n_tokens")).alias("score"))
+    hit = index(spark, sf_dir).select("rid", "city", "token").join(beside(qt, "terms"), "token").groupBy("query_id", "rid", "city").agg((F.sum("qtf") / F.first("n_tokens")).alias("score"))
     own = e.select("city").distinct().join(covered(spark, sf_dir).select("city").distinct(), "city").withColumn("has_rows", F.lit(True))
     scoped = q.join(own, "city", "left").select("query_id", "city", F.coalesce("has_rows", F.lit(False)).alias("hard"))
     s = in_scope(hit, scoped)

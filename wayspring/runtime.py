@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "wayspring", cpus: int | str = "*", shuffle: int = 8, memory: str = "8g") -> SparkSession:
@@ -107,15 +108,41 @@ def version(spark: SparkSession, sf_dir: str, *names: str) -> str:
     return "\n".join(sorted(out))
 
 
-def once(spark: SparkSession, label: str, of: str, build) -> DataFrame:
+def materialize_buckets(df: DataFrame, label: str, by: str, n: int) -> DataFrame:
+    """As materialize, in n buckets by a column: what is grouped by it, or by it and
+    others, is grouped where it lies. df is best partitioned so already."""
+    spark = df.sparkSession
+    name = f"wayspring_{label}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", scratch_path(spark, label)).bucketBy(n, by).saveAsTable(name)
+    atexit.register(_drop, spark, name)
+    return spark.table(name)
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"drop table if exists {name}")
+    except Exception:  # the session is gone; the folder is removed by its own hook
+        pass
+
+
+def beside(df: DataFrame, label: str, rows: int = 200_000) -> DataFrame:
+    """df, written, as the small side of a join: broadcast if it has at most so many
+    rows, else shuffled and hashed, so that the large side is never sorted."""
+    written = materialize(df, label)
+    return F.broadcast(written) if written.count() <= rows else written.hint("shuffle_hash")
+
+
+def once(spark: SparkSession, label: str, of: str, build, write=materialize) -> DataFrame:
     """The written table `label` of a version (see above): built on first use, then
     shared by every query of the session. It is scratch, dropped with the driver."""
     sc = spark.sparkContext
     kept = getattr(sc, "_wayspring_tables", None)
     if kept is None:
         kept = sc._wayspring_tables = {}
-    if (label, of) not in kept:
-        kept[label, of] = materialize(build(), label)
+    found = kept.get((label, of))
+    files = found.inputFiles() if found is not None else []
+    if not files or not exists(spark, files[0]):  # never written, or swept from the shared folder since
+        kept[label, of] = write(build(), label)
     return kept[label, of]
 
 
