@@ -20,6 +20,7 @@ from wayspring.functions.text import COMPARISON, SEARCH_TEXT_SQL, STOP_FULLTEXT,
 from wayspring.runtime import beside, materialize, materialize_buckets, once, table, version
 
 TOP_K, BOOST, DAMP, RRF_K, RECALL = 5, 1.5, 0.5, 60, 50
+BUCKET_ENTRIES, MOST_BUCKETS = 1024, 10_000  # layout of the index: a task sums the scores of one bucket's entries
 QUERY_STRIDE = 50  # questions are the rows whose id is divisible by this
 
 
@@ -60,7 +61,8 @@ def index(spark, sf_dir: str) -> DataFrame:
     """The postings of the corpus as a table bucketed by rid, one per corpus version:
     tokenised once, shared by all channels and queries, which sum the scores of an
     entry where its postings lie."""
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = table(spark, sf_dir, "knowledge_entries").count()  # of the files' footers
+    n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ENTRIES)), MOST_BUCKETS)
     write = lambda df, label: materialize_buckets(df, label, "rid", n)
     return once(spark, "postings", version(spark, sf_dir, "knowledge_entries"), lambda: postings(entries(spark, sf_dir, n)), write)
 
