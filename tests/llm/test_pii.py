@@ -38,6 +38,7 @@ CASES = [
     ("联系人" + " " * 50 + "：赫连砚遥，", [("person", "赫连砚遥")]), ("订单号" + " " * 50 + "16363755766。", []), ("联系方式见上，", []),
     ("家在新疆维吾尔自治区巴音郭楞蒙古自治州库尔勒市建设路12号。", [("address", "新疆维吾尔自治区巴音郭楞蒙古自治州库尔勒市建设路12号")]),
     ("打154.2253.2193。" * 20_000, [("phone", "154.2253.2193")] * 20_000),
+    ("Long Road " * 20_000, []), ("联系人" * 20_000, []), ("no stops here call " * 10_000, []), ("12 Road Street", [("address", "12 Road Street")]),
     ("", []), (None, []), ("​ \n", []), ("@", []), ("x" * 200_000, []),
 ]
 

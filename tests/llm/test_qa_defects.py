@@ -59,6 +59,12 @@ def test_neighbours_and_limits_decide_what_the_ending_leaves_open(spark, monkeyp
     assert 1 not in off and 300 not in off
 
 
+def test_long_answers_without_marks(spark):
+    rows = [(1, "几点？", "无法" * 50_000 + "。"), (2, "几点？", "无法" * 50_000 + "回答。"), (3, "When?", "i can't " * 20_000 + "help."), (4, "When?", "kann " * 20_000 + "."), (5, "几点？", "很抱歉，我目前无法就您提出的这个有关票价和开放时间以及交通路线等内容的问题作出任何形式的回答。")]
+    got = {r.id: r.defect for r in defects(spark.createDataFrame(rows, "id long, question string, answer string")).collect()}
+    assert got[2] == got[3] == got[5] == "refusal" and got.get(1) is None
+
+
 def test_length_limit_spike(spark):
     rows = [(n, False) for n in range(20, 60)] + [(41, False)] * 80 + [(50, True)] * 200
     assert [r[0] for r in length_limits(spark.createDataFrame(rows, "n_chars int, closed boolean")).collect()] == [41]

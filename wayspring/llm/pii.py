@@ -37,7 +37,7 @@ NAME_CUES = (
 )
 SURNAME_CUES = ("请找", "请联系", "联系:", "负责人", "客人", "乘客", "投诉人", "mr ", "mr. ", "mrs ", "mrs. ", "ms ", "ms. ", "contact: ", "contact person: ", "name: ", "attn: ")
 PASSPORT_CUES = ("护照", "passport")
-LABELS = ("电话", "手机", "微信", "邮箱", "邮件", "号码", "联系", "传真", "座机", "客服", "前台", "热线", "机号", "订单", "地址", "证件", "护照")
+LABELS = ("联系人", "电话", "手机", "微信", "邮箱", "邮件", "号码", "联系", "传真", "座机", "客服", "前台", "热线", "机号", "订单", "地址", "证件", "护照")
 NOT_PERSONAL = ("订单号", "订单", "展品编号", "取票码", "票根编号", "编号", "坐标", "营业时间", "票号", "车次", "航班", "order no", "ticket", "ref", "isbn")
 _CN_DIGITS = "零〇一二三四五六七八九"
 _NUM = f"(?:\\d{{1,5}}|[{_CN_DIGITS}十百千]{{1,6}})"
@@ -199,23 +199,27 @@ def _addresses(t: str, s: str, at: dict[str, list[tuple[int, int]]]) -> Iterator
             yield m.span()
             done = m.end()
     flat = t.translate(NARROW)
+    houses: dict[int, int | None] = {}  # where the house number before each street word begins
     for a, b in at.get("street word", ()):
         if not flat[a + 1].isupper() or b < len(flat) and (flat[b].isascii() and flat[b].isalpha()):
             continue
         end = b + 1 if b - a <= 5 and flat[b : b + 1] == "." and flat[a + 1 : b].lower() not in ("lane", "road") else b
         lo, named = a, 0
-        while True:  # words to the left, up to the house number
+        while True:  # words to the left, up to the house number or to a street word seen before
+            if named and lo in houses:
+                house = houses[lo]
+                break
             p = flat.rfind(" ", 0, lo)
             word = flat[p + 1 : lo]
-            if _EN_NAMED.fullmatch(word):
+            if p >= 0 and _EN_NAMED.fullmatch(word):
                 lo, named = p, named + 1
-                if p < 0:
-                    break
                 continue
             m = re.search(r"(?<![A-Za-z0-9.\-])\d{1,5}[A-Za-z]?$", word)
-            if named and m:
-                yield p + 1 + m.start(), _EN_RIGHT.match(flat, end).end()
+            house = p + 1 + m.start() if m else None
             break
+        houses[a] = house
+        if named and house is not None:
+            yield house, _EN_RIGHT.match(flat, end).end()
 
 
 def _name_at(t: str, s: str, p: int) -> tuple[int, int] | None:
@@ -223,7 +227,7 @@ def _name_at(t: str, s: str, p: int) -> tuple[int, int] | None:
     m = _EN_NAME.match(t, p)
     if m:
         return m.span()
-    stop = _NAME_STOPS.search(s, p)
+    stop = _NAME_STOPS.search(s, p, p + 12)  # a name has at most four characters, a stop six
     end = stop.start() if stop else len(s)
     if 2 <= end - p <= 4 and _CN_NAME.fullmatch(s, p, end):
         return p, end

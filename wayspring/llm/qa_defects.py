@@ -26,17 +26,23 @@ PLACEHOLDERS = ("none", "null", "na", "nan", "nil", "undefined", "empty", "tbd",
 # What may stand around a question that is only given back.
 ECHOES = ("您的问题是", "你的问题是", "您问的是", "你问的是", "问题是", "问题", "您问", "yourquestion", "yourquestionis", "yourquestionwas", "youasked", "question", "ihrefrage", "ihrefragelautet", "frage", "votrequestion", "supregunta", "ご質問", "ご質問は", "質問")
 
-# Ways to decline, per language.
-_REFUSAL = "|".join((
-    "(?:无法|不能|不便|没法|没办法|無法|不會|不会|不被允许|不允许|恕难)[^，。！？]*(?:回答|作答|解答|提供|说|說|协助|帮|处理|答复|讨论|建议|透露|告诉|评论|给出)",
-    "暂不支持|不予(?:讨论|回答|提供|置评)|只能拒绝|拒绝回答|帮不上|没有权限|超出[^，。！？]*(?:能力|范围)|不在服务范围|没有可以告诉|无从(?:作答|回答)|此类请求",
-    "(?:can(?:no|')t|can not|unable to|not able to|not allowed to|not permitted to|won't be able to|will not be able to|refuse to|decline to)[^.!?]*(?:help|answer|assist|share|discuss|provide|say|tell|respond|comment|do)",
+# Ways to decline, per language: words that are one by themselves, and pairs of words with
+# anything but the end of a clause between them.
+_REFUSAL_WORDS = (
+    "暂不支持|不予(?:讨论|回答|提供|置评)|只能拒绝|拒绝回答|帮不上|没有权限|不在服务范围|没有可以告诉|无从(?:作答|回答)|此类请求",
     "must decline|pass on this|outside (?:of )?(?:what i|my)|beyond what i can|not something i (?:may|can)|against my (?:policy|guidelines)",
-    "(?:kann|darf|möchte)[^.!?]*nicht[^.!?]*(?:helfen|beantworten|antworten|auskunft|sagen)|nicht[^.!?]*(?:helfen|beantworten)",
-    "(?:ne (?:peux|puis|pouvons)(?: pas)?|impossible de|pas autorisée? à)[^.!?]*(?:répondre|aider|fournir|dire|discuter)",
-    "(?:no puedo|no podemos|no estoy autorizad[oa] a|imposible)[^.!?]*(?:ayudar|responder|contestar|proporcionar|decir|hablar)",
-    "(?:お答え|対応|回答|ご案内|お手伝い|提供)[^。！？]*(?:できません|しかねます|いたしかねます|できかねます|ません)",
-))
+)
+_REFUSAL_PAIRS = (
+    ("无法|不能|不便|没法|没办法|無法|不會|不会|不被允许|不允许|恕难", "，。！？", "回答|作答|解答|提供|说|說|协助|帮|处理|答复|讨论|建议|透露|告诉|评论|给出"),
+    ("超出", "，。！？", "能力|范围"),
+    ("can(?:no|')t|can not|unable to|not able to|not allowed to|not permitted to|won't be able to|will not be able to|refuse to|decline to", ".!?", "help|answer|assist|share|discuss|provide|say|tell|respond|comment|do"),
+    ("(?:kann|darf|möchte)(?:(?!kann|darf|möchte)[^.!?])*?nicht", ".!?", "helfen|beantworten|antworten|auskunft|sagen"), ("nicht", ".!?", "helfen|beantworten"),
+    ("ne (?:peux|puis|pouvons)(?: pas)?|impossible de|pas autorisée? à", ".!?", "répondre|aider|fournir|dire|discuter"),
+    ("no puedo|no podemos|no estoy autorizad[oa] a|imposible", ".!?", "ayudar|responder|contestar|proporcionar|decir|hablar"),
+    ("お答え|対応|回答|ご案内|お手伝い|提供", "。！？", "できません|しかねます|いたしかねます|できかねます|ません"),
+)
+# The first word of a pair never stands between: the last one before the second decides as well, in linear time.
+_REFUSAL = "|".join([*_REFUSAL_WORDS, *(f"(?:{a})(?:(?!{a if '*' not in a else 'nicht'})[^{stop}])*?(?:{b})" for a, stop, b in _REFUSAL_PAIRS)])
 _POLITE = "如有|欢迎|祝您|祝你|谢谢|感谢|抱歉|对不起|不好意思|很遗憾|您好|换个|咨询|客服|anything else|have a nice|thank|sorry|hello|apolog|unfortunately|human agent|bon voyage|gute reise|buen viaje|merci|danke|gracias|désol|leid|lo siento|ありがとう|申し訳"
 _BUT = "但|不过|资料显示|[0-9０-９]|however|aber|mais|pero"
 
