@@ -59,6 +59,12 @@ def test_neighbours_and_limits_decide_what_the_ending_leaves_open(spark, monkeyp
     assert 1 not in off and 300 not in off
 
 
+def test_repeated_placeholders_are_no_limit(spark):
+    rows = [(i, "Is it open?", "n/a") for i in range(200)] + [(500, "Is it open?", "No."), (501, "Is it open?", "Yes.")]
+    got = {r.id: r.defect for r in defects(spark.createDataFrame(rows, "id long, question string, answer string")).collect()}
+    assert got[0] == "empty" and 500 not in got and 501 not in got
+
+
 def test_long_answers_without_marks(spark):
     rows = [(1, "几点？", "无法" * 50_000 + "。"), (2, "几点？", "无法" * 50_000 + "回答。"), (3, "When?", "i can't " * 20_000 + "help."), (4, "When?", "kann " * 20_000 + "."), (5, "几点？", "很抱歉，我目前无法就您提出的这个有关票价和开放时间以及交通路线等内容的问题作出任何形式的回答。")]
     got = {r.id: r.defect for r in defects(spark.createDataFrame(rows, "id long, question string, answer string")).collect()}

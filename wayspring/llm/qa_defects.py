@@ -159,7 +159,9 @@ def defects(history: DataFrame, key: str = "id", question: str = "question", ans
     told = told.withColumn("either", F.col("body").rlike(_EITHER)).withColumn("open", _open(F.col("body"))).withColumn("n_chars", F.length("body"))
     h = materialize(told, "bodies")  # read three times, cleaned once
     cut = materialize(shortened(h.select("body")).withColumn("cut", F.lit(True)), "cut")  # written, so that the planner knows their size
-    limits = materialize(length_limits(h.where("n_chars > 0").select("n_chars", (~F.col("open") & ~F.col("either")).alias("closed"))).withColumn("at_limit", F.lit(True)), "limits")
+    # texts that repeat (placeholders, say) count once: they are no sign of a limit
+    unclosed = h.where("n_chars > 0 and (open or either)").select("n_chars", "body").distinct().select("n_chars", F.lit(False).alias("closed"))
+    limits = materialize(length_limits(unclosed).withColumn("at_limit", F.lit(True)), "limits")
     b = F.col("body")
 
     def nothing_new(both: Column) -> Column:
@@ -177,8 +179,8 @@ def defects(history: DataFrame, key: str = "id", question: str = "question", ans
     odd = lambda p: _count(b, p) % 2 == 1
     more = lambda o, c: _count(b, o) > _count(b, c)
     halved = odd("[“”„]") | odd('"') | more("«", "»") | more("（", "）") | more(r"\(", r"\)") | more("「", "」") | more("『", "』")
-    unclosed = F.col("open") | b.rlike('[“”„"«（(「『]') & halved
-    kind = F.coalesce(plain, F.when(refusal, "refusal").when(other, "language").when(unclosed, "truncated"))
+    cut_off = F.col("open") | b.rlike('[“”„"«（(「『]') & halved
+    kind = F.coalesce(plain, F.when(refusal, "refusal").when(other, "language").when(cut_off, "truncated"))
     h = h.select(key, "body", "n_chars", "either", kind.alias("kind"))
     h = h.join(cut, "body", "left").join(limits, "n_chars", "left")
     late = F.coalesce("cut", F.lit(False)) | F.coalesce(F.col("at_limit") & F.col("either"), F.lit(False))
