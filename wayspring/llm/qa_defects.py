@@ -48,7 +48,7 @@ _BUT = "但|不过|资料显示|[0-9０-９]|however|aber|mais|pero"
 
 # Frequent words of four languages written in Latin letters.
 _WORDS = {
-    "en": "the is a of in to how do i get from where can eat for and what does near worth when reply please at on by was were it has so but or this that we only an be not my you your are with as until which while sorry",
+    "en": "the is a of in to how do i get from where can eat for and what does near worth when reply please at on by was were it has so but or this that we only an be not my you your are with as until which while sorry no yes",
     "fr": "le la les des du est une un pour où quelle comment aller ouvre dans je il ne pas que sur qui se trouve jusqu près depuis et entre avec devant car on si au votre répondre",
     "de": "der die das ist und ein eine nach von wie komme ich zu wo man im es nicht wann hat den dem mit am vor bei so wegen war dauert kann diese sehr noch öffnet",
     "es": "el los las de es y una para cómo llego qué hora abre dónde con por del no al hay desde dura posada muy pero había lleve sin se lo esta",
