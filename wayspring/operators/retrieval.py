@@ -276,6 +276,12 @@ def hashed_vector(toks: DataFrame, key: str) -> DataFrame:
     return v.join(norm, key).select(key, "dim", (F.col("x") / F.col("norm")).alias("w"))
 
 
+def entry_vectors(spark, sf_dir: str) -> DataFrame:
+    """The hashing vectors of the corpus as a written table, one per corpus version."""
+    post = lambda: index(spark, sf_dir).select("rid", "token", F.col("tf").alias("n"))
+    return once(spark, "entry_vectors", version(spark, sf_dir, "knowledge_entries"), lambda: hashed_vector(post(), "rid"))
+
+
 PACK = 4096
 _FOUND = "query_id long, rid long, cos long, near boolean"
 
@@ -384,7 +390,7 @@ def hybrid(spark, sf_dir: str, pool: int) -> DataFrame:
     post = index(spark, sf_dir)
     lex = in_scope(bm25_scores(post, query_tokens(q, STOP_FULLTEXT)), s)
     lex = materialize(lex.select("query_id", "rid", F.round("score", 4).alias("bm25_score")).where("bm25_score > 0"), "lex")
-    dv = hashed_vector(post.select("rid", "token", F.col("tf").alias("n")), "rid")
+    dv = entry_vectors(spark, sf_dir)
     qv = hashed_vector(query_tokens(s, ()).select("query_id", "token", F.col("qtf").alias("n")), "query_id")
     hard = s.where("hard").select("query_id", "city")
     pairs = hard.join(e.select("rid", "city"), "city").select("query_id", "rid")
@@ -410,7 +416,7 @@ def text_vector_topk(spark, sf_dir: str) -> DataFrame:
     the boost by city outside hard scopes; what scores nothing stays."""
     e, q = entries(spark, sf_dir), questions(spark, sf_dir)
     s = materialize(scope(q, covered(spark, sf_dir), e), "scope")
-    dv = hashed_vector(index(spark, sf_dir).select("rid", "token", F.col("tf").alias("n")), "rid")
+    dv = entry_vectors(spark, sf_dir)
     qv = hashed_vector(query_tokens(s, ()).select("query_id", "token", F.col("qtf").alias("n")), "query_id")
     here = s.where("city is not null").select("query_id", "city", F.when(F.col("hard"), 1.0).otherwise(BOOST).alias("weight"))
     both = qv.join(here, "query_id").join(dv.join(e.select("rid", "city"), "rid").withColumnRenamed("w", "v"), ["city", "dim"])
