@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from wayspring.functions import key
 from wayspring.functions.text import FORBIDDEN, STOP_CONTENT, category, category_sql, contains_any, keywords, sql_list, tokens, tokens_sql, without
+from wayspring.operators.blocks import repeats
 from wayspring.operators.retrieval import E_SQL, entries
-from wayspring.runtime import materialize, small_batches, table
+from wayspring.runtime import small_batches, table
 
 MAX_CHARS, MIN_CHARS, THRESHOLD, LEAST_CHARS = 800, 200, 0.6, 20
 
@@ -149,10 +150,11 @@ def _submissions(spark, sf_dir: str) -> DataFrame:
 
 def near_dup(spark, sf_dir: str) -> DataFrame:
     """Submissions that repeat an entry of their city other than their own."""
-    new = _submissions(spark, sf_dir).select("id", "city", content_tokens(F.col("title"), F.col("content")).alias("toks"))
+    text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))).alias("text")
     own = F.filter(F.array(key(F.col("id")), key(F.col("submission_id"))), lambda k: k.isNotNull())
-    old = entries(spark, sf_dir).select("rid", "city", content_tokens(F.col("title"), F.col("content")).alias("toks"), own.alias("own"))
-    return similar_entries(materialize(new, "new_tokens"), materialize(old, "old_tokens"))  # read five times, tokenised once
+    new = _submissions(spark, sf_dir).select("id", key(F.col("id").cast("string")).alias("own_key"), "city", text)
+    old = entries(spark, sf_dir).where("rid is not null").select("rid", own.alias("own"), "city", text)
+    return repeats(new, old, THRESHOLD, tuple(STOP_CONTENT))
 
 
 def keywords_top10(spark, sf_dir: str) -> DataFrame:
