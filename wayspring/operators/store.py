@@ -15,7 +15,7 @@ from wayspring.operators.retrieval import ORACLE as RETRIEVAL
 from wayspring.operators.retrieval import E_SQL, NAMED_SQL, NAMES_SQL, POST_SQL, Q_SQL, covered, entries, named_city, keyword_topk, postings, questions, ranking, rrf
 from wayspring.operators.sessions import ORACLE as SESSIONS
 from wayspring.operators.sessions import H, M, S, history, messages, session_context, sessions
-from wayspring.runtime import scratch_path, table
+from wayspring.runtime import materialize, scratch_path, table
 
 SNAPSHOT_VERSION = 2
 
@@ -92,7 +92,7 @@ def append_pipeline(spark, sf_dir: str) -> DataFrame:
     their city, key new; the rest by where they stopped."""
     s = table(spark, sf_dir, "contributions").select("id", "city", "content").dropDuplicates(["id"])
     rule = s.withColumn("rule", moderation(F.col("city"), F.col("content")))
-    dup = near_dup(spark, sf_dir).select("id", F.lit(True).alias("dup"))
+    dup = materialize(near_dup(spark, sf_dir).select("id"), "dup").select("id", F.lit(True).alias("dup"))  # read twice
     j = rule.join(dup, "id", "left")
     passed = j.where("rule is null and dup is null").select("id", "city", F.lit(1).alias("chunk_id"))
     fresh = insert_ignore(passed, corpus(spark, sf_dir), KEY, "id").select("id", F.lit(True).alias("fresh"))
