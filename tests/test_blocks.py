@@ -85,3 +85,33 @@ def test_keyword_topk_without_a_row_per_match(spark, small, by_rows):
 def test_what_builds_on_the_ranking_has_no_row_per_match(spark, small, monkeypatch, query):
     monkeypatch.setattr(spark.sparkContext, "_wayspring_tables", {}, raising=False)
     assert query(spark, small).count() > 0
+
+
+def _block(entries):
+    """A block of (rid, city, text)."""
+    book = B._Codes()
+    docs, codes = book.of([t for _, _, t in entries])
+    row = B._pack([r for r, _, _ in entries], [c for _, c, _ in entries], docs, codes, book)
+    return B._Block(B.pa.RecordBatch.from_pylist([row]), None)
+
+
+def test_places_with_all_tokens_are_cut_to_a_city_first():
+    b = _block([(1, "a", "x y"), (2, "a", "x"), (3, "b", "x y"), (4, "b", "y x y"), (5, "c", "x y")])
+    terms = [(b.term(t, 1.0), 1) for t in ("x", "y")]
+    assert b.rids[b.with_all(terms, 2)].tolist() == [1, 3, 4, 5]
+    assert b.rids[b.with_all(terms, 2, *b.range["b"])].tolist() == [3, 4]
+    assert not len(b.with_all(terms, 3, *b.range["b"]))
+
+
+def test_any_token_is_not_summed_once_all_tokens_were_found(monkeypatch):
+    whole, part = _block([(1, "a", "x y"), (2, "a", "x")]), _block([(3, "a", "x")])
+    q, kernel = {"query_id": [7], "need": [2]}, B.find_ends(False)
+    terms = lambda b: [[(t, 1) for w in ("x", "y") if (t := b.term(w, 1.0))]]
+    assert [r.to_pylist()[0]["n_all"] for r in kernel(whole, q, terms(whole))] == [1]
+    monkeypatch.setattr(B._Block, "sums", lambda *_: pytest.fail("summed in vain"))
+    assert list(kernel(part, q, terms(part))) == []
+
+
+def test_only_entries_found_are_made_distinct(spark, small):
+    plan = A._results(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
