@@ -12,7 +12,7 @@ from wayspring.operators.corpus import C_SQL, KEY, corpus, insert_ignore
 from wayspring.operators.quality import ORACLE as QUALITY
 from wayspring.operators.quality import SUB, moderation, near_dup
 from wayspring.operators.retrieval import ORACLE_OF_STRIDE as RETRIEVAL
-from wayspring.operators.retrieval import E_SQL, NAMED_SQL, NAMES_SQL, POST_SQL, Q_SQL, covered, entries, named_city, keyword_topk, of_stride, postings, questions, ranking, rrf
+from wayspring.operators.retrieval import E_SQL, NAMED_SQL, NAMES_SQL, POST_SQL, Q_SQL, covered, entries, named_city, keyword_topk, of_all, of_stride, postings, questions, ranking, rrf
 from wayspring.operators.sessions import ORACLE as SESSIONS
 from wayspring.operators.sessions import H, M, S, history, messages, session_context, sessions
 from wayspring.runtime import materialize, scratch_path, table
@@ -207,7 +207,7 @@ def marquee(spark, sf_dir: str, n: int = 12, seed: int = 7) -> DataFrame:
 
 
 QUERIES = {
-    "rrf_fuse": of_stride(rrf_fuse), "delete_sessions": delete_sessions, "clear_history": clear_history, "first_writer": first_writer, "postings_increment": postings_increment,
+    "rrf_fuse": rrf_fuse, "delete_sessions": delete_sessions, "clear_history": clear_history, "first_writer": first_writer, "postings_increment": postings_increment,
     "snapshot_round_trip": snapshot_round_trip, "append_pipeline": append_pipeline, "city_cascade": city_cascade, "context_last_city": context_last_city,
     "post_lookup": post_lookup, "browse_filters": browse_filters, "presence": presence, "approved_entries": approved_entries, "chat_history": chat_history,
     "question_terms": of_stride(question_terms), "lookup_user": lookup_user, "point_lookups": point_lookups, "marquee": marquee,
@@ -216,8 +216,8 @@ QUERIES = {
 _VIS = r"length(regexp_replace(coalesce(content, ''), '[\s\p{Z}\p{Cc}\p{Cf}]', '', 'g')) > 0"
 _REVIEW = QUALITY["review_outcomes"]
 ORACLE = {
-    "rrf_fuse": f"""with k as ({RETRIEVAL['keyword_topk']}), b as ({RETRIEVAL['bm25_topk']}), u as (select query_id, rid, rank from k union all select query_id, rid, rank from b),
-f as (select query_id, rid, round(sum(1.0::double / (60 + rank)), 6) as score from u group by 1, 2) select query_id, row_number() over (partition by query_id order by score desc, rid) as rank, rid, score from f""",
+    "rrf_fuse": of_all(f"""with k as ({RETRIEVAL['keyword_topk']}), b as ({RETRIEVAL['bm25_topk']}), u as (select query_id, rid, rank from k union all select query_id, rid, rank from b),
+f as (select query_id, rid, round(sum(1.0::double / (60 + rank)), 6) as score from u group by 1, 2) select query_id, row_number() over (partition by query_id order by score desc, rid) as rank, rid, score from f"""),
     "delete_sessions": f"with {M} select session_id, count(*) as n from m where session_id not in (select lower(trim(session_id, ' ')) from sessions where deleted_at is not null) group by 1",
     "clear_history": f"with {H} select user_id, count(*) as n from h where user_id is not null and user_id not in (select lower(trim(id, ' ')) from users where deleted_at is not null) group by 1",
     "first_writer": f"with {M}, {S}, b as (select session_id, arg_min(user_id, (updated, user_id)) filter (user_id is not null) as user_id from s group by 1), a as (select distinct session_id from m) select coalesce(a.session_id, b.session_id) as session_id, user_id, user_id is null as anonymous from a full join b using (session_id)",
