@@ -8,7 +8,7 @@ from wayspring.operators import blocks as B
 from wayspring.operators import retrieval as R
 from wayspring.runtime import table
 
-WHOLE = ["bm25_topk", "bm25_and_or", "bm25_okapi", "keyword_topk", "citation_filter", "rrf_fuse", "hybrid_topk", "rerank_pool"]
+WHOLE = ["bm25_topk", "bm25_and_or", "bm25_okapi", "keyword_topk", "citation_filter", "rrf_fuse", "hybrid_topk", "rerank_pool", "top1_agreement"]
 Q, O = catalog.queries(), catalog.oracle_sql()
 
 
